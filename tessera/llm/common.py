@@ -157,3 +157,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = tuple(new)
     root = e.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def permute(i: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
+    """A keyed pseudorandom permutation of 0..n-1: a Feistel network over the next even number of bits, walked
+    until it is back inside the range."""
+    if n <= 1:
+        return np.zeros_like(i)
+    half = (max(2, (n - 1).bit_length()) + 1) // 2
+    mask = U64((1 << half) - 1)
+    keys = mix(np.arange(1, rounds + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15) + U64(key & (2**64 - 1)))
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> U64(half), x & mask
+        for k in keys:
+            left, right = right, left ^ (mix(right + k) & mask)
+        return left << U64(half) | right
+
+    out = once(i.astype(np.uint64))
+    while (far := out >= U64(n)).any():
+        out[far] = once(out[far])
+    return out.astype(np.int64)

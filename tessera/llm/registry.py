@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, secrets
+from tessera.llm import chat, langid, mixing, secrets, winnow
 
 QUERIES = {
+    "op4_winnow_fingerprints": winnow.query,
     "op6_secret_scan": secrets.query,
+    "op8_language_id": langid.query,
+    "op9_mix_sources": mixing.query,
     "op10_chat_format": chat.query,
 }
 ORACLES = {

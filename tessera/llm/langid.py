@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
                     best = share.argmax(1)
                     score = np.where(total > 0, share[np.arange(len(texts)), best] / total.clip(1), 0.0)
                     pred = [m.languages[x] if n else "und" for x, n in zip(best, total, strict=True)]
-                    if spans:
+                    if spans and len(text):
                         cut = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
                         last = np.append(cut[1:], len(text)) - 1
                         for a, z in zip(cut, last, strict=True):
@@ -208,7 +208,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if spans:
-        schema = schema.add("lang_spans", "array<struct<start:long,end:long,lang:string>>")
+        one = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
+        schema = schema.add("lang_spans", T.ArrayType(one))
     return docs.select([f.name for f in kept]).mapInArrow(run, schema)
 
 

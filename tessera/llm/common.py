@@ -178,3 +178,51 @@ def permute(i: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     while (far := out >= U64(n)).any():
         out[far] = once(out[far])
     return out.astype(np.int64)
+
+
+BLOOM_BYTES = 1 << 22
+
+
+def bloom(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size over the values of a long column (null counts as the smallest long). False positives
+    cost time, never results."""
+    rows = df.select(F.coalesce(F.col(column).cast("long"), F.lit(-(2**63))).alias("v"))
+
+    def fill(batches):
+        bits = np.zeros(BLOOM_BYTES, np.uint8)
+        for b in batches:
+            at = bloom_slot(np.array(b.column("v"), np.int64))
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)])], ["blob"])
+
+    def either(a, b):
+        return zlib.compress(np.bitwise_or(np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)).tobytes(), 1)
+
+    parts = rows.mapInArrow(fill, "blob binary").rdd.map(lambda r: r[0])
+    try:
+        return np.frombuffer(zlib.decompress(parts.treeReduce(either)), np.uint8)
+    except ValueError:  # no partition at all
+        return np.zeros(BLOOM_BYTES, np.uint8)
+
+
+def bloom_slot(v: np.ndarray) -> np.ndarray:
+    return (mix(v.view(np.uint64)) & U64(BLOOM_BYTES * 8 - 1)).astype(np.int64)
+
+
+def bloom_has(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
+    at = bloom_slot(v)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def deal(bucket: np.ndarray, buckets: int, *columns: np.ndarray):
+    """One row a non-empty bucket: (bucket, packed columns). Rows of a shuffle are then blobs of many entries."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    columns = [c[order] for c in columns]
+    for p in np.flatnonzero(np.diff(cuts)):
+        yield int(p), *(c[cuts[p] : cuts[p + 1]].tobytes() for c in columns)
+
+
+def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
+    """Buckets of a packed shuffle: in proportion to the input's partitions, hence of bounded size."""
+    return max(12, per_partition * df.rdd.getNumPartitions())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, mixing, secrets, winnow
+from tessera.llm import chat, jaccard, langid, mixing, secrets, winnow
 
 QUERIES = {
     "op4_winnow_fingerprints": winnow.query,
+    "op5_jaccard_join": jaccard.query,
     "op6_secret_scan": secrets.query,
     "op8_language_id": langid.query,
     "op9_mix_sources": mixing.query,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, jaccard, langid, mixing, secrets, winnow
+from tessera.llm import chat, jaccard, langid, mixing, secrets, suffix, winnow
 
 QUERIES = {
+    "op2_suffix_dedup": suffix.query,
     "op4_winnow_fingerprints": winnow.query,
     "op5_jaccard_join": jaccard.query,
     "op6_secret_scan": secrets.query,

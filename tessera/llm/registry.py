@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, jaccard, langid, mixing, secrets, suffix, winnow
+from tessera.llm import chat, jaccard, langid, mixing, pii, secrets, suffix, winnow
 
 QUERIES = {
     "op2_suffix_dedup": suffix.query,
     "op4_winnow_fingerprints": winnow.query,
     "op5_jaccard_join": jaccard.query,
     "op6_secret_scan": secrets.query,
+    "op7_pseudonyms": pii.query,
     "op8_language_id": langid.query,
     "op9_mix_sources": mixing.query,
     "op10_chat_format": chat.query,

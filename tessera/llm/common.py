@@ -56,33 +56,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, filled as words are met. ``trim`` keeps a worker's memory bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def trim(self, most: int = 400_000) -> None:
-        if len(self) > most:
-            self.clear()
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
-    n = len(words)
-    if n == 0:
-        return words
-    w = min(width, n)
-    h = mix(words[: n - w + 1] + U64(w))
-    for k in range(1, w):
-        h = mix(h * U64(3) + words[k : n - w + 1 + k])
-    return np.unique(h)
+    """Hashes of all runs of ``width`` words, in order."""
+    n = len(words) - width + 1
+    if n <= 0 or not width:
+        return words[:0]
+    h = mix(words[:n] + U64(width))
+    for k in range(1, width):
+        h = mix(h * U64(3) + words[k : n + k])
+    return h
 
 
 def crc_mod(col, modulus: int):
@@ -226,3 +208,57 @@ def deal(bucket: np.ndarray, buckets: int, *columns: np.ndarray):
 def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     """Buckets of a packed shuffle: in proportion to the input's partitions, hence of bounded size."""
     return max(12, per_partition * df.rdd.getNumPartitions())
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, 1 << 21)
+        both = [np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
+        for p in both:
+            p[0] = 1
+            np.multiply.accumulate(p, out=p)
+        _POWERS[:] = both
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, edges, start, end): text i has words edges[i]..edges[i+1]; start and end are positions in
+    the texts joined by a line feed. A word's hash depends on its bytes only; no word becomes a Python object."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[data]
+    inside = np.concatenate([[False], ~space])
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = turn[::2], turn[1::2]
+    power, back = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+    h = mix((total[end] - total[start]) * back[start] + U64(0x2545F4914F6CDD1D) * (end - start).astype(np.uint64))
+    begins = np.cumsum(np.array([0] + [len(t) + 1 for t in texts], np.int64))
+    return h, np.searchsorted(start, begins), start, end
+
+
+def portions(sizes, most: int = 1_500_000):
+    """Ranges of neighbours whose sizes sum to about ``most``."""
+    lo = n = 0
+    for i, size in enumerate(sizes):
+        n += size
+        if n >= most:
+            yield lo, i + 1
+            lo, n = i + 1, 0
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Sends texts to Python in batches of bounded bytes, whatever their lengths, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))

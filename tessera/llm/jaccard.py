@@ -10,7 +10,8 @@ Exact: two documents link when their shingle sets have a Jaccard likeness of at
 3. Lists are dealt by key in packed blobs. Short lists give candidate pairs. The sets of a long list are never paired
    up: long lists that share sets form a super group, whose sets are split into blocks, and each pair of blocks is
    compared in memory; only the edges of a spanning forest leave it.
-4. Candidates are verified on whole sets; links are joined into components.
+4. Candidates that a parity sketch of their sets does not rule out are verified on whole sets; links are joined into
+   components.
 
 Scale: equal sets are one node from the first step on (dropped per task before the shuffle), so copies cost a small
 row each. No list, group or component is collected; broadcast are the sketch and a bitmap, both of fixed size.
@@ -27,37 +28,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, WordHash, as_bytes, bloom, bloom_has, buckets_for, components, deal, mix, packed, save, shingles, tree_sum
+from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, components, deal, mix, packed, portions, save, shingles, tree_sum, word_hashes
 
 SKETCH = 1 << 20
 SIZES = 4096
 LONG_LIST = 48
+LEAST_PARITY, MOST_PARITY = 512, 1 << 16
 BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
 NONE = -(2**63)
 
 
-def shingle_set(text: bytes, words: WordHash, width: int) -> np.ndarray:
-    return shingles(words.array(text.lower().split()), width)
-
-
 def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
 
 
-def _sets(batch, words: WordHash, width: int):
-    words.trim()
-    for text in as_bytes(batch.column("text")):
-        yield shingle_set(text, words, width)
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """For each of m hash slots, whether it holds an odd number of items; m is a power of two, about 1.5 n."""
+    m = min(MOST_PARITY, max(LEAST_PARITY, 1 << (3 * len(s) // 2).bit_length()))
+    odd = (np.bincount((s & U64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _sets(batch, width: int):
+    """The shingle set of every text of a batch: sorted distinct hashes."""
+    texts = as_bytes(batch.column("text"))
+    for lo, hi in portions([len(t) for t in texts]):
+        words, edges, *_ = word_hashes([t.lower() for t in texts[lo:hi]])  # of bytes: A-Z only
+        runs = shingles(words, width)
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield np.unique(runs[a : z - width + 1] if z - a >= width else shingles(words[a:z], z - a))
 
 
 def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(occurrences by hash slot, number of sets by size up to SIZES) over all documents."""
 
     def count(batches):
-        total, words = np.zeros(SKETCH + SIZES + 1, np.int64), WordHash()
+        total = np.zeros(SKETCH + SIZES + 1, np.int64)
         for b in batches:
             some, held = [], 0
-            for s in _sets(b, words, width):
+            for s in _sets(b, width):
                 total[SKETCH + min(len(s), SIZES)] += 1
                 some.append(s)
                 held += len(s)
@@ -97,8 +106,8 @@ def base_and_lists(docs: DataFrame, width: int, num: int, den: int, counts: np.n
     band = -(-num * (bound + 1) // den)
 
     def run(batches):
-        words, seen, names = WordHash(), set(), ["doc_id", "n", "node", "bucket", "keys", "nodes", "sizes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        seen, names = set(), ["doc_id", "n", "node", "parity", "bucket", "keys", "nodes", "sizes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         order_of = held.value
         out: list[tuple[np.ndarray, int, int]] = []
         amount = 0
@@ -110,14 +119,15 @@ def base_and_lists(docs: DataFrame, width: int, num: int, den: int, counts: np.n
             rows = list(deal(((keys >> U64(8)) % U64(buckets)).astype(np.int64), buckets, keys, nodes, sizes))
             p, *blobs = zip(*rows, strict=True)
             none = [None] * len(p)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, p, *blobs], kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, p, *blobs], kinds, strict=True)], names)
 
         for b in batches:
-            n_of, node = [], []
-            for s in _sets(b, words, width):
+            n_of, node, parity = [], [], []
+            for s in _sets(b, width):
                 n = len(s)
                 n_of.append(n)
                 node.append(x := node_of(s) if n else None)
+                parity.append(parity_of(s))
                 if n < 2 or x in seen:  # a set of one links with equal sets only
                     continue
                 seen.add(x)
@@ -134,17 +144,17 @@ def base_and_lists(docs: DataFrame, width: int, num: int, den: int, counts: np.n
                     out.append((keys, x, n))
                     amount += len(keys)
             none = pa.nulls(len(n_of), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_of, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n_of), pa.int32()), none, none, none], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_of, pa.int64()), pa.array(node, pa.int64()), pa.array(parity, pa.list_(pa.int64())), pa.nulls(len(n_of), pa.int32()), none, none, none], names)
             if amount > 1_500_000:
                 yield dealt()
                 out, amount = [], 0
         if out:
             yield dealt()
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, bucket int, keys binary, nodes binary, sizes binary")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, parity array<long>, bucket int, keys binary, nodes binary, sizes binary")
     both = save(both, "jaccard")
     lists = both.where("bucket is not null").select("bucket", "keys", "nodes", "sizes").repartition(buckets, "bucket")
-    return both.where("bucket is null").select("doc_id", "n", "node"), lists
+    return both.where("bucket is null").select("doc_id", "n", "node", "parity"), lists
 
 
 def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -197,17 +207,32 @@ def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
     return save(lists.mapInArrow(run, "long boolean, a long, b long"), "candidates")
 
 
+def plausible(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that may link: the bits in which two parity sketches differ are a lower bound of the sets' symmetric
+    difference, which a link bounds from above. Loses none."""
+    known = base.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_p"))
+    # the upper half of the longer sketch is folded onto its lower half; likely sizes are within a factor of two
+    half = lambda p, m: F.zip_with(F.slice(p, 1, m), F.slice(p, m + 1, m), lambda x, y: x.bitwiseXOR(y))
+    a, b = F.col("a_p"), F.col("b_p")
+    a, b = F.when(F.size(a) == 2 * F.size(b), half(a, F.size(b))).otherwise(a), F.when(F.size(b) == 2 * F.size(a), half(b, F.size(a))).otherwise(b)
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    differ = F.when(F.size(a) == F.size(b), differ).otherwise(0)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(differ * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, items): the sets of the wanted documents, once a node; texts outside the bitmap are not split."""
+    """(node, items): the sets of the wanted documents; texts outside the bitmap are not split. The bitmap's false
+    positives can bring a node twice, which does no harm."""
     held = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "doc_id"))
 
     def run(batches):
-        words, seen = WordHash(), set()
+        seen = set()
         for b in batches:
             on = bloom_has(held.value, np.array(b.column("doc_id").fill_null(NONE), np.int64))
             b = b.filter(pa.array(on))
             nodes, items = [], []
-            for s in _sets(b, words, width):
+            for s in _sets(b, width):
                 if len(s) and (x := node_of(s)) not in seen:
                     seen.add(x)
                     nodes.append(x)
@@ -215,7 +240,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    return rows.mapInArrow(run, "node long, items binary")
 
 
 def _likeness_ok(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -293,7 +318,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     bound = boundary(counts, sizes, num, den)
     base, lists = base_and_lists(docs, width, num, den, counts, bound)
     found = candidates(lists, num, den)
-    pairs = found.where("not long").select("a", "b").distinct()
+    pairs = save(plausible(found.where("not long").select("a", "b").distinct(), base, num, den), "pairs")
     members = found.where("long").select("a", "b").distinct()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("b")).distinct()
     ids = base.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -309,5 +334,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", id_), F.lit(NONE)).alias("component_id"))
 
 
+def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is its component's smallest; of rows with an equal doc_id in one
+    component one stays. Documents with an empty set all stay. The texts are shuffled once, by doc_id."""
+    told = jaccard_components(docs, width, num, den)
+    kept = told.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    empty = F.max((F.col("n_shingles") == 0).cast("int"))
+    kept = kept.groupBy("doc_id").agg(F.count_if(F.col("n_shingles") > 0).alias("_full"), empty.alias("_empty")).withColumnRenamed("doc_id", "_kept")
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
+    one = joined.where("_full + _empty = 1").select(docs.columns)
+    # rows that share their doc_id: those of the component's own texts meet once more
+    again = joined.where("_full + _empty > 1").select(docs.columns)
+    return one.unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)

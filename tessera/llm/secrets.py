@@ -53,20 +53,20 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
     return out
 
 
-SCAN = "row long, doc_id long, repository string, owner string, spans array<struct<start:long,end:long,kind:int,value:string>>"
+SCAN = "row long, doc_id long, repository string, owner string, spans array<struct<start:long,end:long,kind:int,value:string,value_at:long>>"
 
 
 def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
     """One small row a document: all base and candidate spans with the hash of each value (never the value)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).cast("string").alias("text"))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.string())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.string()), ("value_at", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             spans = []
             for text in as_text(batch.column("text")):
                 base = find(text)
-                spans.append([{"start": s, "end": e, "kind": k, "value": hashlib.sha256(v.encode()).hexdigest()[:32]} for s, e, k, v in base + candidates(text, base)])
+                spans.append([{"start": s, "end": e, "kind": k, "value": hashlib.sha256(v.encode()).hexdigest()[:32], "value_at": e - len(v)} for s, e, k, v in base + candidates(text, base)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(spans, span)], ["row", "doc_id", "repository", "owner", "spans"])
 
     return rows.mapInArrow(run, SCAN)
@@ -78,16 +78,20 @@ def ownership(spans: DataFrame) -> DataFrame:
     return seen.groupBy("value").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"), F.sum("n").alias("occurrences"))
 
 
+def _judged(docs: DataFrame, repo_col: str, owner_col: str, most_owners: int, most_repositories: int) -> tuple[DataFrame, DataFrame]:
+    """(scanned rows, their spans with the owners of each value and whether it looks live)."""
+    found = save(scan(docs, repo_col=repo_col, owner_col=owner_col), "secrets")
+    flat = found.select("row", "repository", "owner", F.explode("spans").alias("s")).select("row", "repository", "owner", "s.start", "s.end", "s.kind", "s.value", "s.value_at")
+    return found, flat.join(ownership(flat), "value").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+
+
 def secret_scan(docs: DataFrame, repo_col: str = "source", owner_col: str = "source", most_owners: int = 2, most_repositories: int = 2) -> DataFrame:
     """One row a document: counts and digest of the base spans, all spans, and how many look live.
 
     Null text: no spans. Null or repeated doc_ids: each row stands for itself. An empty table gives no rows. Columns
     other than doc_id, text, repository and owner are ignored.
     """
-    found = save(scan(docs, repo_col=repo_col, owner_col=owner_col), "secrets")
-    flat = found.select("row", "repository", "owner", F.explode("spans").alias("s")).select("row", "repository", "owner", "s.start", "s.end", "s.kind", "s.value")
-    owned = ownership(flat)
-    judged = flat.join(owned, "value").withColumn("live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories))
+    found, judged = _judged(docs, repo_col, owner_col, most_owners, most_repositories)
     kept = judged.where("kind < 3 or live")
     each = kept.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners"))).alias("all"),
@@ -110,5 +114,24 @@ def secret_scan(docs: DataFrame, repo_col: str = "source", owner_col: str = "sou
     )
 
 
+def mask(docs: DataFrame, repo_col: str = "source", owner_col: str = "source", most_owners: int = 2, most_repositories: int = 2, sign: str = "[SECRET]") -> DataFrame:
+    """All rows and columns of ``docs``; in ``text`` the values of spans that look live are replaced by a sign, and
+    n_chars, if there is such a column, follows. Rows without any are unchanged. The texts are shuffled once."""
+    found, judged = _judged(docs, repo_col, owner_col, most_owners, most_repositories)
+    cuts = judged.where("live").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("value_at", "end"))).alias("_cuts"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    merged = F.aggregate(  # (text so far, end of the last cut)
+        "_cuts",
+        F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
+        lambda a, c: F.when(c["value_at"] < a["at"], F.struct(a["text"].alias("text"), F.greatest(a["at"], c["end"]).alias("at"))).otherwise(
+            F.struct(F.concat(a["text"], F.substring("text", (a["at"] + 1).cast("int"), (c["value_at"] - a["at"]).cast("int")), F.lit(sign)).alias("text"), c["end"].alias("at"))
+        ),
+        lambda a: F.concat(a["text"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2**31 - 1))),
+    )
+    out = rows.join(cuts.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left").withColumn("_text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(merged))
+    kept = {"text": F.col("_text"), "n_chars": F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select([kept[c].alias(c) if kept.get(c) is not None else F.col(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

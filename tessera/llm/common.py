@@ -262,3 +262,16 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > most:
         spark.conf.set(name, str(most))
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system: idle workers stay alive between stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -25,21 +25,35 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_bytes, buckets_for, deal, mix, save
+from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, deal, mix, portions, save, tidy
 from tessera.llm.winnow import _rolling
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
-WIDTH = 88  # at least 2 * LENGTH - GRAM, the longest cut
+WIDTH = 80  # at least 2 * LENGTH - GRAM, the longest cut
 BITS = 27
-PORTION = 2_000_000
+PORTION = 300_000
 NONE = -(2**63)
 
 
+def _small(data) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(bytes(data))
+
+
+def _array(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _digest(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data)
+
+
 # --- the kernel
 def suffix_array(buffer: np.ndarray, begin: np.ndarray, stop: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the suffixes buffer[begin:stop], compared on ``width`` bytes; lcp[i] belongs to order[i-1], order[i]."""
@@ -148,21 +162,15 @@ def anchors(texts: list[bytes]):
     return h[a[first]], text[first], a[first], starts[first], starts[last] if len(first) else starts[:0], begins, data
 
 
-def _portions(sizes: list[int], most: int = PORTION):
-    lo = n = 0
-    for i, size in enumerate(sizes):
-        n += size
-        if n >= most:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(sizes):
-        yield lo, len(sizes)
-
-
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - BITS)).astype(np.int64)
 
 
+def _six(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper six bytes of hashes (the lowest bit of these tells whether several documents of a task have it)."""
+    return (h >> U64(32)).astype(np.uint32), (h >> U64(16)).astype(np.uint16)
+
+
 def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
     """A bitmap over hash slots of the anchors that occur in two documents or more."""
 
@@ -170,24 +178,24 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
         seq, hashes, owner = 0, [], []
 
         def flush():
-            h, d = np.concatenate(hashes) & ~U64(1), np.concatenate(owner)
+            h, d = np.concatenate(hashes) & ~U64((1 << 17) - 1), np.concatenate(owner)
             order = np.argsort(h, kind="stable")
             h, d = h[order], d[order]
             new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             several = np.maximum.reduceat(d, new) != np.minimum.reduceat(d, new)
-            h = h[new] | several.astype(np.uint64)
-            p, blobs = zip(*deal(_slot(h) * buckets >> BITS, buckets, h), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "hashes"])
+            h = h[new] | several.astype(np.uint64) << U64(16)
+            p, *blobs = zip(*deal(_slot(h) * buckets >> BITS, buckets, *_six(h)), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "high", "low"])
 
         held = 0
         for b in batches:
             texts = as_bytes(b.column("text"))
-            for lo, hi in _portions([len(t) for t in texts]):
+            for lo, hi in portions([len(t) for t in texts], PORTION):
                 h, text, *_ = anchors(texts[lo:hi])
                 hashes.append(h)
                 owner.append(text + seq + lo)
                 held += len(h)
-                if held > 2_000_000:
+                if held > 700_000:
                     yield flush()
                     hashes, owner, held = [], [], 0
             seq += len(texts)
@@ -197,12 +205,12 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
     def gather(batches):
         mine: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for p, blob in zip(b.column("bucket").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                mine.setdefault(p, []).append(np.frombuffer(blob, np.uint64))
+            for p, high, low in zip(*(b.column(c).to_pylist() for c in ("bucket", "high", "low")), strict=True):
+                mine.setdefault(p, []).append(np.frombuffer(high, np.uint32).astype(np.uint64) << U64(32) | np.frombuffer(low, np.uint16).astype(np.uint64) << U64(16))
         for parts in mine.values():  # a bucket is a range of slots
             h = np.sort(np.concatenate(parts))
-            keep = (h & U64(1)) == U64(1)
-            keep[1:] |= (h[1:] & ~U64(1)) == (h[:-1] & ~U64(1))
+            keep = (h & U64(1 << 16)) != U64(0)
+            keep[1:] |= h[1:] >> U64(17) == h[:-1] >> U64(17)
             at = _slot(h[keep])
             if len(at):
                 lo = int(at[0]) >> 3
@@ -210,7 +218,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
                 np.bitwise_or.at(bits, (at >> 3) - lo, (1 << (at & 7)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([zlib.compress(bits.tobytes(), 1)])], ["lo", "bits"])
 
-    dealt = docs.select("text").mapInArrow(scan, "bucket int, hashes binary").repartition(buckets, "bucket")
+    dealt = docs.select("text").mapInArrow(scan, "bucket int, high binary, low binary").repartition(buckets, "bucket")
     bits = np.zeros(1 << BITS - 3, np.uint8)
     for lo, blob in dealt.mapInArrow(gather, "lo long, bits binary").toLocalIterator():
         part = np.frombuffer(zlib.decompress(blob), np.uint8)
@@ -221,8 +229,9 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
 ENTRY = "task long, bucket int, hashes binary, ids binary, low binary, high binary, sizes binary, wins binary, cuts binary, rows binary, uses binary, at binary"
 
 
-def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int) -> DataFrame:
-    """Entries dealt by anchor (bucket given), and per task the occurrences of its entries (bucket null)."""
+def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, own: bool) -> DataFrame:
+    """Entries dealt by anchor, or (``own``) per task the occurrences of its entries. Both come from one deterministic
+    scan, run twice: that is less than to store the cuts."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
     names = [x.split()[0] for x in ENTRY.split(", ")]
     kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 10
@@ -236,11 +245,14 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int) -> DataFrame:
             nonlocal flushes
             task, flushes = me << 24 | flushes, flushes + 1
             h, doc, row, at, win = (np.concatenate(x) for x in (h_, doc_, row_, at_, win_))
-            key = np.array([int.from_bytes(hashlib.blake2b(c, digest_size=8).digest(), "little") for c in cut_], np.uint64)
+            key = np.array([_digest(c) for c in cut_], np.uint64)
             _, one, entry = np.unique(key, return_index=True, return_inverse=True)  # equal cuts are one entry
             low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, entry, doc)
             np.maximum.at(high, entry, doc)
+            if own:
+                out = [(task, None, None, None, _small(doc), None, None, None, None, *map(_small, (row, entry.astype(np.int32), at.astype(np.int32))))]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
             bucket = (h[one] >> U64(8)) % U64(buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -248,13 +260,12 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int) -> DataFrame:
             for p in np.flatnonzero(np.diff(edges)):
                 e = order[edges[p] : edges[p + 1]]
                 cuts = [cut_[i] for i in one[e]]
-                out.append((task, int(p), h[one[e]].tobytes(), e.astype(np.int32).tobytes(), low[e].tobytes(), high[e].tobytes(), np.array([len(c) for c in cuts], np.int32).tobytes(), win[one[e]].astype(np.int32).tobytes(), b"".join(cuts), None, None, None))
-            out.append((task, None, None, None, doc.tobytes(), None, None, None, None, row.tobytes(), entry.astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
+                out.append((task, int(p), h[one[e]].tobytes(), *map(_small, (e.astype(np.int32), low[e], high[e], np.array([len(c) for c in cuts], np.uint8), win[one[e]].astype(np.uint8), b"".join(cuts))), None, None, None))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for b in batches:
             texts, ids, rows = as_bytes(b.column("text")), np.array(b.column("doc_id").fill_null(NONE), np.int64), np.array(b.column("row"), np.int64)
-            for lo, hi in _portions([len(t) for t in texts]):
+            for lo, hi in portions([len(t) for t in texts], PORTION):
                 h, text, _, first, last, begins, data = anchors(texts[lo:hi])
                 at = _slot(h)
                 on = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
@@ -269,13 +280,15 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int) -> DataFrame:
                 at_.append(first - begins[text])
                 win_.append(last - first + 1)
                 held_n += len(h)
-                if held_n > 400_000:
+                if held_n > 150_000:
                     yield flush()
                     h_, doc_, row_, at_, win_, cut_, held_n = [], [], [], [], [], [], 0
         if held_n:
             yield flush()
 
-    return save(docs.mapInArrow(scan, ENTRY), "suffix")
+        tidy()
+
+    return docs.mapInArrow(scan, ENTRY)
 
 
 def answer(entries: DataFrame, buckets: int) -> DataFrame:
@@ -289,15 +302,18 @@ def answer(entries: DataFrame, buckets: int) -> DataFrame:
                 mine.setdefault(r["bucket"], []).append(r)
         for bucket in list(mine):
             yield from _solve(mine.pop(bucket))
+        tidy()
 
     def _solve(rows):
-        get = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        h, ids, low, high, size, wins = get("hashes", np.uint64), get("ids", np.int32), get("low", np.int64), get("high", np.int64), get("sizes", np.int32).astype(np.int64), get("wins", np.int32).astype(np.int64)
-        task = np.concatenate([np.full(len(r["ids"]) // 4, r["task"], np.int64) for r in rows])
-        data = np.frombuffer(b"".join(r["cuts"] for r in rows), np.uint8)
+        get = lambda name, kind: np.concatenate([_array(r[name], kind) for r in rows])
+        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        ids, low, high, size, wins = get("ids", np.int32), get("low", np.int64), get("high", np.int64), get("sizes", np.uint8).astype(np.int64), get("wins", np.uint8).astype(np.int64)
+        task = np.concatenate([np.full(len(r["hashes"]) // 8, r["task"], np.int64) for r in rows])
+        data = get("cuts", np.uint8)
+        rows.clear()
         offset = np.cumsum(size) - size
         whole = data.tobytes()
-        key = np.array([int.from_bytes(hashlib.blake2b(whole[a : a + n], digest_size=8).digest(), "little") for a, n in zip(offset.tolist(), size.tolist(), strict=True)], np.uint64)
+        key = np.array([_digest(whole[a : a + n]) for a, n in zip(offset.tolist(), size.tolist(), strict=True)], np.uint64)
         _, one, cut = np.unique(key, return_index=True, return_inverse=True)
         cut_low = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(cut_low, cut, low)
@@ -334,14 +350,14 @@ def answer(entries: DataFrame, buckets: int) -> DataFrame:
         if not len(e):
             return
         tasks, at = np.unique(task[e], return_inverse=True)
-        rows_out = [(int(tasks[p]), *blobs) for p, *blobs in deal(at, len(tasks), ids[e], run_from[r].astype(np.int32), run_to[r].astype(np.int32), result[run[r]])]
+        rows_out = [(int(tasks[p]), *map(_small, blobs)) for p, *blobs in deal(at, len(tasks), ids[e], run_from[r].astype(np.uint8), run_to[r].astype(np.uint8), result[run[r]])]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)], ["task", "ids", "first", "last", "low"])
 
-    dealt = entries.where("bucket is not null").select("task", "bucket", "hashes", "ids", "low", "high", "sizes", "wins", "cuts").repartition(buckets, "bucket")
+    dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "sizes", "wins", "cuts").repartition(buckets, "bucket")
     return dealt.mapInArrow(solve, "task long, ids binary, first binary, last binary, low binary")
 
 
-def _groups(h: np.ndarray, weight: np.ndarray, most: int = 250_000):
+def _groups(h: np.ndarray, weight: np.ndarray, most: int = 60_000):
     """Ranges of whole anchors with about so many strings together."""
     edge = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h)) if len(h) else np.zeros(1, np.int64)
     total = np.concatenate([[0], np.cumsum(weight)])
@@ -357,9 +373,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     ``LENGTH`` bytes that also start in a document with a smaller doc_id. Rows without any are absent."""
     buckets = buckets_for(docs)
     bits = repeated_anchors(docs, buckets)
-    entries = cut_out(docs, bits, buckets)
-    own = entries.where("bucket is null").select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("first"), F.col("rows").alias("last"), "low")
-    replies = answer(entries, buckets).select("task", F.lit(1).alias("kind"), "ids", "first", "last", "low")
+    own = cut_out(docs, bits, buckets, True).select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("first"), F.col("rows").alias("last"), "low")
+    replies = answer(cut_out(docs, bits, buckets, False), buckets).select("task", F.lit(1).alias("kind"), "ids", "first", "last", "low")
     both = own.unionByName(replies).repartition(buckets, "task").sortWithinPartitions("task", "kind")
 
     def cover(batches):
@@ -392,9 +407,9 @@ def repeats(docs: DataFrame) -> DataFrame:
                         yield out
                     now, parts = r["task"], []
                 if r["kind"] == 0:
-                    mine = np.frombuffer(r["ids"], np.int32), np.frombuffer(r["first"], np.int32).astype(np.int64), np.frombuffer(r["last"], np.int64), np.frombuffer(r["low"], np.int64)
+                    mine = _array(r["ids"], np.int32), _array(r["first"], np.int32).astype(np.int64), _array(r["last"], np.int64), _array(r["low"], np.int64)
                 else:
-                    parts.append((np.frombuffer(r["ids"], np.int32), np.frombuffer(r["first"], np.int32), np.frombuffer(r["last"], np.int32), np.frombuffer(r["low"], np.int64)))
+                    parts.append((_array(r["ids"], np.int32), _array(r["first"], np.uint8), _array(r["last"], np.uint8), _array(r["low"], np.int64)))
         if now is not None and (out := emit(*mine, parts)) is not None:
             yield out
 
@@ -414,7 +429,8 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     must be the same at each read (a stored table), since row numbers are taken from its scan.
     """
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeats(docs)
+    found = save(repeats(docs), "repeats")
+    held = docs.sparkSession.sparkContext.broadcast(bloom(found, "row"))
     more = ", kept binary, spans array<struct<start:long,end:long>>" if texts else ""
 
     def apply(batches):
@@ -439,7 +455,18 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if texts else [])])
 
-    return docs.join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans").mapInArrow(apply, OUT + more)
+    def part(some: bool):
+        def pick(batches):
+            for b in batches:
+                on = bloom_has(held.value, np.array(b.column("row"), np.int64))
+                yield b.filter(pa.array(on if some else ~on))
+
+        return docs.mapInArrow(pick, docs.schema)
+
+    # a text outside the bitmap loses nothing and stays where it is; the others meet their spans
+    hit = part(True).join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
+    rest = part(False).select("doc_id", "text", F.lit(None).cast("string").alias("spans"))
+    return hit.mapInArrow(apply, OUT + more).unionByName(rest.mapInArrow(apply, OUT + more))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

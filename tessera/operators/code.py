@@ -36,16 +36,16 @@ def declarations(files: DataFrame) -> DataFrame:
     """(path, name, kind, line_start, line_end, signature): a symbol ends before the next one, the last with the file."""
     rows = lines(files).where(~F.col("text").rlike(r"^\s*(//|#|/\*|\*|$)"))
     rest = F.regexp_replace(F.btrim("text"), rf"^((pub(\([^)]*\))?|{'|'.join(MODIFIERS)})\s+)+(?=\S)", "")
-    # a constant's own keyword is also a modifier: keep it where a name follows at once
-    kind = name = None
-    for language, keywords in BY_LANGUAGE.items():
-        for keyword, k in keywords:
-            source = F.btrim("text") if keyword in ("const", "static") else rest
-            pattern = rf"^(?:pub(?:\([^)]*\))?\s+)?{keyword}\s+([A-Za-z_$][A-Za-z0-9_$]*)" if keyword in ("const", "static") else rf"^{keyword}\s+([A-Za-z_$][A-Za-z0-9_$]*)"
-            got = F.regexp_extract(source, pattern, 1)
-            on = (F.col("language") == language) & (got != "") & ~got.isin("fn", "unsafe", "async")
-            kind = F.when(on, k) if kind is None else kind.when(on, k)
-            name = F.when(on, got) if name is None else name.when(on, got)
+    # one pattern for all languages; whether a keyword declares anything in this one, and what, is looked up
+    keywords = sorted({k for ks in BY_LANGUAGE.values() for k, _ in ks} - {"const", "static"}, key=len, reverse=True)
+    pattern = rf"^({'|'.join(keywords)})\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+    fixed = r"^(?:pub(?:\([^)]*\))?\s+)?(const|static)\s+(?!fn\b|unsafe\b|async\b)(?:mut\s+)?([A-Za-z_$][A-Za-z0-9_$]*)"  # their own keyword is a modifier too
+    kinds = F.create_map(*[F.lit(x) for lang, ks in BY_LANGUAGE.items() for k, kind in ks for x in (f"{lang} {k}", kind)])
+    rows = rows.withColumn("rest", rest)
+    word, constant = F.regexp_extract("rest", pattern, 1), F.regexp_extract(F.btrim("text"), fixed, 1)
+    rows = rows.withColumn("word", F.when(word != "", word).otherwise(constant)).withColumn("found", F.when(word != "", F.regexp_extract("rest", pattern, 2)).otherwise(F.regexp_extract(F.btrim("text"), fixed, 2)))
+    known = F.element_at(kinds, F.concat_ws(" ", "language", "word"))
+    kind, name = F.when(known.isNotNull(), known), F.when(known.isNotNull(), F.col("found"))
     go = F.regexp_extract(F.btrim("text"), r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)", 1)
     go_type = F.regexp_extract(F.btrim("text"), r"^type\s+([A-Za-z_][A-Za-z0-9_]*)", 1)
     is_go = F.col("language") == "go"
@@ -69,10 +69,10 @@ def reference_kind(line: Column | str, name: Column | str, kind: Column | str) -
     """What a line does with a symbol; the first that fits."""
     t, n, k = col(line), col(name), col(kind)
     trimmed, low, like = F.ltrim(t), F.lower(F.ltrim(t)), k.isin(*TYPE_LIKE)
-    call = t.rlike(F.concat(identifier(n), F.lit(r"\s*\(")))
-    member = t.rlike(F.concat(F.lit(r"(\.|::|->)\s*"), identifier(n), F.lit(r"\s*\(")))
-    makes = t.rlike(F.concat(F.lit(r"new\s*"), identifier(n))) | t.rlike(F.concat(identifier(n), F.lit(r"\s*[({]")))
-    base = trimmed.rlike(F.concat(F.lit(r"^class .*?\(.*"), identifier(n), F.lit(r".*\).*:$")))
+    call = F.rlike(t, F.concat(identifier(n), F.lit(r"\s*\(")))
+    member = F.rlike(t, F.concat(F.lit(r"(\.|::|->)\s*"), identifier(n), F.lit(r"\s*\(")))
+    makes = F.rlike(t, F.concat(F.lit(r"new\s*"), identifier(n))) | F.rlike(t, F.concat(identifier(n), F.lit(r"\s*[({]")))
+    base = F.rlike(trimmed, F.concat(F.lit(r"^class .*?\(.*"), identifier(n), F.lit(r".*\).*:$")))
     return (
         F.when(trimmed.rlike(r"^(use|import|from) ") | F.contains(t, F.lit("require(")), "import")
         .when(like & (low.rlike(r"^impl[ <]") | F.contains(low, F.lit(" implements ")) | F.contains(low, F.lit(": implements "))), "implementation")
@@ -97,7 +97,7 @@ def references(files: DataFrame, symbols: DataFrame) -> DataFrame:
     hit = hit.withColumn("kind", kind)
     stem = F.regexp_extract("target_path", r"([^/.]+)\.[^/]*$", 1)
     imports = code.where(F.ltrim("text").rlike("^(use|import|from) ") | F.contains("text", F.lit("require("))).groupBy("path").agg(F.array_join(F.collect_list("text"), "\n").alias("imports"))
-    hit = hit.join(imports, "path", "left").withColumn("local", F.col("path") == F.col("target_path")).withColumn("imported", F.coalesce(F.col("imports").rlike(identifier(stem)), F.lit(False)))
+    hit = hit.join(imports, "path", "left").withColumn("local", F.col("path") == F.col("target_path")).withColumn("imported", F.coalesce(F.rlike("imports", identifier(stem)), F.lit(False)))
     w = Window.partitionBy("path", "line", "name")
     own, known = F.max("local").over(w), F.max("imported").over(w)
     hit = hit.withColumn("keep", (F.col("kind") == "method_call") | F.when(own, F.col("local")).when(known, F.col("imported")).otherwise(True))

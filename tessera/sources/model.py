@@ -102,5 +102,5 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("src/user_"), F.col("user_id").cast("string"), F.lit(".rs")).alias("path"),
         F.when(F.col("event_type") == "error", "error").when(F.col("value") > 50, "warning").otherwise("note").alias("severity"),
         F.concat(F.col("event_type"), F.lit(" while handling user "), F.col("user_id").cast("string")).alias("message"),
-        F.unix_millis("ts").alias("created_at_ms"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at_ms"),
     )

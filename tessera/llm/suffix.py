@@ -10,12 +10,15 @@ wherever they stand. So
 
 1. a scan deals the anchors of all texts by hash; a bitmap of fixed size keeps those that occur in several documents;
 2. a second scan cuts out, for each such anchor, the bytes of the strings assigned to it; equal cuts of one task are
-   one entry with its smallest and largest document, so a passage in a third of all texts is one entry a task;
-3. all entries of an anchor meet in one bucket, where the kernel finds the repeats and with them the smallest document
-   of every string; the answers go back to the tasks they came from, never to single hot keys;
+   one entry with its smallest and largest document, so a passage in a third of all texts is one entry a task. Digests
+   of the cuts meet by anchor: where all cuts are equal (inside a copied passage) that answers for all their strings,
+   the other anchors (around its ends) go into a second bitmap;
+3. a third scan deals the cuts of these themselves; all of an anchor meet in one bucket, where the kernel finds the
+   repeats and with them the smallest document of every string. Answers go back to the tasks they came from, never to
+   single hot keys;
 4. covered runs are merged per document.
 
-Broadcast is the bitmap only: beyond its capacity more anchors are taken along, the result stays the same.
+Broadcast are the bitmaps only: beyond their capacity more anchors are taken along, the result stays the same.
 """
 
 from __future__ import annotations
@@ -121,11 +124,14 @@ def smallest_document(buffer, begin, stop, start, document, least: int = LENGTH)
     ranked = np.append(document[order], np.iinfo(np.int64).max)
     least_doc = np.minimum.reduceat(ranked, np.stack([first, last + 1], 1).ravel())[::2]
     count = last - first + 1
-    group = np.repeat(np.arange(len(first)), count)
-    member = order[np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-    reach = length[group] - least + 1  # suffixes of one string are neighbours: a repeat covers as many of them
-    at = np.repeat(member - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
-    np.minimum.at(low, at, np.repeat(least_doc[group], reach))
+    cover = length - least + 1  # suffixes of one string are neighbours: a repeat covers as many of them
+    for lo, hi in portions((count * cover).tolist(), 1_000_000):  # of repeats that contain each other there may be many
+        n = count[lo:hi]
+        group = np.repeat(np.arange(lo, hi), n)
+        member = order[np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        reach = cover[group]
+        at = np.repeat(member - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
+        np.minimum.at(low, at, np.repeat(least_doc[group], reach))
     return low
 
 
@@ -211,35 +217,52 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
             h = np.sort(np.concatenate(parts))
             keep = (h & U64(1 << 16)) != U64(0)
             keep[1:] |= h[1:] >> U64(17) == h[:-1] >> U64(17)
-            at = _slot(h[keep])
-            if len(at):
-                lo = int(at[0]) >> 3
-                bits = np.zeros((int(at[-1]) >> 3) - lo + 1, np.uint8)
-                np.bitwise_or.at(bits, (at >> 3) - lo, (1 << (at & 7)).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([zlib.compress(bits.tobytes(), 1)])], ["lo", "bits"])
+            marks = list(_marked(h[keep]))
+            if marks:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.binary())], ["lo", "bits"])
 
     dealt = docs.select("text").mapInArrow(scan, "bucket int, high binary, low binary").repartition(buckets, "bucket")
+    return _bitmap(dealt.mapInArrow(gather, "lo long, bits binary").toLocalIterator())
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slot(h)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
+
+
+def _marked(h: np.ndarray):
+    """Rows (lo, bits) of a bitmap with the slots of h set, for each stretch of slots."""
+    at = np.unique(_slot(h))
+    for block in np.split(at, np.flatnonzero(np.diff(at >> 16)) + 1) if len(at) else []:
+        lo = int(block[0]) >> 3
+        bits = np.zeros((int(block[-1]) >> 3) - lo + 1, np.uint8)
+        np.bitwise_or.at(bits, (block >> 3) - lo, (1 << (block & 7)).astype(np.uint8))
+        yield lo, zlib.compress(bits.tobytes(), 1)
+
+
+def _bitmap(rows) -> np.ndarray:
     bits = np.zeros(1 << BITS - 3, np.uint8)
-    for lo, blob in dealt.mapInArrow(gather, "lo long, bits binary").toLocalIterator():
+    for lo, blob in rows:
         part = np.frombuffer(zlib.decompress(blob), np.uint8)
         bits[lo : lo + len(part)] |= part
     return bits
 
 
-ENTRY = "task long, bucket int, hashes binary, ids binary, low binary, high binary, sizes binary, wins binary, cuts binary, rows binary, uses binary, at binary"
+ENTRY = "task long, bucket int, hashes binary, ids binary, low binary, high binary, sizes binary, wins binary, cuts binary, digests binary, rows binary, uses binary, at binary"
 
 
-def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, own: bool) -> DataFrame:
-    """Entries dealt by anchor, or (``own``) per task the occurrences of its entries. Both come from one deterministic
-    scan, run twice: that is less than to store the cuts."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, what: str, only: np.ndarray | None = None) -> DataFrame:
+    """By ``what``: ``digests``, entries without their bytes, dealt by anchor; ``cuts``, with their bytes, of the anchors
+    in the bitmap ``only``; ``own``, per task the occurrences of its entries. All come from one deterministic scan, run
+    again: that is less than to store the cuts."""
+    held = docs.sparkSession.sparkContext.broadcast((bits, only))
     names = [x.split()[0] for x in ENTRY.split(", ")]
-    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 10
+    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 11
 
     def scan(batches):
         me, flushes = TaskContext.get().partitionId(), 0
         h_, doc_, row_, at_, win_, cut_ = [], [], [], [], [], []
-        bitmap, held_n = held.value, 0
+        (bitmap, chosen), held_n = held.value, 0
 
         def flush():
             nonlocal flushes
@@ -250,25 +273,32 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, own: bool) -> DataF
             low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, entry, doc)
             np.maximum.at(high, entry, doc)
-            if own:
-                out = [(task, None, None, None, _small(doc), None, None, None, None, *map(_small, (row, entry.astype(np.int32), at.astype(np.int32))))]
+            if what == "own":
+                out = [(task, None, None, None, _small(doc), None, None, None, None, None, *map(_small, (row, entry.astype(np.int32), at.astype(np.int32))))]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-            bucket = (h[one] >> U64(8)) % U64(buckets)
+            bucket = ((h[one] >> U64(8)) % U64(buckets)).astype(np.int64)
+            if what == "cuts":
+                bucket[~_has(chosen, h[one])] = buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
             for p in np.flatnonzero(np.diff(edges)):
                 e = order[edges[p] : edges[p + 1]]
-                cuts = [cut_[i] for i in one[e]]
-                out.append((task, int(p), h[one[e]].tobytes(), *map(_small, (e.astype(np.int32), low[e], high[e], np.array([len(c) for c in cuts], np.uint8), win[one[e]].astype(np.uint8), b"".join(cuts))), None, None, None))
+                common = task, int(p), h[one[e]].tobytes(), *map(_small, (e.astype(np.int32), low[e], high[e]))
+                if what == "digests":
+                    out.append((*common, None, _small(win[one[e]].astype(np.uint8)), None, key[one[e]].tobytes(), None, None, None))
+                else:
+                    cuts = [cut_[i] for i in one[e]]
+                    out.append((*common, *map(_small, (np.array([len(c) for c in cuts], np.uint8), win[one[e]].astype(np.uint8), b"".join(cuts))), None, None, None, None))
+            if not out:
+                return None
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         for b in batches:
             texts, ids, rows = as_bytes(b.column("text")), np.array(b.column("doc_id").fill_null(NONE), np.int64), np.array(b.column("row"), np.int64)
             for lo, hi in portions([len(t) for t in texts], PORTION):
                 h, text, _, first, last, begins, data = anchors(texts[lo:hi])
-                at = _slot(h)
-                on = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
+                on = _has(bitmap, h)
                 if not on.any():
                     continue
                 h, text, first, last = h[on], text[on], first[on], last[on]
@@ -281,35 +311,83 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, own: bool) -> DataF
                 win_.append(last - first + 1)
                 held_n += len(h)
                 if held_n > 150_000:
-                    yield flush()
+                    if (out := flush()) is not None:
+                        yield out
                     h_, doc_, row_, at_, win_, cut_, held_n = [], [], [], [], [], [], 0
-        if held_n:
-            yield flush()
-
+        if held_n and (out := flush()) is not None:
+            yield out
         tidy()
 
     return docs.mapInArrow(scan, ENTRY)
 
 
+REPLY = "task long, ids binary, first binary, last binary, low binary"
+
+
+def _reply(task, ids, first, last, low):
+    """Answers as one row a task."""
+    if len(task):
+        tasks, at = np.unique(task, return_inverse=True)
+        out = [(int(tasks[p]), *map(_small, blobs)) for p, *blobs in deal(at, len(tasks), ids, first.astype(np.uint8), last.astype(np.uint8), low)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)], ["task", "ids", "first", "last", "low"])
+
+
+def _collected(rows):
+    get = lambda name, kind: np.concatenate([_array(r[name], kind) for r in rows])
+    h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+    task = np.concatenate([np.full(len(r["hashes"]) // 8, r["task"], np.int64) for r in rows])
+    return get, h, task, get("ids", np.int32), get("low", np.int64), get("high", np.int64), get("wins", np.uint8).astype(np.int64)
+
+
+def _by_bucket(batches):
+    mine: dict[int, list[dict]] = {}
+    for b in batches:
+        for r in b.to_pylist():
+            mine.setdefault(r["bucket"], []).append(r)
+    for bucket in list(mine):
+        yield mine.pop(bucket)
+
+
+def answer_equal(entries: DataFrame, buckets: int) -> DataFrame:
+    """Answers of the anchors all of whose cuts are equal, and (lo, bits) of the others' bitmap."""
+
+    def solve(batches):
+        for rows in _by_bucket(batches):
+            _, h, task, ids, low, high, wins = _collected(rows)
+            digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in rows])
+            _, group = np.unique(h, return_inverse=True)
+            n = group.max() + 1
+            a, z, least = np.full(n, U64(2**64 - 1)), np.zeros(n, np.uint64), np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(a, group, digest)
+            np.maximum.at(z, group, digest)
+            np.minimum.at(least, group, low)
+            equal = (a == z)[group]
+            on = equal & (least[group] < high)
+            for b in _reply(task[on], ids[on], np.zeros(int(on.sum()), np.int64), wins[on], least[group][on]):
+                none = pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns, *none], [*b.schema.names, "lo", "bits"])
+            marks = list(_marked(h[~equal]))
+            if marks:
+                none = [pa.nulls(len(marks), pa.int64())] + [pa.nulls(len(marks), pa.binary())] * 4
+                yield pa.RecordBatch.from_arrays([*none, pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.binary())], ["task", "ids", "first", "last", "low", "lo", "bits"])
+        tidy()
+
+    dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "wins", "digests").repartition(buckets, "bucket")
+    return save(dealt.mapInArrow(solve, REPLY + ", lo long, bits binary"), "equal")
+
+
 def answer(entries: DataFrame, buckets: int) -> DataFrame:
     """(task, ids, first, last, low): for string starts first..last of an entry, the smallest document that has them;
     only where that is smaller than some document of the entry."""
 
     def solve(batches):
-        mine: dict[int, list[dict]] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                mine.setdefault(r["bucket"], []).append(r)
-        for bucket in list(mine):
-            yield from _solve(mine.pop(bucket))
+        for rows in _by_bucket(batches):
+            yield from _solve(rows)
         tidy()
 
     def _solve(rows):
-        get = lambda name, kind: np.concatenate([_array(r[name], kind) for r in rows])
-        h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        ids, low, high, size, wins = get("ids", np.int32), get("low", np.int64), get("high", np.int64), get("sizes", np.uint8).astype(np.int64), get("wins", np.uint8).astype(np.int64)
-        task = np.concatenate([np.full(len(r["hashes"]) // 8, r["task"], np.int64) for r in rows])
-        data = get("cuts", np.uint8)
+        get, h, task, ids, low, high, wins = _collected(rows)
+        size, data = get("sizes", np.uint8).astype(np.int64), get("cuts", np.uint8)
         rows.clear()
         offset = np.cumsum(size) - size
         whole = data.tobytes()
@@ -349,12 +427,10 @@ def answer(entries: DataFrame, buckets: int) -> DataFrame:
         e, r = e[use], r[use]
         if not len(e):
             return
-        tasks, at = np.unique(task[e], return_inverse=True)
-        rows_out = [(int(tasks[p]), *map(_small, blobs)) for p, *blobs in deal(at, len(tasks), ids[e], run_from[r].astype(np.uint8), run_to[r].astype(np.uint8), result[run[r]])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows_out, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)], ["task", "ids", "first", "last", "low"])
+        yield from _reply(task[e], ids[e], run_from[r], run_to[r], result[run[r]])
 
     dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "sizes", "wins", "cuts").repartition(buckets, "bucket")
-    return dealt.mapInArrow(solve, "task long, ids binary, first binary, last binary, low binary")
+    return dealt.mapInArrow(solve, REPLY)
 
 
 def _groups(h: np.ndarray, weight: np.ndarray, most: int = 60_000):
@@ -373,8 +449,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     ``LENGTH`` bytes that also start in a document with a smaller doc_id. Rows without any are absent."""
     buckets = buckets_for(docs)
     bits = repeated_anchors(docs, buckets)
-    own = cut_out(docs, bits, buckets, True).select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("first"), F.col("rows").alias("last"), "low")
-    replies = answer(cut_out(docs, bits, buckets, False), buckets).select("task", F.lit(1).alias("kind"), "ids", "first", "last", "low")
+    own = cut_out(docs, bits, buckets, "own").select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("first"), F.col("rows").alias("last"), "low")
+    equal = answer_equal(cut_out(docs, bits, buckets, "digests"), buckets)
+    differ = _bitmap(equal.where("task is null").select("lo", "bits").toLocalIterator())
+    known = equal.where("task is not null").select("task", "ids", "first", "last", "low")
+    replies = known.unionByName(answer(cut_out(docs, bits, buckets, "cuts", differ), buckets)).select("task", F.lit(1).alias("kind"), "ids", "first", "last", "low")
     both = own.unionByName(replies).repartition(buckets, "task").sortWithinPartitions("task", "kind")
 
     def cover(batches):
@@ -436,8 +515,10 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     def apply(batches):
         for b in batches:
             out = []
-            for text, told in zip(as_bytes(b.column("text")), b.column("spans").to_pylist(), strict=True):
+            for text, told, packed in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "packed")), strict=True):
                 runs = []
+                if packed:
+                    text = zstandard.ZstdDecompressor().decompress(text)
                 if told:
                     s = np.frombuffer(bytes.fromhex(told), np.int32).reshape(-1, 2)
                     for a, z in s[np.argsort(s[:, 0], kind="stable")].tolist():
@@ -459,13 +540,15 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
         def pick(batches):
             for b in batches:
                 on = bloom_has(held.value, np.array(b.column("row"), np.int64))
-                yield b.filter(pa.array(on if some else ~on))
+                b = b.filter(pa.array(on if some else ~on))
+                texts = [_small(t) for t in as_bytes(b.column("text"))] if some else as_bytes(b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(texts, pa.binary())], ["row", "doc_id", "text"])
 
-        return docs.mapInArrow(pick, docs.schema)
+        return docs.mapInArrow(pick, "row long, doc_id long, text binary")
 
     # a text outside the bitmap loses nothing and stays where it is; the others meet their spans
-    hit = part(True).join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
-    rest = part(False).select("doc_id", "text", F.lit(None).cast("string").alias("spans"))
+    hit = part(True).join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans", F.lit(True).alias("packed"))
+    rest = part(False).select("doc_id", "text", F.lit(None).cast("string").alias("spans"), F.lit(False).alias("packed"))
     return hit.mapInArrow(apply, OUT + more).unionByName(rest.mapInArrow(apply, OUT + more))
 
 

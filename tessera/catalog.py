@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import graph, recall, store
+from tessera.plans import context, graph, recall, store
 
-MODULES = (recall, graph, store)
+MODULES = (recall, graph, store, context)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "recall_blend"

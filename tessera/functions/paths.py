@@ -13,7 +13,7 @@ LANGUAGES = {
     "py": "python", "go": "go", "swift": "swift", "java": "java", "kt": "kotlin", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "html": "html", "css": "css", "sql": "sql",
 }
 # Folders that are not scanned.
-SKIPPED = [".git", ".hugr", ".agent-out", ".worktrees", "target", "node_modules", "vendor", "dist", "build", ".next", "out", "coverage"]
+SKIPPED = [".git", ".agent-out", ".worktrees", "target", "node_modules", "vendor", "dist", "build", ".next", "out", "coverage"]
 
 
 def file_name(path: Column | str) -> Column:

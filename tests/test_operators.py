@@ -102,3 +102,31 @@ def test_stream_gives_the_batch_sessions(spark, tmp_path):
     q.awaitTermination(120)
     out = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert out == sorted(tuple(r) for r in S.batch_sessions(d.where("user_id < 99"), 1800).collect())
+
+
+def test_rename_and_replace(spark):
+    import pytest
+
+    from tessera.operators import edits
+
+    files = spark.createDataFrame([("a.py", "python", "def run(x):\n    return x\n\ndef other():\n    return run(1)\n"), ("b.py", "python", "import a\nrunner = a.run(2)  # run\n"), ("c.py", "python", "run = 3\n")], "path string, language string, text string")
+    symbols = code.declarations(files)
+    got = {r["path"]: r["text"] for r in edits.rename(files, symbols, code.references(files, symbols).where("path <> 'c.py'"), "a.py", "run", "start").collect()}
+    assert got == {"a.py": "def start(x):\n    return x\n\ndef other():\n    return start(1)\n", "b.py": "import a\nrunner = a.start(2)  # start\n"}
+    with pytest.raises(edits.EditError):
+        edits.rename(files, symbols, symbols, "a.py", "run", "other")
+    text = "class A:\n    def f(self):\n        return 1\n"
+    assert edits.replace_symbol(text, "python", "f", 2, 3, "def f(self):\n    return 2") == "class A:\n    def f(self):\n        return 2\n"
+    with pytest.raises(edits.EditError):
+        edits.replace_symbol(text, "python", "f", 2, 3, "def f(self:\n    return 2")
+
+
+def test_workspace_scan(spark, tmp_path):
+    from tessera.sources import workspace
+
+    for name in ("src/a.rs", "b.log", "target/x.rs", "docs/r.md"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("fn a() {}\n")
+    (tmp_path / ".gitignore").write_text("*.log\n")
+    got = {(r["path"], r["language"]) for r in workspace.scan(spark, str(tmp_path)).collect()}
+    assert got == {("src/a.rs", "rust"), ("docs/r.md", "markdown"), (".gitignore", None)}

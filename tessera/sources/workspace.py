@@ -37,14 +37,29 @@ def ignored(path: Column | str, rules: list[tuple[str, bool, bool]]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size_bytes, language, text) of a workspace: every file that is neither skipped nor ignored."""
+def list_files(root: str) -> list[str]:
+    """Relative paths of a workspace: what git tracks or would track, else a walk; sorted."""
+    got = subprocess.run(["git", "-C", root, "ls-files", "--cached", "--others", "--exclude-standard"], capture_output=True, text=True)
+    if got.returncode == 0:
+        found = got.stdout.splitlines()
+    else:
+        found = [str(p.relative_to(root)) for p in Path(root).rglob("*") if p.is_file() and not set(P.SKIPPED) & set(p.relative_to(root).parts)]
+    return sorted(set(found))
+
+
+def scan(spark: SparkSession, root: str, most_bytes: int = 1_000_000) -> DataFrame:
+    """(path, size_bytes, language, text) of a workspace: every file that is neither skipped nor ignored. A workspace is
+    a folder of the driver's machine, so it is listed and read there; texts over ``most_bytes`` are null."""
     ignore = Path(root, ".gitignore")
     rules = ignore_rules(ignore.read_text().splitlines()) if ignore.exists() else []
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = Path(root).resolve().as_uri().replace("file://", "file:").rstrip("/") + "/"
-    rows = files.select(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(base), F.lit("")).alias("path"), F.col("length").alias("size_bytes"), F.decode("content", "utf-8").alias("text"))
-    return rows.where(~P.is_skipped("path") & ~ignored("path", rules)).withColumn("language", P.language("path"))
+    rows = []
+    for path in list_files(root):
+        file = Path(root, path)
+        if file.is_file():
+            size = file.stat().st_size
+            rows.append((path, size, file.read_text(errors="replace") if size <= most_bytes else None))
+    files = spark.createDataFrame(rows, "path string, size_bytes long, text string")
+    return files.where(~P.is_skipped("path") & ~ignored("path", rules)).select("path", "size_bytes", P.language("path").alias("language"), "text")
 
 
 def git_log(root: str, n: int) -> list[str]:

@@ -130,3 +130,18 @@ def test_workspace_scan(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("*.log\n")
     got = {(r["path"], r["language"]) for r in workspace.scan(spark, str(tmp_path)).collect()}
     assert got == {("src/a.rs", "rust"), ("docs/r.md", "markdown"), (".gitignore", None)}
+
+
+def test_tools_answer_requests(spark, data):
+    import json
+
+    from tessera.adapters import tools
+
+    assert tools.clamp("recall", None) == 10 and tools.clamp("recall", 900) == 50 and tools.clamp("recall", -1) == 1
+    lines = [
+        '{"jsonrpc":"2.0","id":1,"method":"tools/list"}', '{"jsonrpc":"2.0","method":"tools/list"}', "{broken", '{"id":2,"method":"tools/call","params":{"name":"symbols","arguments":{"query":"promo","limit":3}}}',
+        '{"id":3,"method":"tools/call","params":{"name":"nothing"}}', '{"id":4,"method":"other"}', '{"id":5,"method":"tools/call","params":{"name":"recall","arguments":{"query":"the","limit":2}}}',
+    ]
+    got = [json.loads(x) for x in tools.respond(spark, data, lines)]
+    assert [g["id"] for g in got] == [1, None, 2, 3, 4, 5]
+    assert len(got[2]["result"]["rows"]) == 3 and "error" in got[3] and got[4]["error"]["code"] == -32601 and len(got[5]["result"]["rows"]) == 2

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera import catalog
@@ -11,7 +12,8 @@ from tessera import catalog
 
 def rows(frame):
     out = frame[sorted(frame.columns)]
-    show = lambda v: "NULL" if v is None or v != v else repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "iuf"
+    show = lambda v: "NULL" if pd.isna(v) else repr(round(float(v), 6) + 0.0) if number(v) else str(v)
     return sorted(tuple(show(v) for v in r) for r in out.astype(object).itertuples(index=False))
 
 

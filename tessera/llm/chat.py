@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidied
+
 
 @dataclass(frozen=True)
 class Template:
@@ -104,7 +106,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
         return _batched(segments(), schema)
 
-    return rows.mapInArrow(emit, SEGMENTS)
+    return rows.mapInArrow(tidied(emit), SEGMENTS)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, bad_turns long, valid boolean"
@@ -133,7 +135,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
 
         return _batched(digests(), schema)
 
-    return segments.mapInArrow(parse, DIGEST)
+    return segments.mapInArrow(tidied(parse), DIGEST)
 
 
 class _Reader:

@@ -180,7 +180,7 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
     def either(a, b):
         return zlib.compress(np.bitwise_or(np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)).tobytes(), 1)
 
-    parts = rows.mapInArrow(fill, "blob binary").rdd.map(lambda r: r[0])
+    parts = rows.mapInArrow(tidied(fill), "blob binary").rdd.map(lambda r: r[0])
     try:
         return np.frombuffer(zlib.decompress(parts.treeReduce(either)), np.uint8)
     except ValueError:  # no partition at all
@@ -212,7 +212,7 @@ def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 _POWERS: list[np.ndarray] = []
 
@@ -238,7 +238,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     start, end = turn[::2], turn[1::2]
     power, back = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+    np.cumsum(BYTES[data] * power[: len(data)], out=total[1:])
     h = mix((total[end] - total[start]) * back[start] + U64(0x2545F4914F6CDD1D) * (end - start).astype(np.uint64))
     begins = np.cumsum(np.array([0] + [len(t) + 1 for t in texts], np.int64))
     return h, np.searchsorted(start, begins), start, end
@@ -264,6 +264,16 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def tidied(run):
+    """A function over batches that gives freed memory back when its task ends."""
+
+    def all_batches(batches):
+        yield from run(batches)
+        tidy()
+
+    return all_batches
+
+
 def tidy() -> None:
     """Gives memory that a task has freed back to the system: idle workers stay alive between stages."""
     import ctypes
@@ -275,3 +285,12 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more, before the next large shuffle;
+    it does so when the driver's garbage is collected, which a small driver heap may put off for long."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

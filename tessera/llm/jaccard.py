@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, components, deal, mix, packed, portions, save, shingles, tree_sum, word_hashes
+from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, components, deal, mix, packed, portions, save, shingles, tidied, tree_sum, word_hashes
 
 SKETCH = 1 << 20
 SIZES = 4096
@@ -77,7 +77,7 @@ def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 total[:SKETCH] += np.bincount((np.concatenate(some) >> U64(44)).astype(np.int64), minlength=SKETCH)
         yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], ["blob"])
 
-    total = tree_sum(docs.select("text").mapInArrow(count, "blob binary"), SKETCH + SIZES + 1)
+    total = tree_sum(docs.select("text").mapInArrow(tidied(count), "blob binary"), SKETCH + SIZES + 1)
     return total[:SKETCH], total[SKETCH:]
 
 
@@ -151,7 +151,7 @@ def base_and_lists(docs: DataFrame, width: int, num: int, den: int, counts: np.n
         if out:
             yield dealt()
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, parity array<long>, bucket int, keys binary, nodes binary, sizes binary")
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n long, node long, parity array<long>, bucket int, keys binary, nodes binary, sizes binary")
     both = save(both, "jaccard")
     lists = both.where("bucket is not null").select("bucket", "keys", "nodes", "sizes").repartition(buckets, "bucket")
     return both.where("bucket is null").select("doc_id", "n", "node", "parity"), lists
@@ -204,7 +204,7 @@ def candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(new.sum(), bool)), pa.array(a[new]), pa.array(b[new])], ["long", "a", "b"])
 
-    return save(lists.mapInArrow(run, "long boolean, a long, b long"), "candidates")
+    return save(lists.mapInArrow(tidied(run), "long boolean, a long, b long"), "candidates")
 
 
 def plausible(pairs: DataFrame, base: DataFrame, num: int, den: int) -> DataFrame:
@@ -240,7 +240,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "node long, items binary")
+    return rows.mapInArrow(tidied(run), "node long, items binary")
 
 
 def _likeness_ok(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -257,7 +257,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             ok = [_likeness_ok(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(b.column("a_items").to_pylist(), b.column("b_items").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "a_items", "b_items").mapInArrow(run, "a long, b long")
+    return pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "a_items", "b_items").mapInArrow(tidied(run), "a long, b long")
 
 
 def compare_blocks(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -326,11 +326,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     edges = verify(pairs, sets, num, den)
     if members.head(1):
         edges = edges.union(compare_blocks(members, sets, num, den))
-    roots = components(edges)
-    joined = base.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     id_ = F.coalesce("doc_id", F.lit(NONE))
-    low = joined.where("root is not null").groupBy("root").agg(F.min(id_).alias("low"))
-    out = joined.join(low, "root", "left")
+    # smallest ids: of each set (copies are folded before the shuffle), then of each component of linked sets
+    own = base.where("node is not null").groupBy("node").agg(F.min(id_).alias("own"))
+    roots = components(edges)
+    low = roots.join(own, "node").groupBy("root").agg(F.min("own").alias("low"))
+    linked = roots.join(low, "root").select("node", "low")
+    named = own.join(linked, "node", "left").select("node", F.coalesce("low", "own").alias("low"))
+    out = base.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", id_), F.lit(NONE)).alias("component_id"))
 
 

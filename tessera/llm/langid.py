@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, crc_mod, packed, tree_sum
+from tessera.llm.common import U64, crc_mod, packed, tidied, tree_sum
 
 SLOTS = 1 << 17
 MOST_LANGUAGES = 500
@@ -119,7 +119,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> M
                     total[number[s], SLOTS:] += np.bincount(kinds, length, len(NAMES)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([packed(total.ravel())])], ["blob"])
 
-    total = tree_sum(rows.mapInArrow(count, "blob binary"), max(1, len(languages) * width))
+    total = tree_sum(rows.mapInArrow(tidied(count), "blob binary"), max(1, len(languages) * width))
     total = total.reshape(len(languages), width) if languages else np.zeros((0, width))
     return Model(languages, total[:, :SLOTS], total[:, SLOTS:])
 
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
         m = held.value
         for whole in batches:
             texts_all = [t or "" for t in whole.column("text").to_pylist()]
-            for lo, hi in _portions(texts_all, 8_000_000):
+            for lo, hi in _portions(texts_all, 4_000_000):
                 b, texts = whole.slice(lo, hi - lo), texts_all[lo:hi]
                 pred, score, runs = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
                 if m.languages:
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     if spans:
         one = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
         schema = schema.add("lang_spans", T.ArrayType(one))
-    return docs.select([f.name for f in kept]).mapInArrow(run, schema)
+    return docs.select([f.name for f in kept]).mapInArrow(tidied(run), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, permute, save
+from tessera.llm.common import as_bytes, permute, save, tidied
 
 BLOCK = 64
 MOST_SOURCES = 100_000
@@ -34,7 +34,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             n = pa.array([len(t.split()) for t in as_bytes(b.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("source"), n], ["row", "doc_id", "source", "size"])
 
-    return rows.mapInArrow(count, "row long, doc_id long, source string, size long")
+    return rows.mapInArrow(tidied(count), "row long, doc_id long, source string, size long")
 
 
 def targets(totals: list[tuple[str | None, int]], weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> list[tuple[str | None, int, float]]:
@@ -107,7 +107,7 @@ def slots(plan: DataFrame, seed: int = 9) -> DataFrame:
                         out[on] = permute(i[on] % r["blocks"], r["blocks"], seed * 1_000_003 + r["sid"] * 8191 + int(e))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), r["shard"])), pa.array(slot), pa.array(np.full(len(slot), r["sid"], np.int64)), pa.array(out)], ["shard", "slot", "sid", "block"])
 
-    return plan.mapInArrow(make, "shard long, slot long, sid long, block long")
+    return plan.mapInArrow(tidied(make), "shard long, slot long, sid long, block long")
 
 
 def plan_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 9, slots_a_shard: int = SLOTS_A_SHARD):

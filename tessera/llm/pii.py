@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidied
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: Shapes by kind; where two match, the earlier start wins, then the earlier kind.
@@ -213,7 +215,7 @@ def pseudonymise(docs: DataFrame, key: bytes = b"tessera") -> DataFrame:
             told = pa.array([[{"start": a, "end": z, "kind": k} for a, z, k in s] for s in found], span)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), *counts, told], names)
 
-    return rows.mapInArrow(run, "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans array<struct<start:long,end:long,kind:string>>")
+    return rows.mapInArrow(tidied(run), "doc_id long, text string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", spans array<struct<start:long,end:long,kind:string>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text, save
+from tessera.llm.common import as_text, save, tidied
 
 #: Fixed shapes, in the order in which equal starts are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -69,7 +69,7 @@ def scan(docs: DataFrame, text_col: str = "text", repo_col: str = "source", owne
                 spans.append([{"start": s, "end": e, "kind": k, "value": hashlib.sha256(v.encode()).hexdigest()[:32], "value_at": e - len(v)} for s, e, k, v in base + candidates(text, base)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(spans, span)], ["row", "doc_id", "repository", "owner", "spans"])
 
-    return rows.mapInArrow(run, SCAN)
+    return rows.mapInArrow(tidied(run), SCAN)
 
 
 def ownership(spans: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, mix
+from tessera.llm.common import BYTES, U64, mix, tidied
 
 K, W = 16, 16
 _R = 0x9E3779B97F4A7C15
@@ -26,7 +26,7 @@ _R = 0x9E3779B97F4A7C15
 
 def _rolling(a: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-byte runs, put together from runs of powers of two."""
-    have, size, run, length = None, 0, a.astype(np.uint64) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D), 1
+    have, size, run, length = None, 0, BYTES[a], 1
     while True:
         if k & length:
             have, size = (run, length) if have is None else (have[: len(a) - size - length + 1] * U64(pow(_R, length, 2**64)) + run[size : len(a) - length + 1], size + length)
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", k: int = K, w: int = W
             found = [winnow(t or b"", k, w) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_of(h) for h, _ in found]), pa.array([p for _, p in found], pa.list_(pa.int64()))], ["doc_id", "fingerprint", "positions"])
 
-    return rows.mapInArrow(run, "doc_id long, fingerprint string, positions array<long>")
+    return rows.mapInArrow(tidied(run), "doc_id long, fingerprint string, positions array<long>")
 
 
 def by_range(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 20_000) -> DataFrame:
@@ -103,7 +103,7 @@ def by_range(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 20_00
                 least[p] = min(v, least.get(p, v))
         yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], ["part", "i"])
 
-    heads = sorted(map(tuple, ids.mapInArrow(low, "part long, i long").groupBy("part").agg(F.min("i")).collect()))
+    heads = sorted(map(tuple, ids.mapInArrow(tidied(low), "part long, i long").groupBy("part").agg(F.min("i")).collect()))
     before = {i: heads[k - 1][0] for k, (_, i) in enumerate(heads)}
     first = spark.sparkContext.broadcast((np.array(sorted(before), np.int64), np.array([before[i] for i in sorted(before)], np.int64)))
 
@@ -119,7 +119,7 @@ def by_range(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 20_00
                 x = b.take(pa.array(again))
                 yield pa.RecordBatch.from_arrays([pa.array(to[np.searchsorted(head, i[again])]), pa.array(np.ones(len(again), np.int32)), *x.columns], ["part", "ahead", "doc_id", "text"])
 
-    placed = rows.mapInArrow(number, "part long, ahead int, doc_id long, text string")
+    placed = rows.mapInArrow(tidied(number), "part long, ahead int, doc_id long, text string")
     return placed.repartition(max(parts // 4, 12), "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
 
 
@@ -160,7 +160,7 @@ def compare_with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*some, strict=True), types, strict=True)], names)
 
-    return ranges.mapInArrow(run, OUT)
+    return ranges.mapInArrow(tidied(run), OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, deal, mix, portions, save, tidy
-from tessera.llm.winnow import _rolling
+from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, deal, portions, release, save, tidy
+from tessera.llm.winnow import _R, _rolling
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
@@ -45,14 +45,23 @@ PORTION = 300_000
 NONE = -(2**63)
 
 
-def _small(data) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(bytes(data))
+def _small(data, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(bytes(data))
 
 
 def _array(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers that mostly grow, packed as their differences."""
+    return _small(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _summed(blob: bytes, kind) -> np.ndarray:
+    return np.cumsum(_array(blob, kind), dtype=kind)
+
+
 def _digest(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
@@ -145,7 +154,8 @@ def anchors(texts: list[bytes]):
     if len(data) < LENGTH:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none, none, begins, data
-    h = mix(_rolling(data, GRAM))
+    h = _rolling(data, GRAM)  # of random numbers for bytes, so its upper bits are mixed enough to order by
+    h = (h ^ (h >> U64(32))) * U64(_R | 1)
     key = (h & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
     low, length = key, 1
     while length * 2 <= SPAN:
@@ -177,6 +187,16 @@ def _six(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U64(32)).astype(np.uint32), (h >> U64(16)).astype(np.uint16)
 
 
+def _five(h: np.ndarray) -> bytes:
+    """The upper five bytes of hashes; the bucket tells more of an anchor, and two in one are only solved together."""
+    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(24)).astype(np.uint8).tobytes()
+
+
+def _from_five(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) << U64(32) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << U64(24)
+
+
 def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
     """A bitmap over hash slots of the anchors that occur in two documents or more."""
 
@@ -270,11 +290,13 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, what: str, only: np
             h, doc, row, at, win = (np.concatenate(x) for x in (h_, doc_, row_, at_, win_))
             key = np.array([_digest(c) for c in cut_], np.uint64)
             _, one, entry = np.unique(key, return_index=True, return_inverse=True)  # equal cuts are one entry
+            turn = np.argsort(one)  # numbered as they come, so that their numbers and documents grow
+            entry, one = np.argsort(turn)[entry], one[turn]
             low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, entry, doc)
             np.maximum.at(high, entry, doc)
             if what == "own":
-                out = [(task, None, None, None, _small(doc), None, None, None, None, None, *map(_small, (row, entry.astype(np.int32), at.astype(np.int32))))]
+                out = [(task, None, None, None, _steps(doc), None, None, None, None, None, *map(_steps, (row, entry.astype(np.int32), at.astype(np.int32))))]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
             bucket = ((h[one] >> U64(8)) % U64(buckets)).astype(np.int64)
             if what == "cuts":
@@ -284,12 +306,12 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, what: str, only: np
             out = []
             for p in np.flatnonzero(np.diff(edges)):
                 e = order[edges[p] : edges[p + 1]]
-                common = task, int(p), h[one[e]].tobytes(), *map(_small, (e.astype(np.int32), low[e], high[e]))
+                common = task, int(p), _five(h[one[e]]), _steps(e.astype(np.int32)), _steps(low[e]), _small(high[e] - low[e])
                 if what == "digests":
-                    out.append((*common, None, _small(win[one[e]].astype(np.uint8)), None, key[one[e]].tobytes(), None, None, None))
+                    out.append((*common, None, _small(win[one[e]].astype(np.uint8)), None, _five(key[one[e]]), None, None, None))
                 else:
                     cuts = [cut_[i] for i in one[e]]
-                    out.append((*common, *map(_small, (np.array([len(c) for c in cuts], np.uint8), win[one[e]].astype(np.uint8), b"".join(cuts))), None, None, None, None))
+                    out.append((*common, *map(_small, (np.array([len(c) for c in cuts], np.uint8), win[one[e]].astype(np.uint8))), _small(b"".join(cuts), 5), None, None, None, None))
             if not out:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -328,15 +350,20 @@ def _reply(task, ids, first, last, low):
     """Answers as one row a task."""
     if len(task):
         tasks, at = np.unique(task, return_inverse=True)
-        out = [(int(tasks[p]), *map(_small, blobs)) for p, *blobs in deal(at, len(tasks), ids, first.astype(np.uint8), last.astype(np.uint8), low)]
+        order = np.lexsort((first, ids, at))
+        edges, out = np.searchsorted(at[order], np.arange(len(tasks) + 1)), []
+        for p in range(len(tasks)):
+            o = order[edges[p] : edges[p + 1]]
+            out.append((int(tasks[p]), _steps(ids[o]), _small(first[o].astype(np.uint8)), _small(last[o].astype(np.uint8)), _steps(low[o])))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)], ["task", "ids", "first", "last", "low"])
 
 
 def _collected(rows):
-    get = lambda name, kind: np.concatenate([_array(r[name], kind) for r in rows])
-    h = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-    task = np.concatenate([np.full(len(r["hashes"]) // 8, r["task"], np.int64) for r in rows])
-    return get, h, task, get("ids", np.int32), get("low", np.int64), get("high", np.int64), get("wins", np.uint8).astype(np.int64)
+    get = lambda name, kind, read=_array: np.concatenate([read(r[name], kind) for r in rows])
+    h = np.concatenate([_from_five(r["hashes"]) for r in rows])
+    task = np.concatenate([np.full(len(r["hashes"]) // 5, r["task"], np.int64) for r in rows])
+    low = get("low", np.int64, _summed)
+    return get, h, task, get("ids", np.int32, _summed), low, low + get("high", np.int64), get("wins", np.uint8).astype(np.int64)
 
 
 def _by_bucket(batches):
@@ -354,7 +381,7 @@ def answer_equal(entries: DataFrame, buckets: int) -> DataFrame:
     def solve(batches):
         for rows in _by_bucket(batches):
             _, h, task, ids, low, high, wins = _collected(rows)
-            digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in rows])
+            digest = np.concatenate([_from_five(r["digests"]) for r in rows])
             _, group = np.unique(h, return_inverse=True)
             n = group.max() + 1
             a, z, least = np.full(n, U64(2**64 - 1)), np.zeros(n, np.uint64), np.full(n, np.iinfo(np.int64).max)
@@ -449,8 +476,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     ``LENGTH`` bytes that also start in a document with a smaller doc_id. Rows without any are absent."""
     buckets = buckets_for(docs)
     bits = repeated_anchors(docs, buckets)
+    release(docs.sparkSession)
     own = cut_out(docs, bits, buckets, "own").select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("first"), F.col("rows").alias("last"), "low")
     equal = answer_equal(cut_out(docs, bits, buckets, "digests"), buckets)
+    release(docs.sparkSession)
     differ = _bitmap(equal.where("task is null").select("lo", "bits").toLocalIterator())
     known = equal.where("task is not null").select("task", "ids", "first", "last", "low")
     replies = known.unionByName(answer(cut_out(docs, bits, buckets, "cuts", differ), buckets)).select("task", F.lit(1).alias("kind"), "ids", "first", "last", "low")
@@ -486,9 +515,9 @@ def repeats(docs: DataFrame) -> DataFrame:
                         yield out
                     now, parts = r["task"], []
                 if r["kind"] == 0:
-                    mine = _array(r["ids"], np.int32), _array(r["first"], np.int32).astype(np.int64), _array(r["last"], np.int64), _array(r["low"], np.int64)
+                    mine = _summed(r["ids"], np.int32), _summed(r["first"], np.int32).astype(np.int64), _summed(r["last"], np.int64), _summed(r["low"], np.int64)
                 else:
-                    parts.append((_array(r["ids"], np.int32), _array(r["first"], np.uint8), _array(r["last"], np.uint8), _array(r["low"], np.int64)))
+                    parts.append((_summed(r["ids"], np.int32), _array(r["first"], np.uint8), _array(r["last"], np.uint8), _summed(r["low"], np.int64)))
         if now is not None and (out := emit(*mine, parts)) is not None:
             yield out
 
@@ -509,6 +538,7 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = save(repeats(docs), "repeats")
+    release(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(bloom(found, "row"))
     more = ", kept binary, spans array<struct<start:long,end:long>>" if texts else ""
 

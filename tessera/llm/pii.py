@@ -31,6 +31,16 @@ SHAPES = {
     "phone": r"(?:(?<![0-9A-Za-z])\+1[\x20.-]?)?(?:\([0-9]{3}\)\x20?|(?<![0-9A-Za-z+.-])[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
+#: Kinds whose shape may run on into the next tokens: what separates these, and the fewest characters of a value.
+RUNS_ON = {"iban": (" ", 15), "card": (" -", 13)}
+IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+        "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 "
+        "PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
 KINDS = tuple(SHAPES)
 ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in SHAPES.items()))
 
@@ -175,16 +185,29 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
     return MAKE[kind](text, key, back)
 
 
+def _ends(kind: str, text: str):
+    """Where a value of this shape may end, the longest first: a card number or IBAN may be followed by a date, an amount or a
+    word that the shape takes for more of it."""
+    yield len(text)
+    between, least = RUNS_ON.get(kind, ("", 0))
+    for end in range(len(text) - 1, 0, -1) if between else ():
+        n = end - sum(text.count(c, 0, end) for c in between)
+        if text[end] in between and n >= least and (kind != "iban" or n == IBAN_LENGTH.get(text[:2], n)):
+            yield end
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """(text with pseudonyms, spans in the original text). A shape that fails validation is tried as the next kind."""
+    """(text with pseudonyms, spans in the original text). A shape that fails validation is tried with
+    shorter ends, then as the next kind."""
     out, spans, last, at = [], [], 0, 0
     while m := ANY.search(text, at):
         for kind in KINDS[KINDS.index(m.lastgroup) :]:
             n = m if kind == m.lastgroup else re.compile(SHAPES[kind]).match(text, m.start())
-            if n and (new := pseudonym(kind, n[0], key)) is not None:
+            new, end = next(((p, e) for e in _ends(kind, n[0]) if (p := pseudonym(kind, n[0][:e], key)) is not None), (None, 0)) if n else (None, 0)
+            if new is not None:
                 out += [text[last : n.start()], new]
-                spans.append((n.start(), n.end(), kind))
-                last = at = n.end()
+                spans.append((n.start(), n.start() + end, kind))
+                last = at = n.start() + end
                 break
         else:
             at = m.start() + 1

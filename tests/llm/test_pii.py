@@ -60,6 +60,26 @@ def test_invalid_values_stay(text):
     assert pii.replace(f"see {text} there", KEY) == (f"see {text} there", [])
 
 
+@pytest.mark.parametrize(
+    ("kind", "value", "after"),
+    [
+        ("card", "4111111111111111", " 12/27"),
+        ("card", "4111111111111111", " 123"),
+        ("card", "4111 1111 1111 1111", " 9 items"),
+        ("card", "4111-1111-1111-1111", "-12"),
+        ("card", "4222222222222", " 12 27"),
+        ("iban", "ES9121000418450200051332", " EUR"),
+        ("iban", "ES91 2100 0418 4502 0005 1332", " EUR 250"),
+        ("iban", "DE89 3704 0044 0532 0130 00", " BIC"),
+        ("iban", "DE89370400440532013000", " PAID NOW"),
+        ("iban", "NO9386011117947", " 12"),
+    ],
+)
+def test_values_before_other_tokens(kind, value, after):
+    text, spans = pii.replace(f"x {value}{after}", KEY)
+    assert text == f"x {pii.pseudonym(kind, value, KEY)}{after}" and spans == [(2, 2 + len(value), kind)]
+
+
 def test_slash_dates_read_back():
     for value in ("03/25/2020", "25/03/2020", "01/02/1999"):
         assert pii.pseudonym("date", pii.pseudonym("date", value, KEY), KEY, True) == value

@@ -6,8 +6,8 @@ back off, alike, so that an expression too rare to tell falls to the shared leve
 the length-normalised difference of its log-likelihoods, calibrated by a logistic curve.
 
 Scale: bigrams of the labelled texts are counted per task and dealt out by successor in packed blobs; continuation
-counts and contexts' counts become arrays of fixed size (``SLOTS``, ``KEPT``), which are all that is broadcast.
-What is gathered grows with the corpus; no count is capped. Scoring is one scan. The curve alone is fitted on a bounded
+counts and contexts' counts become sorted tables, one entry a distinct word or kept bigram, which are all that is broadcast.
+They grow with the corpus; no count is capped and no two words or bigrams share an entry. Scoring is one scan. The curve alone is fitted on a bounded
 sample of labelled rows (``CALIBRATION_ROWS``). Labels are broadcast up to ``MOST_LABELS`` rows, else joined by shuffle.
 """
 
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_bytes, buckets_for, crc_mod, deal, mix, portions, save, tidied, word_hashes
+from tessera.llm.common import U64, as_bytes, bound_batches, buckets_for, crc_mod, deal, mix, portions, save, tidied, word_hashes
 
-SLOTS, KEPT = 1 << 21, 1 << 21
+KEPT_ROW = [("both", "<u8"), ("a", "<u8"), ("c0", "<f4"), ("c1", "<f4")]
 DISCOUNT, CONTINUATION_DISCOUNT, SHARED_DISCOUNT = 10.0, 10.0, 5.0
 CALIBRATION_ROWS = 20_000
 MOST_LABELS = 1_000_000
@@ -31,8 +31,8 @@ PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def bigrams(texts: list[bytes]):
-    """(bigram hash, slot of the first word, slot of the second, edges) of the distinct bigrams of each text, in lower
-    case; the first word follows the start of the text (slot 0 of no word). A text counts an expression once: one that
+    """(bigram hash, hash of the first word, hash of the second, edges) of the distinct bigrams of each text, in lower
+    case; the first word follows the start of the text (hash 0 of no word). A text counts an expression once: one that
     it repeats a hundred times is no more evidence, neither when learning nor when scoring."""
     h, edges, *_ = word_hashes([t.lower().translate(PLAIN) for t in texts])
     before = np.concatenate([h[:1], h[:-1]])
@@ -42,60 +42,74 @@ def bigrams(texts: list[bytes]):
     both, text = both[order], text[order]
     new = np.concatenate([[True], (both[1:] != both[:-1]) | (text[1:] != text[:-1])]) if len(both) else np.zeros(0, bool)
     order = order[new]
-    return both[new], (before[order] >> U64(43)).astype(np.int64), (h[order] >> U64(43)).astype(np.int64), np.searchsorted(text[new], np.arange(len(texts) + 1))
+    return both[new], before[order], h[order], np.searchsorted(text[new], np.arange(len(texts) + 1))
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of hashes among sorted keys; of those that are not there the place after the last."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[keys[np.minimum(at, len(keys) - 1)] != wanted] = len(keys)
+    return at
 
 
 @dataclass
 class Model:
-    unigram: np.ndarray  # class x slot: probability of a word by continuation, backed off to the shared level
-    backoff: np.ndarray  # class x slot: weight of the lower level after a word
-    tag: np.ndarray  # of kept bigrams, by slot
-    first: np.ndarray  # class x kept slot: discounted probability of the bigram
+    """Of each array of values the last entry stands for whatever has none."""
+
+    words: np.ndarray  # sorted hashes
+    unigram: np.ndarray  # class x word: probability of a word by continuation, backed off to the shared level
+    backoff: np.ndarray  # class x word: weight of the lower level after a word
+    kept: np.ndarray  # sorted hashes of bigrams
+    first: np.ndarray  # class x bigram: discounted probability of the bigram
 
     def differences(self, texts: list[bytes]):
         """(sum of log-likelihood differences, words) of each text."""
         total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for lo, hi in portions([len(t) for t in texts]):
             both, a, b, edges = bigrams(texts[lo:hi])
-            at = (both >> U64(43)).astype(np.int64)
-            hit = self.tag[at] == (both & U64(0xFFFFFFFF)).astype(np.uint32)
-            p = [self.backoff[c][a] * self.unigram[c][b] + np.where(hit, self.first[c][at], 0) for c in (0, 1)]
+            some, place = np.unique(b, return_inverse=True)
+            a, b, at = find(self.words, a), find(self.words, some)[place], find(self.kept, both)
+            p = [self.backoff[c][a] * self.unigram[c][b] + self.first[c][at] for c in (0, 1)]
             d = np.concatenate([[0], np.cumsum(np.log(p[1] / p[0], dtype=np.float64))])
             total[lo:hi], count[lo:hi] = d[edges[1:]] - d[edges[:-1]], np.diff(edges)
         return total, count
 
 
 def _count(labelled: DataFrame, buckets: int) -> DataFrame:
-    """Bigram counts of each task, dealt out by the second word's slot: packed bigrams, slots and counts by class."""
+    """Bigram counts of each task, dealt out by the second word's hash: packed bigrams, words and counts by class."""
 
     def scan(batches):
         held, amount = [], 0
 
         def flush():
             both, a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(both, kind="stable")
-            both, a, b, c = both[order], a[order], b[order], c[order]
+            both = both[order]
             new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
             n = np.diff(np.append(new, len(both)))
-            toxic = np.add.reduceat(c, new)
-            parts = deal(b[new] * buckets // SLOTS, buckets, both[new], (a[new] << 21 | b[new]).astype(np.int64), (n - toxic).astype(np.int32), toxic.astype(np.int32))
+            toxic = np.add.reduceat(c[order], new)
+            both, a, b = both[new], a[order[new]], b[order[new]]
+            parts = deal((b % U64(buckets)).astype(np.int64), buckets, both, a, b, (n - toxic).astype(np.int32), toxic.astype(np.int32))
             rows = list(zip(*parts, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "both", "slots", "plain", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, [pa.int32()] + [pa.binary()] * 5, strict=True)], ["bucket", "both", "a", "b", "plain", "toxic"])
 
         for batch in batches:
             texts, toxic = as_bytes(batch.column("text")), np.array(batch.column("toxic"), np.int64)
             for lo, hi in portions([len(t) for t in texts]):
                 both, a, b, edges = bigrams(texts[lo:hi])
                 if len(both):
-                    held.append((both, a, b, np.repeat(toxic[lo:hi], np.diff(edges))))
+                    held.append((both, a, b, np.repeat(toxic[lo:hi].astype(np.int32), np.diff(edges))))
                     amount += len(both)
-                if amount > 2_000_000:
+                if amount > 700_000:
                     yield flush()
-                    held, amount = [], 0
+                    amount = 0
         if amount:
             yield flush()
 
-    return labelled.mapInArrow(tidied(scan), "bucket int, both binary, slots binary, plain binary, toxic binary").repartition(buckets, "bucket")
+    return labelled.mapInArrow(tidied(scan), "bucket int, both binary, a binary, b binary, plain binary, toxic binary").repartition(buckets, "bucket")
 
 
 def train(labelled: DataFrame, discount: float = DISCOUNT, continuation: float = CONTINUATION_DISCOUNT) -> Model:
@@ -104,87 +118,78 @@ def train(labelled: DataFrame, discount: float = DISCOUNT, continuation: float =
     sizes, texts_of = {r["toxic"]: r["n"] or 0 for r in grouped}, {r["toxic"]: r["texts"] for r in grouped}
     small = max(1, min(sizes.get(0, 0), sizes.get(1, 0)))
     scale = [min(1.0, small / max(1, sizes.get(c, 0))) for c in (0, 1)]
-    buckets = buckets_for(labelled)
+    buckets = buckets_for(labelled, 4)
+    bound_batches(labelled.sparkSession)
 
     def gather(batches):
         mine: dict[int, list] = {}
         for b in batches:
-            for p, *blobs in zip(*(b.column(c).to_pylist() for c in ("bucket", "both", "slots", "plain", "toxic")), strict=True):
-                mine.setdefault(p, []).append([np.frombuffer(x, k) for x, k in zip(blobs, (np.uint64, np.int64, np.int32, np.int32), strict=True)])
-        names, kinds = ["kind", "lo", "blob"], [pa.int32(), pa.int64(), pa.binary()]
+            for p, *blobs in zip(*(b.column(c).to_pylist() for c in ("bucket", "both", "a", "b", "plain", "toxic")), strict=True):
+                mine.setdefault(p, []).append([np.frombuffer(x, k) for x, k in zip(blobs, (np.uint64, np.uint64, np.uint64, np.int32, np.int32), strict=True)])
+        names, kinds = ["kind", "blob"], [pa.int32(), pa.binary()]
         for parts in mine.values():
-            both, slots, plain, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
+            both, a, b, plain, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(both, kind="stable")
-            both, slots, plain, toxic = both[order], slots[order], plain[order], toxic[order]
+            both, plain, toxic = both[order], plain[order], toxic[order]
             new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            both, slots = both[new], slots[new]
+            both, a, b = both[new], a[order[new]], b[order[new]]
             c = [np.add.reduceat(x.astype(np.int64), new) for x in (plain, toxic)]
-            a, b = slots >> 21, slots & SLOTS - 1
-            lo, n = int(b.min()), int(b.max() - b.min()) + 1
-            sums = [np.bincount(b - lo, w, n) for w in (c[0] > 0, c[1] > 0, np.ones(len(b)), c[0], c[1])]
-            out = [(0, lo, np.stack(sums).astype(np.float32).tobytes())]
+            word, b = np.unique(b, return_inverse=True)
+            sums = [np.bincount(b, w, len(word)) for w in (c[0] > 0, c[1] > 0, np.ones(len(b)), c[0], c[1])]
+            out = [(0, word.tobytes() + np.stack(sums).astype(np.float32).tobytes())]
             keep = c[0] + c[1] > SHARED_DISCOUNT
             if keep.any():
-                rows = np.zeros(int(keep.sum()), [("both", "<u8"), ("a", "<i4"), ("c0", "<f4"), ("c1", "<f4")])
+                rows = np.zeros(int(keep.sum()), KEPT_ROW)
                 rows["both"], rows["a"], rows["c0"], rows["c1"] = both[keep], a[keep], c[0][keep], c[1][keep]
-                part = (rows["both"] >> U64(43)).astype(np.int64) * 64 // KEPT
-                out += [(1, p, blob) for p, blob in deal(part, 64, rows.view(np.uint8).reshape(len(rows), -1))]
+                out.append((1, rows.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    counted = save(_count(labelled.select("text", "toxic"), buckets).mapInArrow(tidied(gather), "kind int, lo long, blob binary"), "toxicity")
-    sums = np.zeros((5, SLOTS), np.float32)  # contexts in ordinary, toxic, any texts; occurrences in ordinary, toxic texts
-    for lo, blob in counted.where("kind = 0").select("lo", "blob").toLocalIterator():
-        x = np.frombuffer(blob, np.float32).reshape(5, -1)
-        sums[:, lo : lo + x.shape[1]] += x
-
-    def settle(batches):
-        """Of the kept bigrams of a range of slots: one a slot, the most frequent on collision."""
-        parts = [np.frombuffer(x, [("both", "<u8"), ("a", "<i4"), ("c0", "<f4"), ("c1", "<f4")]) for b in batches for x in b.column("blob").to_pylist()]
-        if parts:
-            rows = np.concatenate(parts)
-            at = (rows["both"] >> U64(43)).astype(np.int64)
-            order = np.lexsort((rows["both"], -(rows["c0"] + rows["c1"]), at))
-            first = np.concatenate([[True], np.diff(at[order]) != 0])
-            yield pa.RecordBatch.from_arrays([pa.array([rows[order][first].tobytes()])], ["blob"])
-
-    kept_rows = counted.where("kind = 1").select("lo", "blob").repartition(16, "lo").mapInArrow(tidied(settle), "blob binary")
-    tag, home, kept, both_kept = np.zeros(KEPT, np.uint32), np.zeros(KEPT, np.int64), np.zeros((2, KEPT), np.float32), np.zeros(KEPT, np.float32)
-    for (blob,) in kept_rows.toLocalIterator():
-        rows = np.frombuffer(blob, [("both", "<u8"), ("a", "<i4"), ("c0", "<f4"), ("c1", "<f4")])
-        at = (rows["both"] >> U64(43)).astype(np.int64)
-        tag[at], home[at] = (rows["both"] & U64(0xFFFFFFFF)).astype(np.uint32), rows["a"]
-        both_kept[at] = rows["c0"] + rows["c1"] - SHARED_DISCOUNT
-        for c in (0, 1):
-            kept[c][at] = np.maximum(rows[f"c{c}"] * scale[c] - discount, 0)
+    counted = save(_count(labelled.select("text", "toxic"), buckets).mapInArrow(tidied(gather), "kind int, blob binary"), "toxicity")
+    words, sums = [np.zeros(1, np.uint64)], [np.zeros((5, 1), np.float32)]  # the start, which follows nothing
+    for (blob,) in counted.where("kind = 0").select("blob").toLocalIterator():
+        n = len(blob) // 28
+        words.append(np.frombuffer(blob, np.uint64, n))
+        sums.append(np.frombuffer(blob, np.float32, 5 * n, 8 * n).reshape(5, n))
+    words, sums = np.concatenate(words), np.concatenate(sums, axis=1)
+    order = np.argsort(words)
+    # contexts in ordinary, toxic, any texts; occurrences in ordinary, toxic texts; the last entry is any other word's
+    words, sums = words[order], np.concatenate([sums[:, order], np.zeros((5, 1), np.float32)], axis=1)
+    size = len(words) + 1
+    rows = [np.frombuffer(blob, KEPT_ROW) for (blob,) in counted.where("kind = 1").select("blob").toLocalIterator()]
+    rows = np.concatenate([np.zeros(0, KEPT_ROW), *rows])
+    rows = rows[np.argsort(rows["both"])]
+    home, both_kept = find(words, rows["a"]), rows["c0"] + rows["c1"] - SHARED_DISCOUNT
+    kept = [np.maximum(rows[f"c{c}"] * scale[c] - discount, 0) for c in (0, 1)]
 
     any_ = sums[2].astype(np.float64)
-    shared = (any_ + 0.5) / (any_.sum() + 0.5 * SLOTS)
+    shared = (any_ + 0.5) / (any_.sum() + 0.5 * size)
     small = max(1.0, min(sums[0].sum(), sums[1].sum()))
     # both classes give the lower level the same weight, so that what neither knows says nothing
-    rest, unigram, backoff = np.zeros((2, SLOTS)), np.empty((2, SLOTS), np.float32), np.ones((2, SLOTS), np.float32)
+    rest, unigram, backoff = np.zeros((2, size)), np.empty((2, size), np.float32), np.ones((2, size), np.float32)
     for c in (0, 1):
         n = sums[c].astype(np.float64)
         n *= min(1.0, small / max(1.0, n.sum()))
         rest[c] = np.maximum(n - continuation, 0) / max(1.0, n.sum())
-        # a word is a context as often as it occurs (an end of text apart); the start is slot 0
+        # a word is a context as often as it occurs (an end of text apart); the start is entry 0
         seen = np.maximum(sums[3 + c].astype(np.float64) * scale[c], 1e-9)
         seen[0] += texts_of.get(c, 0) * scale[c]  # every text starts once
         kept[c] = np.where(kept[c] > 0, kept[c] / seen[home], 0)
     mass = rest.sum(1)
     for c in (0, 1):
         unigram[c] = rest[c] * (mass.min() / mass[c] if mass[c] else 0) + (1 - mass.min()) * shared
-    used = np.stack([np.bincount(home, kept[c], SLOTS) for c in (0, 1)])
+    used = np.stack([np.bincount(home, kept[c], size) for c in (0, 1)])
     alike = np.minimum(used.min(0), 0.99)
     seen = np.maximum(sums[3].astype(np.float64) + sums[4], 1e-9)
     seen[0] += sum(texts_of.values())
     both_kept = np.where(both_kept > 0, both_kept / seen[home], 0)
-    both_used = np.bincount(home, both_kept, SLOTS)
+    both_used = np.bincount(home, both_kept, size)
     both_kept = both_kept / np.maximum(1, both_used / 0.99)[home]
     for c in (0, 1):
-        kept[c] *= np.divide(alike, used[c], out=np.zeros(SLOTS), where=used[c] > 0)[home]
+        kept[c] *= np.divide(alike, used[c], out=np.zeros(size), where=used[c] > 0)[home]
         kept[c] += (1 - alike[home]) * both_kept
         backoff[c] = (1 - alike) * (1 - np.minimum(both_used, 0.99))
-    return Model(unigram, backoff, tag, kept)
+    none = np.zeros(1)
+    return Model(words, unigram, backoff, rows["both"].copy(), np.stack([np.append(k, none) for k in kept]).astype(np.float32))
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:

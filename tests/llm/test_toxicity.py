@@ -58,3 +58,22 @@ def test_odd_rows(spark):
         got = T.toxicity(d, labels).collect()
         assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert T.toxicity(d.limit(0), some).count() == 0
+
+
+def test_no_word_or_bigram_is_displaced(spark):
+    """Every bigram that is frequent enough is in the model, with its own entry, though the hashes of two begin alike."""
+    pairs = {}
+    for i in range(20_000):  # two bigrams whose hashes have the first 21 bits in common
+        text = f"x{i} y{i}"
+        slot = int(T.bigrams([text.encode()])[0].max() >> np.uint64(43))
+        if slot in pairs:
+            break
+        pairs[slot] = text
+    rare, common = pairs[slot], text
+    docs = [(i, f"{common} z{i % 3}", 0) for i in range(60)] + [(100 + i, f"{rare} z{i % 3}", 1) for i in range(30)]
+    m = T.train(spark.createDataFrame(docs, "doc_id long, text string, toxic int"))
+    both = np.concatenate([T.bigrams([t.encode()])[0] for t in (rare, common)])
+    assert (T.find(m.kept, both) < len(m.kept)).all() and len(np.unique(T.find(m.kept, both))) == len(both)
+    assert len(m.words) == 1 + 4 + 3 and m.unigram.shape == m.backoff.shape == (2, len(m.words) + 1)
+    total, _ = m.differences([rare.encode(), common.encode()])
+    assert total[0] > 0 > total[1]

@@ -49,7 +49,9 @@ def latest(sessions: DataFrame) -> DataFrame:
 def diagnostic_rank(diagnostics: DataFrame, query: str, paths: DataFrame, newest: int = 1000, limit: int = 8) -> DataFrame:
     """Of the newest diagnostics: 120 for a selected path, 20 a matched term, and 10 for errors among those."""
     recent = diagnostics.orderBy(F.desc("created_at_ms"), "id").limit(newest)
-    hit = recent.join(F.broadcast(paths.select("path").distinct().limit(10_000).withColumn("on_path", F.lit(True))), "path", "left")
+    # of all selected paths those that one of the newest has: no more rows than these
+    selected = paths.select("path").join(F.broadcast(recent.select("path").distinct()), "path", "left_semi").distinct()
+    hit = recent.join(F.broadcast(selected.withColumn("on_path", F.lit(True))), "path", "left")
     base = F.when(F.col("on_path"), 120).otherwise(0) + 20 * X.contained(X.query_terms(F.lit(query)), F.lower(F.concat_ws(" ", "severity", "path", "message")))
     score = F.when((base > 0) & (F.col("severity") == "error"), base + 10).otherwise(base)
     return hit.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc("created_at_ms"), "id").limit(limit).select("id", "path", "severity", "score")

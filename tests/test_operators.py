@@ -145,3 +145,12 @@ def test_tools_answer_requests(spark, data):
     got = [json.loads(x) for x in tools.respond(spark, data, lines)]
     assert [g["id"] for g in got] == [1, None, 2, 3, 4, 5]
     assert len(got[2]["result"]["rows"]) == 3 and "error" in got[3] and got[4]["error"]["code"] == -32601 and len(got[5]["result"]["rows"]) == 2
+
+
+def test_diagnostic_rank_of_many_paths(spark):
+    from tessera.operators import sessions
+
+    paths = spark.range(20_000).selectExpr("concat('p', id) AS path")
+    g = spark.range(100).selectExpr("id", "concat('p', id * 200) AS path", "'note' AS severity", "'m' AS message", "id AS created_at_ms")
+    got = sessions.diagnostic_rank(g, "purchase", paths, limit=1000).collect()
+    assert len(got) == 100 and all(r["score"] == 120 for r in got)

@@ -19,19 +19,42 @@ MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (only where that is unset,
-    as in tests) a folder of the session's own warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where that is unset and everything runs
+    on one machine, as in tests, a folder of the session's own warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives a lost executor, and
-    computes its input once (``checkpoint(eager=True)`` would run it twice)."""
+    computes its input once (``checkpoint(eager=True)`` would run it twice). ``discard`` deletes it again."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing will read any more, results that are not computed yet included."""
+    for df in tables:
+        spark, path = df.sparkSession, df._saved_at
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,35 +133,48 @@ def packed(total: np.ndarray) -> bytes:
     return zlib.compress(len(at).to_bytes(8, "little") + at.astype(np.int64).tobytes() + total[at].tobytes(), 1)
 
 
+MOST_HUBS, LEAST_HUB = 100_000, 256
+
+
+def _with_least(pairs: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): to each pair the smallest v of its u. Minima are pre-aggregated before their shuffle; those of hubs,
+    nodes with so many pairs that there are at most ``MOST_HUBS`` of them, meet their pairs by a broadcast, so that no
+    task gets all pairs of one hub; the others meet by an ordinary join."""
+    hub = max(LEAST_HUB, 2 * n // MOST_HUBS)
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    hubs, rest = low.where(F.col("k") > hub).select("u", "m"), low.where(F.col("k") <= hub).select("u", "m")
+    few = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(rest, "u")
+    return pairs.join(F.broadcast(hubs), "u").select("u", "v", "m").unionByName(few.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected graph: one row (node, root), root the smallest node reachable.
+    """Connected components of an undirected graph: one row (node, root), root the smallest node reachable. Nodes are of
+    any type that has an order.
 
-    Alternating large-star and small-star steps; every round is written to the shared folder, so no lineage
-    grows and nothing gathers on the driver but one count. Hot nodes: each step only takes minima (pre-aggregated
-    before the shuffle) and joins them back, so no neighbourhood is ever collected into a list. Nulls are dropped.
+    Alternating large-star and small-star steps, until all edges lead from distinct nodes to nodes that lead nowhere.
+    Every round is written to the shared folder and the one before deleted, so no lineage grows; on the driver are
+    three numbers. No neighbourhood is collected into a list. Nulls are dropped.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = save(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    state = (e.count(), 0)
-    if not state[0]:
-        return nodes.withColumn("root", F.col("node"))
     while True:
-        # large star: every larger neighbour of a node links to the node's smallest neighbour
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        roots = e.select(F.col("v").alias("r")).distinct()
+        shape = e.groupBy("u").agg(F.count("*").alias("k")).join(roots, F.col("u") == F.col("r"), "left")
+        n, most, inner = shape.agg(F.sum("k"), F.max("k"), F.count("r")).first()
+        if not n or most == 1 and not inner:
+            own = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return own.unionByName(roots.select(F.col("r").alias("node"), F.col("r").alias("root")))
+        # large star: every larger neighbour of a node links to the node's smallest neighbour, or to the node
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = _with_least(both, 2 * n)
+        large = least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        large = save(large, "cc")
         # small star: smaller neighbours and the node itself link to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        own = low.select("u", F.col("m").alias("v"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = save(own.union(small).distinct(), "cc")
-        new = e.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
-        if tuple(new) == state:
-            break
-        state = tuple(new)
-    root = e.groupBy("u").agg(F.min("v").alias("root"))
-    return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("root", "node").alias("root"))
+        least = _with_least(large, n)
+        own = least.select("u", F.col("m").alias("v"))
+        small = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, e = e, save(own.unionByName(small).distinct(), "cc")
+        discard(old, large)
 
 
 def permute(i: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -162,18 +198,24 @@ def permute(i: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-BLOOM_BYTES = 1 << 22
+LEAST_BITS, MOST_BITS = 16, 29
+
+
+def bits_for(n: int, least: int = LEAST_BITS, most: int = MOST_BITS) -> int:
+    """The width of slots of a bitmap for n values: sixteen bits a value, between fixed bounds."""
+    return min(most, max(least, (16 * max(1, n)).bit_length()))
 
 
 def bloom(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size over the values of a long column (null counts as the smallest long). False positives
-    cost time, never results."""
+    """A bitmap over the values of a long column (null counts as the smallest long), sized by their number up to 64 MB.
+    False positives cost time, never results."""
     rows = df.select(F.coalesce(F.col(column).cast("long"), F.lit(-(2**63))).alias("v"))
+    size = 1 << bits_for(rows.count()) - 3
 
     def fill(batches):
-        bits = np.zeros(BLOOM_BYTES, np.uint8)
+        bits = np.zeros(size, np.uint8)
         for b in batches:
-            at = bloom_slot(np.array(b.column("v"), np.int64))
+            at = bloom_slot(np.array(b.column("v"), np.int64), size)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)])], ["blob"])
 
@@ -184,15 +226,15 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
     try:
         return np.frombuffer(zlib.decompress(parts.treeReduce(either)), np.uint8)
     except ValueError:  # no partition at all
-        return np.zeros(BLOOM_BYTES, np.uint8)
+        return np.zeros(size, np.uint8)
 
 
-def bloom_slot(v: np.ndarray) -> np.ndarray:
-    return (mix(v.view(np.uint64)) & U64(BLOOM_BYTES * 8 - 1)).astype(np.int64)
+def bloom_slot(v: np.ndarray, size: int) -> np.ndarray:
+    return (mix(v.view(np.uint64)) & U64(size * 8 - 1)).astype(np.int64)
 
 
 def bloom_has(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
-    at = bloom_slot(v)
+    at = bloom_slot(v, len(bits))
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
@@ -228,6 +270,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches start..end of some bytes; they depend on these bytes only."""
+    power, back = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * power[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * back[start] + U64(0x2545F4914F6CDD1D) * (end - start).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, edges, start, end): text i has words edges[i]..edges[i+1]; start and end are positions in
     the texts joined by a line feed. A word's hash depends on its bytes only; no word becomes a Python object."""
@@ -236,15 +286,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     inside = np.concatenate([[False], ~space])
     turn = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = turn[::2], turn[1::2]
-    power, back = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTES[data] * power[: len(data)], out=total[1:])
-    h = mix((total[end] - total[start]) * back[start] + U64(0x2545F4914F6CDD1D) * (end - start).astype(np.uint64))
+    h = span_hashes(data, start, end)
     begins = np.cumsum(np.array([0] + [len(t) + 1 for t in texts], np.int64))
     return h, np.searchsorted(start, begins), start, end
 
 
-def portions(sizes, most: int = 1_500_000):
+def portions(sizes, most: int = 600_000):
     """Ranges of neighbours whose sizes sum to about ``most``."""
     lo = n = 0
     for i, size in enumerate(sizes):
@@ -256,7 +303,7 @@ def portions(sizes, most: int = 1_500_000):
         yield lo, len(sizes)
 
 
-def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Sends texts to Python in batches of bounded bytes, whatever their lengths, unless the session asks for less."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)

@@ -6,19 +6,22 @@ with all its occurrences.
 
 The suffix array of a corpus is dealt out exactly. Every string of ``LENGTH`` bytes is assigned to the k-gram that is
 smallest by hash among those in it (rightmost on ties), its anchor: equal strings have equal anchors at equal offsets,
-wherever they stand. So
-
-1. a scan deals the anchors of all texts by hash; a bitmap of fixed size keeps those that occur in several documents;
-2. a second scan cuts out, for each such anchor, the bytes of the strings assigned to it; equal cuts of one task are
-   one entry with its smallest and largest document, so a passage in a third of all texts is one entry a task. Digests
-   of the cuts meet by anchor: where all cuts are equal (inside a copied passage) that answers for all their strings,
-   the other anchors (around its ends) go into a second bitmap;
-3. a third scan deals the cuts of these themselves; all of an anchor meet in one bucket, where the kernel finds the
-   repeats and with them the smallest document of every string. Answers go back to the tasks they came from, never to
-   single hot keys;
-4. covered runs are merged per document.
-
-Broadcast are the bitmaps only: beyond their capacity more anchors are taken along, the result stays the same.
+wherever they stand. The strings of one text that share an anchor are one stretch, the anchor's cut; equal cuts of one
+task are one entry with its smallest and largest document, so a passage in a third of all texts is one entry a task. So
+
+1. a scan deals 64-bit digests of all cuts by anchor. An anchor whose cuts are all equal has a tree of one leaf, and that
+   leaf is the one maximal repeat: the cut itself, with all its entries. Anchors with several cuts go into a bitmap;
+2. a second scan deals the cuts of these themselves; all of an anchor meet in one bucket, where the kernel finds the
+   groups: the interval nodes of the tree, and the leaves that have several documents;
+3. each group's occurrences go back, entry by entry, to the tasks they came from, never to single hot keys, and meet there
+   the places of the entries (a third scan). From them come the groups with all occurrences (``maximal_repeat_groups``)
+   and the bytes that a document shares with a smaller one (``repeats``), merged into runs.
+
+A group is a maximal repeat within the cuts of one anchor, at most 76 bytes long: a longer common passage is a chain of
+overlapping groups, one an anchor.
+
+Broadcast is the bitmap only, sized by what it holds up to 128 MB: beyond that more cuts are dealt, the result stays the
+same.
 """
 
 from __future__ import annotations
@@ -28,19 +31,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, as_bytes, bloom, bloom_has, buckets_for, deal, portions, release, save, tidy
+from tessera.llm.common import U64, as_bytes, bits_for, bloom, bloom_has, buckets_for, discard, mix, portions, release, save, span_hashes, tidied, tidy
 from tessera.llm.winnow import _R, _rolling
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 WIDTH = 80  # at least 2 * LENGTH - GRAM, the longest cut
-BITS = 27
+MOST_BITS = 30
 PORTION = 300_000
 NONE = -(2**63)
 
@@ -62,10 +64,6 @@ def _summed(blob: bytes, kind) -> np.ndarray:
     return np.cumsum(_array(blob, kind), dtype=kind)
 
 
-def _digest(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data)
-
-
 # --- the kernel
 def suffix_array(buffer: np.ndarray, begin: np.ndarray, stop: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the suffixes buffer[begin:stop], compared on ``width`` bytes; lcp[i] belongs to order[i-1], order[i]."""
@@ -111,6 +109,11 @@ def maximal_repeats(buffer: np.ndarray, begin: np.ndarray, stop: np.ndarray, sta
     which are all its occurrences. A group is kept only if the bytes on the left differ or one has none there.
     """
     order, lcp = suffix_array(buffer, begin, stop, width)
+    return order, *_diverse(buffer, begin, start, order, lcp, least)
+
+
+def _diverse(buffer, begin, start, order, lcp, least: int):
+    """(length, first, last) of the interval nodes whose left extensions differ."""
     length, first, last = intervals(lcp, least)
     at = begin[order]
     edge = at == start[order]
@@ -119,29 +122,29 @@ def maximal_repeats(buffer: np.ndarray, begin: np.ndarray, stop: np.ndarray, sta
     change[1:] = (before[1:] != before[:-1]) | edge[1:] | edge[:-1]
     change = np.cumsum(change)
     diverse = change[last] > change[first] if len(first) else np.zeros(0, bool)
-    return order, length[diverse], first[diverse], last[diverse]
-
-
-def smallest_document(buffer, begin, stop, start, document, least: int = LENGTH) -> np.ndarray:
-    """For each suffix (strings of ``least`` bytes start at every one), the smallest document of its repeat groups."""
-    low = document.copy()
-    if len(begin) < 2:
-        return low
-    order, length, first, last = maximal_repeats(buffer, begin, stop, start, least)
+    return length[diverse], first[diverse], last[diverse]
+
+
+def repeat_groups(buffer, begin, stop, start, low, high, least: int = LENGTH):
+    """(group, member, starts, smallest document): every occurrence, as a suffix, of the maximal repeat groups that lie in
+    two documents or more; ``starts`` is how many strings of ``least`` bytes the repeat holds, low and high are the
+    smallest and largest document of each suffix. A suffix that stands for several documents and is no prefix of another
+    is a leaf of its own, a group where its string begins (further in, the string has one left extension only)."""
+    order, lcp = suffix_array(buffer, begin, stop)
+    length, first, last = _diverse(buffer, begin, start, order, lcp, least)
+    size = (stop - begin)[order]
+    leaf = np.flatnonzero((begin == start)[order] & (lcp < size) & (np.append(lcp[1:], 0) < size) & (low < high)[order])
+    length, first, last = np.append(length, size[leaf]), np.append(first, leaf), np.append(last, leaf)
     if not len(first):
-        return low
-    ranked = np.append(document[order], np.iinfo(np.int64).max)
-    least_doc = np.minimum.reduceat(ranked, np.stack([first, last + 1], 1).ravel())[::2]
-    count = last - first + 1
-    cover = length - least + 1  # suffixes of one string are neighbours: a repeat covers as many of them
-    for lo, hi in portions((count * cover).tolist(), 1_000_000):  # of repeats that contain each other there may be many
-        n = count[lo:hi]
-        group = np.repeat(np.arange(lo, hi), n)
-        member = order[np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        reach = cover[group]
-        at = np.repeat(member - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
-        np.minimum.at(low, at, np.repeat(least_doc[group], reach))
-    return low
+        return (np.zeros(0, np.int64),) * 4
+    some = np.stack([first, last + 1], 1).ravel()
+    smallest = np.minimum.reduceat(np.append(low[order], np.iinfo(np.int64).max), some)[::2]
+    largest = np.maximum.reduceat(np.append(high[order], np.iinfo(np.int64).min), some)[::2]
+    on = smallest < largest
+    first, n, length, smallest = first[on], (last - first + 1)[on], length[on], smallest[on]
+    group = np.repeat(np.arange(len(n)), n)
+    member = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return group, member, (length - least + 1)[group], smallest[group]
 
 
 # --- anchors
@@ -175,143 +178,102 @@ def anchors(texts: list[bytes]):
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]) if len(a) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(a)) - 1
-    return h[a[first]], text[first], a[first], starts[first], starts[last] if len(first) else starts[:0], begins, data
+    return mix(h[a[first]]), text[first], a[first], starts[first], starts[last] if len(first) else starts[:0], begins, data
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> U64(64 - BITS)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U64(64 - bits)).astype(np.int64)
 
 
-def _six(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The upper six bytes of hashes (the lowest bit of these tells whether several documents of a task have it)."""
-    return (h >> U64(32)).astype(np.uint32), (h >> U64(16)).astype(np.uint16)
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket is a range of hashes."""
+    return ((h >> U64(40)) * U64(buckets) >> U64(24)).astype(np.int64)
 
 
-def _five(h: np.ndarray) -> bytes:
-    """The upper five bytes of hashes; the bucket tells more of an anchor, and two in one are only solved together."""
-    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(24)).astype(np.uint8).tobytes()
+def _six(h: np.ndarray) -> bytes:
+    """The upper six bytes of hashes; two anchors with the same are only solved together."""
+    return (h >> U64(32)).astype(np.uint32).tobytes() + (h >> U64(16)).astype(np.uint16).tobytes()
 
 
-def _from_five(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) << U64(32) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << U64(24)
+def _from_six(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) << U64(32) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << U64(16)
 
 
-def repeated_anchors(docs: DataFrame, buckets: int) -> np.ndarray:
-    """A bitmap over hash slots of the anchors that occur in two documents or more."""
+def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = _slot(h, len(bitmap).bit_length() + 2)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
 
-    def scan(batches):
-        seq, hashes, owner = 0, [], []
 
-        def flush():
-            h, d = np.concatenate(hashes) & ~U64((1 << 17) - 1), np.concatenate(owner)
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            several = np.maximum.reduceat(d, new) != np.minimum.reduceat(d, new)
-            h = h[new] | several.astype(np.uint64) << U64(16)
-            p, *blobs = zip(*deal(_slot(h) * buckets >> BITS, buckets, *_six(h)), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "high", "low"])
-
-        held = 0
-        for b in batches:
-            texts = as_bytes(b.column("text"))
-            for lo, hi in portions([len(t) for t in texts], PORTION):
-                h, text, *_ = anchors(texts[lo:hi])
-                hashes.append(h)
-                owner.append(text + seq + lo)
-                held += len(h)
-                if held > 700_000:
-                    yield flush()
-                    hashes, owner, held = [], [], 0
-            seq += len(texts)
-        if held:
-            yield flush()
-
-    def gather(batches):
-        mine: dict[int, list[np.ndarray]] = {}
+def bitmap_of(marks: DataFrame) -> np.ndarray:
+    """The bitmap of (hashes) blobs, each of one bucket: what reaches the driver, in one job, are its own bytes."""
+    n = marks.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    bits = bits_for(n // 6, most=MOST_BITS)
+
+    def fill(batches):
         for b in batches:
-            for p, high, low in zip(*(b.column(c).to_pylist() for c in ("bucket", "high", "low")), strict=True):
-                mine.setdefault(p, []).append(np.frombuffer(high, np.uint32).astype(np.uint64) << U64(32) | np.frombuffer(low, np.uint16).astype(np.uint64) << U64(16))
-        for parts in mine.values():  # a bucket is a range of slots
-            h = np.sort(np.concatenate(parts))
-            keep = (h & U64(1 << 16)) != U64(0)
-            keep[1:] |= h[1:] >> U64(17) == h[:-1] >> U64(17)
-            marks = list(_marked(h[keep]))
-            if marks:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.binary())], ["lo", "bits"])
-
-    dealt = docs.select("text").mapInArrow(scan, "bucket int, high binary, low binary").repartition(buckets, "bucket")
-    return _bitmap(dealt.mapInArrow(gather, "lo long, bits binary").toLocalIterator())
-
-
-def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = _slot(h)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
-
-
-def _marked(h: np.ndarray):
-    """Rows (lo, bits) of a bitmap with the slots of h set, for each stretch of slots."""
-    at = np.unique(_slot(h))
-    for block in np.split(at, np.flatnonzero(np.diff(at >> 16)) + 1) if len(at) else []:
-        lo = int(block[0]) >> 3
-        bits = np.zeros((int(block[-1]) >> 3) - lo + 1, np.uint8)
-        np.bitwise_or.at(bits, (block >> 3) - lo, (1 << (block & 7)).astype(np.uint8))
-        yield lo, zlib.compress(bits.tobytes(), 1)
-
-
-def _bitmap(rows) -> np.ndarray:
-    bits = np.zeros(1 << BITS - 3, np.uint8)
-    for lo, blob in rows:
+            for blob in b.column("hashes").to_pylist():
+                at = np.unique(_slot(_from_six(blob), bits))
+                lo = int(at[0]) >> 3
+                part = np.zeros((int(at[-1]) >> 3) - lo + 1, np.uint8)
+                np.bitwise_or.at(part, (at >> 3) - lo, (1 << (at & 7)).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([zlib.compress(part.tobytes(), 1)])], ["lo", "bits"])
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for lo, blob in marks.mapInArrow(tidied(fill), "lo long, bits binary").collect():
         part = np.frombuffer(zlib.decompress(blob), np.uint8)
-        bits[lo : lo + len(part)] |= part
-    return bits
+        out[lo : lo + len(part)] |= part
+    return out
 
 
 ENTRY = "task long, bucket int, hashes binary, ids binary, low binary, high binary, sizes binary, wins binary, cuts binary, digests binary, rows binary, uses binary, at binary"
 
 
-def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, what: str, only: np.ndarray | None = None) -> DataFrame:
+def cut_out(docs: DataFrame, buckets: int, what: str, only: np.ndarray | None = None) -> DataFrame:
     """By ``what``: ``digests``, entries without their bytes, dealt by anchor; ``cuts``, with their bytes, of the anchors
     in the bitmap ``only``; ``own``, per task the occurrences of its entries. All come from one deterministic scan, run
     again: that is less than to store the cuts."""
-    held = docs.sparkSession.sparkContext.broadcast((bits, only))
+    held = docs.sparkSession.sparkContext.broadcast(only)
     names = [x.split()[0] for x in ENTRY.split(", ")]
     kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 11
 
     def scan(batches):
         me, flushes = TaskContext.get().partitionId(), 0
-        h_, doc_, row_, at_, win_, cut_ = [], [], [], [], [], []
-        (bitmap, chosen), held_n = held.value, 0
+        parts, whole, n_whole = [], [], 0
+        chosen, held_n = held.value, 0
 
         def flush():
             nonlocal flushes
             task, flushes = me << 24 | flushes, flushes + 1
-            h, doc, row, at, win = (np.concatenate(x) for x in (h_, doc_, row_, at_, win_))
-            key = np.array([_digest(c) for c in cut_], np.uint64)
+            h, doc, row, at, win, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             _, one, entry = np.unique(key, return_index=True, return_inverse=True)  # equal cuts are one entry
             turn = np.argsort(one)  # numbered as they come, so that their numbers and documents grow
-            entry, one = np.argsort(turn)[entry], one[turn]
-            low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
-            np.minimum.at(low, entry, doc)
-            np.maximum.at(high, entry, doc)
+            new = np.empty(len(turn), np.int64)
+            new[turn] = np.arange(len(turn))
+            entry, one = new[entry], one[turn]
             if what == "own":
                 out = [(task, None, None, None, _steps(doc), None, None, None, None, None, *map(_steps, (row, entry.astype(np.int32), at.astype(np.int32))))]
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-            bucket = ((h[one] >> U64(8)) % U64(buckets)).astype(np.int64)
+            low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+            np.minimum.at(low, entry, doc)
+            np.maximum.at(high, entry, doc)
+            bucket = _bucket(h[one], buckets)
             if what == "cuts":
                 bucket[~_has(chosen, h[one])] = buckets
+                data = b"".join(whole)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
             for p in np.flatnonzero(np.diff(edges)):
                 e = order[edges[p] : edges[p + 1]]
-                common = task, int(p), _five(h[one[e]]), _steps(e.astype(np.int32)), _steps(low[e]), _small(high[e] - low[e])
+                i = one[e]
+                common = task, int(p), _six(h[i]), _steps(e.astype(np.int32)), _steps(low[e]), _small(high[e] - low[e])
                 if what == "digests":
-                    out.append((*common, None, _small(win[one[e]].astype(np.uint8)), None, _five(key[one[e]]), None, None, None))
+                    out.append((*common, None, _small(win[i].astype(np.uint8)), None, key[i].tobytes(), None, None, None))
                 else:
-                    cuts = [cut_[i] for i in one[e]]
-                    out.append((*common, *map(_small, (np.array([len(c) for c in cuts], np.uint8), win[one[e]].astype(np.uint8))), _small(b"".join(cuts), 5), None, None, None, None))
+                    size = win[i] + LENGTH - 1
+                    cuts = b"".join([data[a:z] for a, z in zip(place[i].tolist(), (place[i] + size).tolist(), strict=True)])
+                    out.append((*common, _small(size.astype(np.uint8)), _small(win[i].astype(np.uint8)), _small(cuts, 5), None, None, None, None))
             if not out:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -320,22 +282,17 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, what: str, only: np
             texts, ids, rows = as_bytes(b.column("text")), np.array(b.column("doc_id").fill_null(NONE), np.int64), np.array(b.column("row"), np.int64)
             for lo, hi in portions([len(t) for t in texts], PORTION):
                 h, text, _, first, last, begins, data = anchors(texts[lo:hi])
-                on = _has(bitmap, h)
-                if not on.any():
+                if not len(h):
                     continue
-                h, text, first, last = h[on], text[on], first[on], last[on]
-                whole = data.tobytes()
-                cut_ += [whole[a : z + LENGTH] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
-                h_.append(h)
-                doc_.append(ids[lo:hi][text])
-                row_.append(rows[lo:hi][text])
-                at_.append(first - begins[text])
-                win_.append(last - first + 1)
+                parts.append((h, ids[lo:hi][text], rows[lo:hi][text], first - begins[text], last - first + 1, span_hashes(data, first, last + LENGTH), first + n_whole))
+                if what == "cuts":
+                    whole.append(data.tobytes())
+                n_whole += len(data)
                 held_n += len(h)
-                if held_n > 150_000:
+                if held_n > 300_000:
                     if (out := flush()) is not None:
                         yield out
-                    h_, doc_, row_, at_, win_, cut_, held_n = [], [], [], [], [], [], 0
+                    parts, whole, n_whole, held_n = [], [], 0, 0
         if held_n and (out := flush()) is not None:
             yield out
         tidy()
@@ -343,25 +300,25 @@ def cut_out(docs: DataFrame, bits: np.ndarray, buckets: int, what: str, only: np
     return docs.mapInArrow(scan, ENTRY)
 
 
-REPLY = "task long, ids binary, first binary, last binary, low binary"
+REPLY = "task long, ids binary, off binary, starts binary, low binary, grp binary"
 
 
-def _reply(task, ids, first, last, low):
-    """Answers as one row a task."""
+def _reply(task, ids, off, starts, low, group=None):
+    """Occurrences of groups as one row a task."""
     if len(task):
         tasks, at = np.unique(task, return_inverse=True)
-        order = np.lexsort((first, ids, at))
+        order = np.lexsort((off, ids, at))
         edges, out = np.searchsorted(at[order], np.arange(len(tasks) + 1)), []
         for p in range(len(tasks)):
             o = order[edges[p] : edges[p + 1]]
-            out.append((int(tasks[p]), _steps(ids[o]), _small(first[o].astype(np.uint8)), _small(last[o].astype(np.uint8)), _steps(low[o])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)], ["task", "ids", "first", "last", "low"])
+            out.append((int(tasks[p]), _steps(ids[o]), _small(off[o].astype(np.uint8)), _small(starts[o].astype(np.uint8)), _steps(low[o]), None if group is None else _small(group[o])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] + [pa.binary()] * 5, strict=True)], ["task", "ids", "off", "starts", "low", "grp"])
 
 
 def _collected(rows):
     get = lambda name, kind, read=_array: np.concatenate([read(r[name], kind) for r in rows])
-    h = np.concatenate([_from_five(r["hashes"]) for r in rows])
-    task = np.concatenate([np.full(len(r["hashes"]) // 5, r["task"], np.int64) for r in rows])
+    h = np.concatenate([_from_six(r["hashes"]) for r in rows])
+    task = np.concatenate([np.full(len(r["hashes"]) // 6, r["task"], np.int64) for r in rows])
     low = get("low", np.int64, _summed)
     return get, h, task, get("ids", np.int32, _summed), low, low + get("high", np.int64), get("wins", np.uint8).astype(np.int64)
 
@@ -372,89 +329,91 @@ def _by_bucket(batches):
         for r in b.to_pylist():
             mine.setdefault(r["bucket"], []).append(r)
     for bucket in list(mine):
-        yield mine.pop(bucket)
+        yield bucket, mine.pop(bucket)
 
 
-def answer_equal(entries: DataFrame, buckets: int) -> DataFrame:
-    """Answers of the anchors all of whose cuts are equal, and (lo, bits) of the others' bitmap."""
+def answer_equal(entries: DataFrame, buckets: int, all_: bool) -> DataFrame:
+    """The groups of the anchors all of whose cuts are equal, and (hashes) of the others. Without ``all_`` only
+    occurrences that a smaller document precedes."""
 
     def solve(batches):
-        for rows in _by_bucket(batches):
+        for bucket, rows in _by_bucket(batches):
             _, h, task, ids, low, high, wins = _collected(rows)
-            digest = np.concatenate([_from_five(r["digests"]) for r in rows])
-            _, group = np.unique(h, return_inverse=True)
-            n = group.max() + 1
-            a, z, least = np.full(n, U64(2**64 - 1)), np.zeros(n, np.uint64), np.full(n, np.iinfo(np.int64).max)
+            digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in rows])
+            rows.clear()
+            names, group = np.unique(h, return_inverse=True)
+            n = len(names)
+            a, z = np.full(n, U64(2**64 - 1)), np.zeros(n, np.uint64)
+            least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
             np.minimum.at(a, group, digest)
             np.maximum.at(z, group, digest)
             np.minimum.at(least, group, low)
-            equal = (a == z)[group]
-            on = equal & (least[group] < high)
-            for b in _reply(task[on], ids[on], np.zeros(int(on.sum()), np.int64), wins[on], least[group][on]):
-                none = pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, *none], [*b.schema.names, "lo", "bits"])
-            marks = list(_marked(h[~equal]))
-            if marks:
-                none = [pa.nulls(len(marks), pa.int64())] + [pa.nulls(len(marks), pa.binary())] * 4
-                yield pa.RecordBatch.from_arrays([*none, pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.binary())], ["task", "ids", "first", "last", "low", "lo", "bits"])
+            np.maximum.at(most, group, high)
+            equal = a == z
+            on = equal[group] & ((least < most)[group] if all_ else least[group] < high)
+            gid = (np.int64(bucket) << 33 | group) if all_ else None
+            for b in _reply(task[on], ids[on], np.zeros(int(on.sum()), np.int64), wins[on], least[group][on], gid[on] if all_ else None):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], [*b.schema.names, "hashes"])
+            if not equal.all():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 5, pa.array([_six(names[~equal])], pa.binary())], ["task", "ids", "off", "starts", "low", "grp", "hashes"])
         tidy()
 
     dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "wins", "digests").repartition(buckets, "bucket")
-    return save(dealt.mapInArrow(solve, REPLY + ", lo long, bits binary"), "equal")
+    return save(dealt.mapInArrow(solve, REPLY + ", hashes binary"), "equal")
 
 
-def answer(entries: DataFrame, buckets: int) -> DataFrame:
-    """(task, ids, first, last, low): for string starts first..last of an entry, the smallest document that has them;
-    only where that is smaller than some document of the entry."""
+def answer(entries: DataFrame, buckets: int, all_: bool) -> DataFrame:
+    """The groups of anchors with several cuts. Without ``all_`` only occurrences that a smaller document precedes."""
 
     def solve(batches):
-        for rows in _by_bucket(batches):
-            yield from _solve(rows)
+        for bucket, rows in _by_bucket(batches):
+            yield from _solve(bucket, rows)
         tidy()
 
-    def _solve(rows):
+    def _solve(bucket, rows):
         get, h, task, ids, low, high, wins = _collected(rows)
         size, data = get("sizes", np.uint8).astype(np.int64), get("cuts", np.uint8)
         rows.clear()
         offset = np.cumsum(size) - size
-        whole = data.tobytes()
-        key = np.array([_digest(whole[a : a + n]) for a, n in zip(offset.tolist(), size.tolist(), strict=True)], np.uint64)
-        _, one, cut = np.unique(key, return_index=True, return_inverse=True)
-        cut_low = np.full(len(one), np.iinfo(np.int64).max)
+        _, one, cut = np.unique(span_hashes(data, offset, offset + size), return_index=True, return_inverse=True)
+        cut_low, cut_high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
         np.minimum.at(cut_low, cut, low)
-        # anchors with one cut only: all its strings have the same documents; the others go through the suffix array
+        np.maximum.at(cut_high, cut, high)
+        n_of, begin_of = wins[one], offset[one]
+        entries_of = np.argsort(cut, kind="stable")
+        edge_of = np.searchsorted(cut[entries_of], np.arange(len(one) + 1))
+
+        def told(group, c, off, starts, least):
+            """Occurrences in cuts, as occurrences in the entries of each."""
+            n = edge_of[c + 1] - edge_of[c]
+            r = np.repeat(np.arange(len(c)), n)
+            e = entries_of[np.repeat(edge_of[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            if not all_:
+                on = least[r] < high[e]
+                r, e = r[on], e[on]
+            gid = np.int64(bucket) << 33 | np.int64(1 << 32) | group[r] if all_ else None
+            return _reply(task[e], ids[e], off[r], starts[r], least[r], gid)
+
         hs = h[one]
         order = np.argsort(hs, kind="stable")
         same = np.concatenate([[False], hs[order][1:] == hs[order][:-1]])
         several = same.copy()
         several[:-1] |= same[1:]
         todo = order[several]
-        n_of, begin_of = wins[one], offset[one]
-        first = np.cumsum(n_of) - n_of
-        result = np.repeat(cut_low, n_of)
-        for lo in _groups(hs[todo], n_of[todo]):
-            t = todo[lo[0] : lo[1]]
+        leaf = order[~several]  # anchors with one cut: a tree of one leaf
+        leaf = leaf[cut_low[leaf] < cut_high[leaf]]
+        yield from told(np.arange(len(leaf)), leaf, np.zeros(len(leaf), np.int64), n_of[leaf], cut_low[leaf])
+        number = len(leaf)
+        for a, z in _groups(hs[todo], n_of[todo]):
+            t = todo[a:z]
             reps, start = n_of[t], begin_of[t]
             inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            begin = np.repeat(start, reps) + inside
-            got = smallest_document(data, begin, np.repeat(start + size[one][t], reps), np.repeat(start, reps), np.repeat(cut_low[t], reps))
-            result[np.repeat(first[t], reps) + inside] = got
-        # runs of equal answers, for every entry that has a larger document
-        new = np.concatenate([[True], result[1:] != result[:-1]]) if len(result) else np.zeros(0, bool)
-        new[first] = True
-        run = np.flatnonzero(new)
-        run_cut = np.searchsorted(first, run, side="right") - 1
-        run_from = run - first[run_cut]
-        run_to = np.append(run[1:], len(result)) - first[run_cut]
-        runs_of = np.searchsorted(run_cut, np.arange(len(one) + 1))
-        count = (runs_of[1:] - runs_of[:-1])[cut]
-        e = np.repeat(np.arange(len(cut)), count)
-        r = np.repeat(runs_of[:-1][cut] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        use = result[run[r]] < high[e]
-        e, r = e[use], r[use]
-        if not len(e):
-            return
-        yield from _reply(task[e], ids[e], run_from[r], run_to[r], result[run[r]])
+            begin, c = np.repeat(start, reps) + inside, np.repeat(t, reps)
+            group, member, starts, least = repeat_groups(data, begin, np.repeat(start + size[one][t], reps), np.repeat(start, reps), cut_low[c], cut_high[c])
+            for lo, hi in portions((edge_of[c[member] + 1] - edge_of[c[member]]).tolist(), 1_000_000):
+                m = member[lo:hi]
+                yield from told(group[lo:hi] + number, c[m], inside[m], starts[lo:hi], least[lo:hi])
+            number += int(group[-1]) + 1 if len(group) else 0
 
     dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "sizes", "wins", "cuts").repartition(buckets, "bucket")
     return dealt.mapInArrow(solve, REPLY)
@@ -471,58 +430,100 @@ def _groups(h: np.ndarray, weight: np.ndarray, most: int = 60_000):
             lo = int(z)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(row, spans): per row the merged runs of bytes (packed int32 pairs, end exclusive) covered by strings of
-    ``LENGTH`` bytes that also start in a document with a smaller doc_id. Rows without any are absent."""
+def _occurrences(docs: DataFrame, all_: bool, emit, schema: str) -> DataFrame:
+    """``emit(entry of each use, where the cut begins, row, document, (ids, off, starts, low, group))`` for each task that
+    has answers."""
     buckets = buckets_for(docs)
-    bits = repeated_anchors(docs, buckets)
-    release(docs.sparkSession)
-    own = cut_out(docs, bits, buckets, "own").select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("first"), F.col("rows").alias("last"), "low")
-    equal = answer_equal(cut_out(docs, bits, buckets, "digests"), buckets)
+    equal = answer_equal(cut_out(docs, buckets, "digests"), buckets, all_)
     release(docs.sparkSession)
-    differ = _bitmap(equal.where("task is null").select("lo", "bits").toLocalIterator())
-    known = equal.where("task is not null").select("task", "ids", "first", "last", "low")
-    replies = known.unionByName(answer(cut_out(docs, bits, buckets, "cuts", differ), buckets)).select("task", F.lit(1).alias("kind"), "ids", "first", "last", "low")
+    only = bitmap_of(equal.where("task is null").select("hashes"))
+    known = equal.where("task is not null").drop("hashes")
+    replies = known.unionByName(answer(cut_out(docs, buckets, "cuts", only), buckets, all_)).withColumn("kind", F.lit(1))
+    own = cut_out(docs, buckets, "own").select("task", F.lit(0).alias("kind"), F.col("uses").alias("ids"), F.col("at").alias("off"), F.col("rows").alias("starts"), "low", F.lit(None).cast("binary").alias("grp"))
     both = own.unionByName(replies).repartition(buckets, "task").sortWithinPartitions("task", "kind")
 
-    def cover(batches):
-        def emit(uses, at, rows, docs_, parts):
-            if not parts:
-                return None
-            ids, first, last, low = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(ids, kind="stable")
-            ids, first, last, low = ids[order], first[order], last[order], low[order]
-            lo, hi = np.searchsorted(ids, uses, "left"), np.searchsorted(ids, uses, "right")
-            n = hi - lo
-            o = np.repeat(np.arange(len(uses)), n)
-            r = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            hit = low[r] < docs_[o]
-            o, r = o[hit], r[hit]
-            if not len(o):
+    def run(batches):
+        now, mine, parts = None, None, []
+
+        def told():
+            if mine is None or not parts:
                 return None
-            row, a, z = rows[o], at[o] + first[r], at[o] + last[r] + LENGTH - 1
-            order = np.lexsort((a, row))
-            row, a, z = row[order], a[order], z[order]
-            edge = np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row))
-            spans = [np.stack([a[i:j], z[i:j]], 1).astype(np.int32).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(row[edge[:-1]]), pa.array(spans, pa.binary())], ["row", "spans"])
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.argsort(found[0], kind="stable")
+            return emit(*mine, [x[order] for x in found])
 
-        now, mine, parts = None, None, []
         for b in batches:
             for r in b.to_pylist():
                 if r["task"] != now:
-                    if now is not None and (out := emit(*mine, parts)) is not None:
+                    if (out := told()) is not None:
                         yield out
-                    now, parts = r["task"], []
+                    now, mine, parts = r["task"], None, []
                 if r["kind"] == 0:
-                    mine = _summed(r["ids"], np.int32), _summed(r["first"], np.int32).astype(np.int64), _summed(r["last"], np.int64), _summed(r["low"], np.int64)
+                    mine = _summed(r["ids"], np.int32), _summed(r["off"], np.int32).astype(np.int64), _summed(r["starts"], np.int64), _summed(r["low"], np.int64)
                 else:
-                    parts.append((_summed(r["ids"], np.int32), _array(r["first"], np.uint8), _array(r["last"], np.uint8), _summed(r["low"], np.int64)))
-        if now is not None and (out := emit(*mine, parts)) is not None:
+                    ids = _summed(r["ids"], np.int32)
+                    parts.append((ids, _array(r["off"], np.uint8), _array(r["starts"], np.uint8), _summed(r["low"], np.int64), _array(r["grp"], np.int64) if all_ else ids))
+        if (out := told()) is not None:
             yield out
 
+    return both.mapInArrow(tidied(run), schema)
+
+
+def _met(uses, ids):
+    """Pairs (use, answer) of equal entries; answers are sorted by entry."""
+    lo, hi = np.searchsorted(ids, uses, "left"), np.searchsorted(ids, uses, "right")
+    n = hi - lo
+    return np.repeat(np.arange(len(uses)), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def maximal_repeat_groups(docs: DataFrame) -> DataFrame:
+    """(group, length, doc_id, start): every occurrence of every maximal repeat of ``LENGTH`` bytes or more that lies in
+    two documents or more; a row an occurrence, so that no group is gathered. Start and length are bytes of the text.
+
+    A repeat reaches as far as the strings of its anchor do (see above). Null text: the empty one. Rows of equal doc_id
+    are one document here; a null doc_id counts as the smallest and comes back as null. An empty table gives no rows.
+    """
+    docs = _numbered(docs)
+
+    def emit(uses, at, rows, owner, found):
+        ids, off, starts, _, group = found
+        o, r = _met(uses, ids)
+        where, doc = at[o] + off[r], owner[o]
+        return pa.RecordBatch.from_arrays([pa.array(group[r]), pa.array(starts[r].astype(np.int64) + LENGTH - 1), pa.array(doc, mask=doc == NONE), pa.array(where)], ["group", "length", "doc_id", "start"])
+
+    return _occurrences(docs, True, emit, "group long, length long, doc_id long, start long")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(row, spans): per row the runs of bytes (packed int32 pairs, end exclusive) that groups with a smaller document
+    cover. Rows without any are absent."""
+
+    def emit(uses, at, rows, owner, found):
+        ids, off, starts, low, _ = found
+        o, r = _met(uses, ids)
+        hit = low[r] < owner[o]
+        o, r = o[hit], r[hit]
+        if not len(o):
+            return None
+        row, a = rows[o], at[o] + off[r]
+        z = a + starts[r] + LENGTH - 1
+        order = np.lexsort((a, row))
+        row, a, z = row[order], a[order], z[order]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row))
+        spans = []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            reach = np.maximum.accumulate(z[i:j])  # runs that touch are one
+            new = np.flatnonzero(np.concatenate([[True], a[i + 1 : j] > reach[:-1]]))
+            spans.append(np.stack([a[i:j][new], reach[np.append(new[1:], j - i) - 1]], 1).astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(row[edge[:-1]]), pa.array(spans, pa.binary())], ["row", "spans"])
+
     # a row's occurrences lie in one task, but may lie in two flushes of it
-    return both.mapInArrow(cover, "row long, spans binary").groupBy("row").agg(F.array_join(F.transform(F.collect_list("spans"), F.hex), "").alias("spans"))
+    found = _occurrences(docs, False, emit, "row long, spans binary")
+    return found.groupBy("row").agg(F.array_join(F.transform(F.collect_list("spans"), F.hex), "").alias("spans"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -536,7 +537,7 @@ def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     other; a null doc_id counts as the smallest. An empty table gives no rows. Other columns are ignored. The input
     must be the same at each read (a stored table), since row numbers are taken from its scan.
     """
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _numbered(docs)
     found = save(repeats(docs), "repeats")
     release(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(bloom(found, "row"))

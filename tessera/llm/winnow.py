@@ -5,8 +5,9 @@ chosen, the rightmost on ties, and its position is kept. Two texts that share w
 entry; nothing shorter than k can match.
 
 Scale: fingerprints are one scan. The query also needs each document's successor by id: one shuffle brings the texts
-into ranges of ids of equal counts, every range is sorted and streamed with one row looked ahead, and the first
-document of a range is sent to the range before it as well, so no window ever spans the table.
+into ranges of ids of about equal bytes, one a task, every range is sorted and streamed with one row looked ahead, and the
+first document of a range is sent to the range before it as well, so no window ever spans the table. Ranges are put together
+from cells: stretches of ids of about equal counts, cut evenly by value; what the driver holds is a number a cell.
 """
 
 from __future__ import annotations
@@ -82,45 +83,75 @@ def fingerprints(docs: DataFrame, text_col: str = "text", k: int = K, w: int = W
     return rows.mapInArrow(tidied(run), "doc_id long, fingerprint string, positions array<long>")
 
 
-def by_range(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 20_000) -> DataFrame:
-    """(part, ahead, doc_id, text): documents in ranges of ids; the first of each range also, as ``ahead``, in the
-    range before, and the very first in the last. Only ids are read to find the ranges, and what is held of them is
-    two numbers a range. Null ids sort first; equal ids are ordered by text."""
+STRETCHES, CELLS = 4096, 1 << 20
+
+
+def cells(ids: DataFrame, n_rows: int, rows_a_cell: int = 64) -> np.ndarray:
+    """The borders of cells of ids, sorted; as many as there are ``rows_a_cell`` rows, at most ``CELLS``."""
+    most = max(1, min(n_rows // rows_a_cell, CELLS))
+    parts = min(most, STRETCHES)
+    told = ids.agg(F.min("i"), F.max("i"), F.percentile_approx("i", [j / parts for j in range(1, parts)] or [0.5], 10 * parts)).first()
+    edges = sorted({told[0], told[1], *told[2]}) if told[0] is not None else []
+    cuts: set[int] = set()
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        step = max(1, (z - a) // max(1, most // parts))
+        cuts.update(range(a + step, z, step))
+        cuts.add(z)
+    return np.array(sorted(cuts), np.int64)
+
+
+def _even_keys(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash puts there."""
+    where = spark.range(0, 32 * n + 64, numPartitions=1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    found = dict(map(tuple, where.collect()))
+    return [found.get(p, p) for p in range(n)]
+
+
+def by_range(docs: DataFrame, bytes_a_range: int = 8 << 20, most_ranges: int = CELLS) -> DataFrame:
+    """(part, ahead, doc_id, text): documents in ranges of ids, a partition each; the first of each range also, as
+    ``ahead``, in the range before, and the very first in the last. Null ids sort first; equal ids are ordered by text and
+    stay together. An empty table gives no rows."""
     spark, none = docs.sparkSession, -(2**63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select(F.coalesce("doc_id", F.lit(none)).alias("i"))
-    parts = max(1, min(-(-rows.count() // rows_a_range), most_ranges))
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", [j / parts for j in range(1, parts)], 10 * parts)).first()[0])) if parts > 1 else []
-    held = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+    sized = rows.select(F.coalesce("doc_id", F.lit(none)).alias("i"), F.octet_length("text").alias("size"))
+    held = spark.sparkContext.broadcast(cells(sized.where(F.col("i") > none), rows.count()))
 
-    def low(batches):
-        least: dict[int, int] = {}
+    def weigh(batches):
+        size: dict[int, list[int]] = {}
         for b in batches:
-            i = np.sort(np.array(b.column("i"), np.int64))
-            part = np.searchsorted(held.value, i, side="right")
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            for p, v in zip(part[first].tolist(), i[first].tolist(), strict=True):
-                least[p] = min(v, least.get(p, v))
-        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], ["part", "i"])
-
-    heads = sorted(map(tuple, ids.mapInArrow(tidied(low), "part long, i long").groupBy("part").agg(F.min("i")).collect()))
-    before = {i: heads[k - 1][0] for k, (_, i) in enumerate(heads)}
-    first = spark.sparkContext.broadcast((np.array(sorted(before), np.int64), np.array([before[i] for i in sorted(before)], np.int64)))
+            i, n = np.array(b.column("i"), np.int64), np.array(b.column("size"), np.int64)
+            order = np.argsort(i, kind="stable")
+            cell = np.searchsorted(held.value, i[order], side="right")
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            total = np.add.reduceat(n[order], first) if len(first) else first
+            for c, v, s in zip(cell[first].tolist(), i[order][first].tolist(), total.tolist(), strict=True):
+                old = size.get(c, (v, 0))
+                size[c] = min(v, old[0]), s + old[1]
+        yield pa.RecordBatch.from_arrays([pa.array(list(size), pa.int64()), pa.array([v for v, _ in size.values()], pa.int64()), pa.array([s for _, s in size.values()], pa.int64())], ["cell", "i", "size"])
+
+    told = sorted(map(tuple, sized.mapInArrow(tidied(weigh), "cell long, i long, size long").groupBy("cell").agg(F.min("i"), F.sum("size")).collect()))
+    most = max(bytes_a_range, sum(s for *_, s in told) // most_ranges)
+    heads, now = [], 0  # the smallest id of each range
+    for _, i, size in told:
+        if not heads or now + size > most:
+            heads.append(i)
+            now = 0
+        now += size
+    parts = max(1, len(heads))
+    begin = spark.sparkContext.broadcast((np.array(heads, np.int64), np.array(_even_keys(spark, parts), np.int64)))
 
     def number(batches):
+        head, key = begin.value
         for b in batches:
             i = np.array(b.column("doc_id").fill_null(none), np.int64)
-            part = np.searchsorted(held.value, i, side="right").astype(np.int64)
-            head, to = first.value
+            part = np.searchsorted(head, i, side="right") - 1
             again = np.flatnonzero(np.isin(i, head))
-            zero = pa.array(np.zeros(len(i), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(part), zero, *b.columns], ["part", "ahead", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.zeros(len(i), np.int32)), *b.columns], ["part", "ahead", "doc_id", "text"])
             if len(again):
-                x = b.take(pa.array(again))
-                yield pa.RecordBatch.from_arrays([pa.array(to[np.searchsorted(head, i[again])]), pa.array(np.ones(len(again), np.int32)), *x.columns], ["part", "ahead", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[part[again] - 1]), pa.array(np.ones(len(again), np.int32)), *b.take(pa.array(again)).columns], ["part", "ahead", "doc_id", "text"])
 
     placed = rows.mapInArrow(tidied(number), "part long, ahead int, doc_id long, text string")
-    return placed.repartition(max(parts // 4, 12), "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    return placed.repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>"
@@ -128,7 +159,10 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def compare_with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Each document with its edited text (the last quarter of its code points replaced by the first as many of the
-    next document) and the next document: digests, fingerprints, likeness. A single document is its own next."""
+    next document) and the next document: digests, fingerprints, likeness. A single document is its own next.
+
+    Null text is the empty one. Rows of equal doc_id, copies of a row too, are ordered by text and each has a next; a null
+    doc_id comes first. An empty table gives no rows. Other columns are ignored."""
     ranges = by_range(docs)
     names = [x.split()[0] for x in OUT.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64())]

@@ -23,7 +23,7 @@ ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: Shapes by kind; where two match, the earlier start wins, then the earlier kind.
 SHAPES = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -121,10 +121,19 @@ def _iban(text, key, back):
     return _refill(text, f"{plain[:2]}{98 - check(plain[:2] + '00' + body):02d}{body}")
 
 
+def _walk(value: int, size: int, key: bytes, tweak: str, back: bool, inside) -> int:
+    """The permutation of those of 0..size-1 that are ``inside``: applied until one of them comes up."""
+    while True:
+        value = permuted(value, size, key, tweak, back)
+        if inside(value):
+            return value
+
+
 def _date(text, key, back):
-    a, b, c = re.split("[-/.]", text)
+    """Dates of one way of writing are permuted among themselves: the order of the parts and the width of day and month
+    stay, a part of one digit gets one digit again."""
+    parts = re.split("[-/.]", text)
     orders = [(0, 1, 2)] if "-" in text else [(2, 1, 0)] if "." in text else [(2, 0, 1), (2, 1, 0)]
-    parts = (a, b, c)
     for order in orders:
         y, m, d = (int(parts[i]) for i in order)
         try:
@@ -133,25 +142,45 @@ def _date(text, key, back):
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        ambiguous = len(orders) == 2
-        new = datetime.date.fromordinal(FIRST_DAY + permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
-        if ambiguous and order == (2, 1, 0):  # day first is only read where the month cannot be; keep it so
-            while new.day <= 12:
-                new = datetime.date.fromordinal(FIRST_DAY + permuted(new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back))
+        short_month, short_day = (len(parts[i]) == 1 for i in order[1:])
+        # day first is only read where the month cannot be; keep it so
+        late = len(orders) == 2 and order == (2, 1, 0)
+
+        def inside(n, short_month=short_month, short_day=short_day, late=late):
+            new = datetime.date.fromordinal(FIRST_DAY + n)
+            return not (short_month and new.month > 9 or short_day and new.day > 9 or late and new.day <= 12)
+
+        new = datetime.date.fromordinal(FIRST_DAY + _walk(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, f"date{order}{short_month}{short_day}", back, inside))
         out = [""] * 3
         for place, value in zip(order, (new.year, new.month, new.day), strict=True):
-            out[place] = str(value).zfill(4 if place == order[0] else 2)
-        sep = "-" if "-" in text else "." if "." in text else "/"
-        return sep.join(out)
+            out[place] = str(value).zfill(len(parts[place]))
+        return ("-" if "-" in text else "." if "." in text else "/").join(out)
     return None
 
 
 def _ip(text, key, back):
-    octets = [int(x) for x in text.split(".")]
-    if max(octets) > 255:
+    """Four numbers without leading zeros, or, if one has any, four of the same widths of which one has some again."""
+    parts = text.split(".")
+    if max(map(int, parts)) > 255:
         return None
-    value = permuted(int.from_bytes(bytes(octets), "big"), 1 << 32, key, "ip", back)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    padded = lambda ps: any(len(p) > 1 and p[0] == "0" for p in ps)
+    if not padded(parts):
+        value = permuted(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key, "ip", back)
+        return ".".join(map(str, value.to_bytes(4, "big")))
+    sizes = [min(256, 10 ** len(p)) for p in parts]
+
+    def written(n):
+        out = []
+        for p, size in zip(reversed(parts), reversed(sizes), strict=True):
+            out.append(str(n % size).zfill(len(p)))
+            n //= size
+        return out[::-1]
+
+    rank = 0
+    for p, size in zip(parts, sizes, strict=True):
+        rank = rank * size + int(p)
+    total = sizes[0] * sizes[1] * sizes[2] * sizes[3]
+    return ".".join(written(_walk(rank, total, key, "ip" + ".".join(str(len(p)) for p in parts), back, lambda n: padded(written(n)))))
 
 
 def _ssn(text, key, back):
@@ -166,9 +195,14 @@ def _ssn(text, key, back):
 
 
 def _phone(text, key, back):
+    """Ten digits, not all alike, of which neither area nor exchange is 000. No numbering plan is asked: invented numbers
+    are taken for personal data too."""
     digits = re.sub("[^0-9]", "", text)
     country, local = digits[:-10], digits[-10:]
-    return _refill(text, country + str(permuted(int(local), 10**10, key, "phone", back)).zfill(10))
+    inside = lambda n: (s := str(n).zfill(10))[:3] != "000" != s[3:6] and len(set(s)) > 1
+    if not inside(int(local)):
+        return None
+    return _refill(text, country + str(_walk(int(local), 10**10, key, "phone", back, inside)).zfill(10))
 
 
 def _email(text, key, back):
@@ -217,11 +251,12 @@ def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     return "".join(out), spans
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"tessera") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_<kind> for each kind, spans): texts with all validated values replaced.
 
     Null text stays null, without values; empty texts stay empty. Rows of equal or null doc_id stand for themselves.
-    Other columns are ignored. ``spans`` are (start, end, kind) in code points of the original text.
+    An empty table gives no rows. Other columns are ignored. Equal values get equal pseudonyms under one key, which is the
+    caller's secret. ``spans`` are (start, end, kind) in code points of the original text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -242,4 +277,6 @@ def pseudonymise(docs: DataFrame, key: bytes = b"tessera") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The key is the session's setting ``tessera.pii.key``; where there is none, as in tests, one that is no secret."""
+    key = spark.conf.get("tessera.pii.key", "not a secret")
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key.encode())

@@ -116,7 +116,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     """Parses the formatted output (segments of a conversation in order, all in one partition, as
     ``format_conversations`` leaves them) and returns digests per conversation.
 
-    Turns come from the marks in the concatenated segments alone; the loss text from the segments' flags.
+    Turns come from the marks in the concatenated segments alone, wherever these are cut; the loss text from the segments'
+    flags. Other columns are ignored.
     """
     t = template or Template()
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("bad_turns", pa.int64()), ("valid", pa.bool_())])
@@ -145,24 +146,32 @@ class _Reader:
         self.buffer: list[str] = []
         self.turns = self.loss_chars = self.chars = self.bad = 0
         self.all, self.loss, self.role = hashlib.sha256(), hashlib.sha256(), ""
+        self.last, self.open_ok = "", True  # the end of what was read; whether the machine allows the turn being read
 
     def feed(self, segment: str, loss: bool, ok: bool, t: Template) -> None:
         self.chars += len(segment)
-        self.buffer.append(segment)
         if loss:
             plain = t.unescape(segment)
             self.loss_chars += len(plain)
             self.loss.update(plain.encode())
-        if segment == t.end:
-            whole = "".join(self.buffer)
-            self.buffer = []
+        self.open_ok &= ok
+        self.buffer.append(segment)
+        seam, self.last = self.last + segment, (self.last + segment)[1 - len(t.end) :]
+        if t.end not in seam:
+            return
+        whole = "".join(self.buffer)  # a turn at least is complete
+        while (at := whole.find(t.end)) >= 0:
             if not whole.startswith(t.turn):
                 raise ValueError("the formatted output does not begin with a turn mark")
-            head, _, text = whole[len(t.turn) : -len(t.end)].partition(t.text)
+            head, _, text = whole[len(t.turn) : at].partition(t.text)
             self.role = t.unescape(head)
             self.all.update(f"{self.role}\n{t.unescape(text)}\n".encode())
             self.turns += 1
-            self.bad += not ok
+            self.bad += not self.open_ok
+            self.open_ok = ok
+            whole = whole[at + len(t.end) :]
+        self.open_ok = self.open_ok if whole else True
+        self.buffer, self.last = [whole], whole[1 - len(t.end) :]
 
     def row(self, conv, t: Template):
         return conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.bad, self.bad == 0 and self.role in t.final

@@ -37,7 +37,7 @@ _TABLES: dict[str, np.ndarray] = {}
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, its lower case, its script. Built once a worker."""
     if not _TABLES:
-        n = 0x32000
+        n = 0x40000  # beyond are private use and tags: no letters
         letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
         for c in range(n):
             ch = chr(c)
@@ -74,7 +74,7 @@ def _grams(texts: list[str]):
     return slot, word[at], begin, length, kinds, np.searchsorted(ends, begin, side="right")
 
 
-def _portions(texts: list[str], chars: int = 1_500_000):
+def _portions(texts: list[str], chars: int = 500_000):
     """Ranges of texts of about so many characters together."""
     lo = n = 0
     for i, t in enumerate(texts):
@@ -175,7 +175,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
     lang_spans, the maximal runs (start, end, lang) in code points.
 
     score: the share of the text's letters in the predicted language. Null or letterless text: ``und``, 0, no spans;
-    so is every text if no language was learned. Ties go to the language that sorts first.
+    so is every text if no language was learned. Ties go to the language that sorts first. Null or repeated ids: each
+    row stands for itself. An empty table gives no rows.
     """
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "lang_spans")]
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -185,7 +186,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
         m = held.value
         for whole in batches:
             texts_all = [t or "" for t in whole.column("text").to_pylist()]
-            for lo, hi in _portions(texts_all, 4_000_000):
+            for lo, hi in _portions(texts_all, 1_500_000):
                 b, texts = whole.slice(lo, hi - lo), texts_all[lo:hi]
                 pred, score, runs = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
                 if m.languages:

@@ -5,9 +5,10 @@ multinomial source counts; a source's draws are numbered across shards and mappe
 of its block numbers (another one each epoch); the blocks are then joined by source and number.
 
 Scale: texts are scanned once for their sizes. Offsets come from two levels of sums (within hashed chunks, then over
-chunks), so no source is ever sorted in one task. The slots of a shard are made in a stream on the executors. The
-join key (source, block) is at most doubled, so a hot source spreads evenly. What the driver holds is one row a source
-and one a shard and source: both bounded by parameters.
+chunks), so no source is ever sorted in one task. Draws have two levels too: the driver splits the sources' slots among
+groups of shards, and each group is split among its shards, and these into slots, in a stream on the executors. The
+join key (source, block) is at most doubled, so a hot source spreads evenly. What the driver holds is one number a source
+and group, ``MOST_DRAWS`` at most; the shards are as many as the mix needs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from tessera.llm.common import as_bytes, permute, save, tidied
 
 BLOCK = 64
 MOST_SOURCES = 100_000
-MOST_SHARDS = 4096
+MOST_GROUPS, MOST_DRAWS = 4096, 1 << 20
 SLOTS_A_SHARD = 4096
 
 
@@ -58,14 +59,11 @@ def targets(totals: list[tuple[str | None, int]], weights=(5, 2, 1), share: floa
     return [(s, n, g) for (s, n), g in zip(order, goal, strict=True)]
 
 
-def draws(quota: np.ndarray, seed: int = 9, most_shards: int = MOST_SHARDS, slots_a_shard: int = SLOTS_A_SHARD) -> np.ndarray:
-    """Slots by shard and source. Each shard draws a multinomial by what the sources have left to give; a source
-    that is drawn beyond that is drawn again among the others, so that the columns sum to ``quota``."""
-    total = int(quota.sum())
-    shards = max(1, min(most_shards, -(-total // slots_a_shard)))
-    rng, left, out = np.random.default_rng(seed), quota.astype(np.int64).copy(), np.zeros((shards, len(quota)), np.int64)
-    for j in range(shards):
-        need = total // shards + (j < total % shards)
+def draws(quota: np.ndarray, needs: np.ndarray, seed) -> np.ndarray:
+    """Slots by part and source: each part draws a multinomial of its need by what the sources have left to give. A source
+    that is drawn beyond that is drawn again among the others, so that rows sum to ``needs`` and columns to ``quota``."""
+    rng, left, out = np.random.default_rng(seed), quota.astype(np.int64).copy(), np.zeros((len(needs), len(quota)), np.int64)
+    for j, need in enumerate(needs.tolist()):
         while need:
             got = np.minimum(rng.multinomial(need, left / left.sum()), left)
             out[j] += got
@@ -74,6 +72,24 @@ def draws(quota: np.ndarray, seed: int = 9, most_shards: int = MOST_SHARDS, slot
     return out
 
 
+def even(total: int, parts: int) -> np.ndarray:
+    """Parts of a total that differ by one at most."""
+    return np.full(parts, total // parts) + (np.arange(parts) < total % parts)
+
+
+def groups(quota: np.ndarray, seed: int = 9, slots_a_shard: int = SLOTS_A_SHARD, most_draws: int = MOST_DRAWS) -> list[tuple]:
+    """(group, first shard, shards, first draw of each source, draws of each source) of the groups of shards."""
+    total = int(quota.sum())
+    shards = max(1, -(-total // slots_a_shard))
+    n = max(1, min(shards, MOST_GROUPS, most_draws // max(1, len(quota))))
+    each = even(shards, n)
+    begin = np.cumsum(each) - each
+    size = lambda k: total * k // shards  # slots of the shards before k
+    drawn = draws(quota, np.array([size(int(b + e)) - size(int(b)) for b, e in zip(begin, each, strict=True)]), [seed, 0])
+    first = np.cumsum(drawn, axis=0) - drawn
+    return [(g, int(begin[g]), int(each[g]), first[g].tolist(), drawn[g].tolist()) for g in range(n)]
+
+
 def _offsets(counted: DataFrame, sources: DataFrame, chunks: int) -> DataFrame:
     """Adds source number and the position of a document's first word among its source's words."""
     d = counted.join(F.broadcast(sources), counted.source.eqNullSafe(sources.s_name)).drop("s_name")
@@ -91,21 +107,35 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return p.select("row", "sid", "block", F.greatest(F.col("block") * block - F.col("at"), F.lit(0)).alias("lo"), F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")).alias("hi"))
 
 
-def slots(plan: DataFrame, seed: int = 9) -> DataFrame:
-    """(shard, slot, sid, block) from rows (shard, sid, first, n, blocks): draw i of a source takes block
-    permutation_epoch(i mod blocks)."""
+def slots(plan: DataFrame, blocks: list[int], total: int, shards: int, seed: int = 9) -> DataFrame:
+    """(shard, slot, sid, block) from rows of ``groups``: the group's draws are dealt to its shards, and draw i of a source
+    takes block permutation_epoch(i mod blocks). Every shard is seeded by its number, so a task that runs again draws the
+    same."""
 
     def make(batches):
         for b in batches:
             for r in b.to_pylist():
-                for lo in range(0, r["n"], 65_536):
-                    slot = np.arange(lo, min(r["n"], lo + 65_536), dtype=np.int64)
-                    i, out = slot + r["first"], np.empty(len(slot), np.int64)
-                    epoch = i // r["blocks"]
-                    for e in np.unique(epoch):
-                        on = epoch == e
-                        out[on] = permute(i[on] % r["blocks"], r["blocks"], seed * 1_000_003 + r["sid"] * 8191 + int(e))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), r["shard"])), pa.array(slot), pa.array(np.full(len(slot), r["sid"], np.int64)), pa.array(out)], ["shard", "slot", "sid", "block"])
+                first, left = np.array(r["first"], np.int64), np.array(r["drawn"], np.int64)
+                for shard in range(r["begin"], r["begin"] + r["shards"]):
+                    need = total * (shard + 1) // shards - total * shard // shards
+                    mine = draws(left, np.array([need]), [seed, 1, shard])[0]
+                    yield from shard_slots(shard, first, mine)
+                    first += mine
+                    left -= mine
+
+    def shard_slots(shard, first, mine):
+        slot = 0
+        for sid in np.flatnonzero(mine).tolist():
+            n = blocks[sid]
+            for lo in range(0, int(mine[sid]), 65_536):
+                at = np.arange(lo, min(int(mine[sid]), lo + 65_536), dtype=np.int64)
+                i, out = at + first[sid], np.empty(len(at), np.int64)
+                epoch = i // n
+                for e in np.unique(epoch):
+                    on = epoch == e
+                    out[on] = permute(i[on] % n, n, seed * 1_000_003 + sid * 8191 + int(e))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(slot + at), pa.array(np.full(len(at), sid, np.int64)), pa.array(out)], ["shard", "slot", "sid", "block"])
+            slot += int(mine[sid])
 
     return plan.mapInArrow(tidied(make), "shard long, slot long, sid long, block long")
 
@@ -123,11 +153,12 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
     sources = spark.createDataFrame([(i, s, n, g) for i, (s, n, g) in enumerate(goals)], "sid long, s_name string, source_size long, target double")
     chunks = 1 << min(16, max(3, (sum(r["n"] for r in totals) // 2000).bit_length()))
     placed = _offsets(counted, sources, chunks)
-    drawn = draws(quota, seed, slots_a_shard=slots_a_shard) if quota.sum() else np.zeros((1, len(goals)), np.int64)
-    first = np.cumsum(drawn, axis=0) - drawn
-    rows = [(int(j), int(i), int(first[j, i]), int(drawn[j, i]), blocks[i]) for j, i in zip(*np.nonzero(drawn), strict=True)]
-    plan = spark.createDataFrame(rows, "shard long, sid long, first long, n long, blocks long").repartition(max(2, min(len(drawn), 4 * spark.sparkContext.defaultParallelism)))
-    return placed, slots(plan, seed), sources
+    total = int(quota.sum())
+    rows = groups(quota, seed, slots_a_shard) if total else []
+    parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    # few rows, but a task's work is what they stand for: spread by hand
+    plan = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "grp long, begin long, shards long, first array<long>, drawn array<long>")
+    return placed, slots(plan, blocks, total, max(1, -(-total // slots_a_shard)), seed), sources
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -143,7 +174,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: (shard, slot, source, block, part, doc_id, text), a row for each piece of a block in order;
+    """The mix itself: (shard, sid, slot, source, block, part, doc_id, text), a row for each piece of a block in order;
     words are joined by single spaces."""
     placed, drawn, _ = plan_mix(docs, **options)
     cut = pieces(placed, options.get("block", BLOCK))

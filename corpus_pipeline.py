@@ -2,6 +2,9 @@
 
 Stages (name, function): a function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of documents. SQL cannot express them; tests hold them against plain versions.
+
+All stages keep columns of any name, let rows with a null or repeated doc_id stand for themselves unless said otherwise,
+and return no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -16,32 +19,37 @@ LEAST_SHARE = 0.5
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language and those of which no language covers half."""
+    """Rejects documents without a language and those of which no language covers half: null, empty and letterless texts go.
+    Languages are learned from all rows with one; if there is none, all rows go. Ties go to the language that sorts first."""
     bound_batches(spark)
     told = langid.identify(docs, langid.train(docs.where("lang is not null")))
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of every group linked by a Jaccard likeness of 0.8 over five words."""
+    """Keeps the first document of every group linked by a Jaccard likeness of 0.8 over five words. Documents without words,
+    null texts too, all stay; of copies that share their doc_id one stays; a null doc_id counts as the smallest."""
     bound_batches(spark)
     return jaccard.representatives(docs, width=5, num=80, den=100)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item or its paraphrase."""
+    """Rejects documents that hold a benchmark item or its paraphrase. Null and empty texts stay, and all do where the
+    benchmark has no text. Copies go together."""
     bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks credentials that few owners hold; widely copied examples stay."""
+    """Masks credentials that few owners hold; widely copied examples stay. Every row is kept; null and empty texts are as
+    they were; a null source is an owner of its own."""
     bound_batches(spark)
     return secrets.mask(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix to target weights takes."""
+    """How many words of each document the mix to target weights takes: a row for every row, null texts with none. A null
+    source is one source, the last. Order and draws are seeded, ties broken by doc_id, size and place."""
     bound_batches(spark)
     return mixing.mix(docs)
 

@@ -59,7 +59,7 @@ def rank_files(spark, d, query: str, limit: int) -> DataFrame:
 
 
 def maintenance(spark, d, query: str, limit: int) -> DataFrame:
-    return memory.duplicate_groups(_facts(spark, d)).orderBy(F.desc("n"), "normalised").limit(limit).select("n", "ids")
+    return memory.duplicate_groups(_facts(spark, d)).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").limit(limit).select("n", "first")
 
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {"recall": recall_facts, "forget": forget_facts, "symbols": rank_symbols, "impact": impact_of, "files": rank_files, "maintenance": maintenance}

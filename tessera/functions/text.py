@@ -142,3 +142,32 @@ def symbol_score(name: Column, path: Column, kind: Column, signature: Column, te
     by_terms = F.aggregate(terms, F.lit(0), lambda acc, t: acc + each(t))
     bonus = F.when(k.isin("function", "method"), 2).when(k.isin("struct", "class", "trait", "interface", "enum", "impl", "protocol", "object", "record", "actor", "type"), 1).otherwise(0)
     return F.when((n == q) | F.contains(s, q), 12).otherwise(0) + by_terms + F.when(by_terms > 0, bonus).otherwise(0)
+
+
+def tokens_of(text: Column | str) -> Column:
+    """The estimate of a field of a pack: none for one that is missing or empty."""
+    t = col(text)
+    return F.when(t.isNull() | (t == ""), 0).otherwise(token_estimate(t))
+
+
+def tail(text: Column | str, n: int = 300) -> Column:
+    """The last characters of an output, white space at its ends cut."""
+    return F.right(F.btrim(col(text), F.lit(" \t\n\r\x0b\x0c")), F.lit(n))
+
+
+def fts_query(terms: Column) -> Column:
+    """Terms as a full-text query: quoted, quotes doubled, any of them."""
+    return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+
+
+def is_exported(signature: Column | str, language: Column | str, name: Column | str) -> Column:
+    """A symbol that other files may use: by the first word of its signature, or in Go by its capital."""
+    first = F.substring(col(name), 1, 1)
+    capital = (F.upper(first) == first) & (F.lower(first) != first)
+    return F.lower(F.ltrim(col(signature))).rlike(r"^(pub |pub\(|public |open |export[ \t])") | F.coalesce((col(language) == "go") & capital, F.lit(False))
+
+
+def is_entrypoint(name: Column | str) -> Column:
+    """A function that nobody needs to call by name."""
+    low = F.lower(col(name))
+    return low.isin("main", "init", "new", "default") | F.startswith(low, F.lit("test_")) | F.endswith(low, F.lit("_test"))

@@ -146,6 +146,14 @@ def body_metrics(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.groupBy("path", "name", "line_start").agg((1 + F.sum("weight")).alias("complexity"), F.greatest(F.max("level"), F.lit(0)).alias("depth"), (F.max("line") - F.min("line") + 1).alias("span"))
 
 
+def body_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, name, line_start, body) with the lines of each symbol, the first to the last; of a file that is not there or
+    ends before, none."""
+    text = files.select("path", F.split("text", "\n").alias("all"))
+    n = F.greatest(F.least(F.col("line_end"), F.size("all").cast("long")) - F.col("line_start") + 1, F.lit(0))
+    return symbols.join(text, "path").select("path", "name", "line_start", F.slice("all", F.col("line_start").cast("int"), n.cast("int")).alias("body"))
+
+
 def diagnostics_of(output: DataFrame) -> DataFrame:
     """(command, severity, code, message, path, line_start) of (command, line, text): a header such as
     ``error[E1]: message`` with the ``-->`` place after it, and ``path:line:col: error: message``."""

@@ -41,18 +41,43 @@ def _grams(c):
 
 def tests_of(files: DataFrame, known: DataFrame, limit: int = 32) -> DataFrame:
     """(path, test_path, score): equal stems 40, a stem within 25, a path within 15; 20 for one folder, 10 for a tests
-    folder. A stem of three characters is contained only where its first trigram is, so the containment join is an
-    equi-join on that trigram."""
-    s = files.where(~P.is_test("path")).select("path", P.source_stem("path").alias("stem"), P.directory("path").alias("dir"), F.lower("path").alias("low")).where(F.octet_length("stem") >= LEAST_STEM)
+    folder. A stem of three characters is contained only where all its trigrams are, so the containment join is an
+    equi-join on that trigram of the stem which fewest tests have."""
+    s = files.where(~P.is_test("path")).select("path", P.source_stem("path").alias("stem"), P.directory("path").alias("dir")).where(F.octet_length("stem") >= LEAST_STEM)
     t = known.where(P.is_test("path")).select(F.col("path").alias("test_path"), P.source_stem("path").alias("test_stem"), P.directory("path").alias("test_dir"), F.lower("path").alias("test_low"))
     t = t.withColumn("gram", F.explode(_grams(F.concat_ws("\n", "test_low", "test_stem"))))
-    j = s.withColumn("gram", F.substring("stem", 1, 3)).join(t, "gram").where(F.contains("test_low", F.col("stem")) | F.contains("test_stem", F.col("stem")))
+    spread = t.groupBy("gram").agg(F.count("*").alias("tests"))
+    rare = s.select("path", F.explode(_grams(F.col("stem"))).alias("gram")).join(spread, "gram", "left")
+    rare = rare.groupBy("path").agg(F.min(F.struct(F.coalesce("tests", F.lit(0)).alias("tests"), F.col("gram"))).alias("r")).where("r.tests > 0").select("path", "r.gram")
+    j = s.join(rare, "path").join(t, "gram").where(F.contains("test_low", F.col("stem")) | F.contains("test_stem", F.col("stem")))
     base = F.when(F.col("test_stem") == F.col("stem"), 40).when(F.contains("test_stem", F.col("stem")), 25).otherwise(15)
     score = base + F.when(F.col("dir") == F.col("test_dir"), 20).otherwise(0) + F.when(F.col("test_low").rlike("(^|/)tests/"), 10).otherwise(0)
     w = Window.partitionBy("path").orderBy(F.desc("score"), "test_path")
     return j.select("path", "test_path", score.alias("score")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).drop("k")
 
 
+def inline_tests(symbols: DataFrame) -> DataFrame:
+    """(path): files that hold a test module of their own."""
+    return symbols.where((F.col("kind") == "module") & F.col("name").isin("test", "tests") & (F.col("language") == "rust")).select("path").distinct()
+
+
+def affected_tests(files: DataFrame, known: DataFrame, stored: DataFrame, inline: DataFrame, limit: int = 5) -> DataFrame:
+    """(test_path, score, reason) of some source files: stored mappings (path, test_path, score, reason) and those that are
+    found anew, the best reason for each test; a file with tests of its own is one."""
+    found = tests_of(files, known).withColumn("reason", F.when(F.col("score") >= 40, "same stem").when(F.col("score") >= 25, "stem in test name").otherwise("stem in test path"))
+    w = Window.partitionBy("path").orderBy(F.desc("score"), "test_path")
+    kept = stored.join(files.select("path"), "path", "left_semi").withColumn("k", F.row_number().over(w)).where(F.col("k") <= max(limit, 32)).drop("k")
+    own = inline.join(files.select("path"), "path", "left_semi").select("path", F.col("path").alias("test_path"), F.lit(60).alias("score"), F.lit("tests inside").alias("reason"))
+    both = kept.select("path", "test_path", F.col("score").cast("int").alias("score"), "reason").unionByName(found).unionByName(own)
+    return best_per_path(both).orderBy(F.desc("score"), "test_path").limit(limit).select("test_path", "score", "reason")
+
+
+def first_best(tests: DataFrame) -> DataFrame:
+    """Of (test_path, score, reason, place) the highest score, the one seen first on ties."""
+    w = Window.partitionBy("test_path").orderBy(F.desc("score"), "place")
+    return tests.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "place")
+
+
 def best_per_path(tests: DataFrame) -> DataFrame:
     """Of (test_path, score, reason) the highest score, the smallest reason on ties."""
     w = Window.partitionBy("test_path").orderBy(F.desc("score"), "reason")

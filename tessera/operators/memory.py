@@ -9,26 +9,41 @@ from tessera.functions import text as X
 
 
 def duplicate_groups(active: DataFrame) -> DataFrame:
-    """(normalised, n, ids newest first) of facts that are equal but for case and white space."""
-    g = active.withColumn("normalised", X.normalised("text")).groupBy("normalised").agg(F.sort_array(F.collect_list(F.struct("created_at_ms", "id")), asc=False).alias("members"))
-    return g.where(F.size("members") > 1).select("normalised", F.size("members").alias("n"), F.transform("members", lambda m: m["id"]).alias("ids"))
+    """(key, n, id): a row a member of each group of facts that are equal but for case and white space; the digest of the
+    text is the key, so that no text is shuffled, and no group is gathered."""
+    keyed = active.select("id", F.sha2(X.normalised("text"), 256).alias("key"))
+    n = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(n, "key").select("key", "n", "id")
 
 
 def consolidation(active: DataFrame) -> DataFrame:
-    """(id, superseded_by): all but the newest of each duplicate group. Ranks by the text's digest, not the text."""
-    w = Window.partitionBy("key").orderBy(F.desc("created_at_ms"), F.desc("id"))
+    """(id, superseded_by): all but the newest of each duplicate group."""
     keyed = active.select("id", "created_at_ms", F.sha2(X.normalised("text"), 256).alias("key"))
-    return keyed.select("id", F.first("id").over(w).alias("superseded_by"), F.row_number().over(w).alias("n")).where("n > 1").drop("n")
+    newest = keyed.groupBy("key").agg(F.max(F.struct("created_at_ms", "id")).alias("newest"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(newest.select("key", F.col("newest.id").alias("superseded_by")), "key").where("id <> superseded_by").select("id", "superseded_by")
 
 
-def contradictions(active: DataFrame, signals=X.SIGNALS, least_shared: int = 2) -> DataFrame:
+def contradictions(active: DataFrame, signals=X.SIGNALS, least_shared: int = 2, some: DataFrame | None = None) -> DataFrame:
     """(newer, older, signal, shared): pairs of facts with opposing words and enough meaningful terms in common. Facts
-    meet by an equi-join on the signal, sides opposed."""
+    meet by an equi-join on the signal, sides opposed. With ``some`` (id), a few facts, only pairs of which one is among
+    these are looked for."""
     told = active.select("id", "created_at_ms", X.query_terms("text").alias("all"), X.meaningful_terms("text").alias("terms"))
     sides = [F.when(F.array_contains("all", w), F.struct(F.lit(i).alias("signal"), F.lit(s).alias("side"))) for i, (a, b, _) in enumerate(signals) for s, w in ((0, a), (1, b))]
     sided = told.select("id", "created_at_ms", "terms", F.explode(F.array_compact(F.array(*sides))).alias("s")).select("id", "created_at_ms", "terms", "s.signal", "s.side")
     a, b = sided.where("side = 0").alias("a"), sided.where("side = 1").alias("b")
-    pairs = a.join(b, (F.col("a.signal") == F.col("b.signal")) & (F.col("a.id") != F.col("b.id"))).where(F.size(F.array_intersect("a.terms", "b.terms")) >= least_shared)
+    if some is not None:
+        chosen = F.broadcast(some.select(F.col("id").alias("chosen"), F.lit(True).alias("is_chosen")))
+        sided = sided.join(chosen, F.col("id") == F.col("chosen"), "left").drop("chosen")
+        a, b = sided.where("side = 0").alias("a"), sided.where("side = 1").alias("b")
+    opposed = (F.col("a.signal") == F.col("b.signal")) & (F.col("a.id") != F.col("b.id"))
+    if some is not None:  # the chosen of either side against all of the other
+        both = lambda x, y, more: x.alias("a").join(y.alias("b"), opposed & more)
+        met = both(sided.where("side = 0 and is_chosen"), sided.where("side = 1"), F.lit(True)).select("a.*", *(F.col(f"b.{c}").alias(f"b_{c}") for c in sided.columns))
+        more = both(sided.where("side = 0 and is_chosen is null"), sided.where("side = 1 and is_chosen"), F.lit(True)).select("a.*", *(F.col(f"b.{c}").alias(f"b_{c}") for c in sided.columns))
+        rows = met.unionByName(more).select(F.struct(*sided.columns).alias("a"), F.struct(*(F.col(f"b_{c}").alias(c) for c in sided.columns)).alias("b"))
+    else:
+        rows = a.join(b, opposed).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    pairs = rows.where(F.size(F.array_intersect("a.terms", "b.terms")) >= least_shared)
     later = (F.col("a.created_at_ms") > F.col("b.created_at_ms")) | ((F.col("a.created_at_ms") == F.col("b.created_at_ms")) & (F.col("a.id") < F.col("b.id")))
     rows = pairs.select(
         F.when(later, F.col("a.id")).otherwise(F.col("b.id")).alias("newer"),

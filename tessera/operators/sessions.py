@@ -78,6 +78,23 @@ def freshness(files: DataFrame, indexed: DataFrame, limit: int = 12, slack_ms: i
     return j.withColumn("kind", kind).where("kind is not null").orderBy(F.desc(order), F.desc_nulls_last("modified_at_ms"), "path").limit(limit).select("path", "kind", "modified_at_ms")
 
 
+# How kinds of staleness rank.
+FRESHNESS_RANK = {"edit_after_context": 4, "stale_context": 3, "stale_index": 2, "missing_index": 1}
+
+
+def freshness_signals(paths: DataFrame, files: DataFrame, indexed: DataFrame, edits: DataFrame, packed_at_ms: int, limit: int = 12, slack_ms: int = 1000) -> DataFrame:
+    """(path, kind, modified_at_ms) of selected paths: edited after the last pack (edits: detail, at), changed on disk after
+    it (files: path, modified_at_ms), changed after their newest index entry, or in none."""
+    chosen = paths.select("path").distinct()
+    disk = chosen.join(files, "path", "left")
+    many = 3 * limit
+    index = freshness(disk, indexed, many, slack_ms)
+    aged = disk.where(F.col("modified_at_ms") > packed_at_ms + slack_ms).orderBy("path").limit(many).select("path", F.lit("stale_context").alias("kind"), "modified_at_ms")
+    edited = edits_after(chosen, edits, packed_at_ms).select("path", F.lit("edit_after_context").alias("kind"), F.col("edited_at_ms").alias("modified_at_ms"))
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in FRESHNESS_RANK.items() for x in kv]), F.col("kind"))
+    return index.unionByName(aged).unionByName(edited).orderBy(F.desc(rank), F.desc_nulls_last("modified_at_ms"), "path").limit(limit)
+
+
 def edits_after(paths: DataFrame, events: DataFrame, packed_at_ms: int) -> DataFrame:
     """(path, edited_at_ms): the newest edit of a path after the last pack. Event details are split into path-like
     tokens, so events meet paths by an equi-join."""

@@ -12,21 +12,6 @@ from tessera.sources import model as M
 
 TASK = "green almond handler test for pages"
 SYMBOL_QUERIES = [(1, "goldenrod lavender"), (2, "promo burnished"), (3, "standard"), (4, "blue")]
-PATHS = [
-    "src/payment.rs", "tests/payment.rs", "src/payment_test.rs", "src/PaymentService.java", "src/PaymentServiceTest.java", "src/Protest.swift", "web/app.test.ts", "web/app.ts",
-    "spec/models/user_spec.rb", "lib/user.rb", "pkg/worker.go", "pkg/worker_retry_test.go", "pkg/worker_test.go", "docs/README.md", "a.rs", "tests/a.rs", "vendor/x/y.go", "./src\\win.py", "src/test_win.py",
-]
-CODE = [
-    ("src/shape.rs", "rust", "use crate::base::Base;\npub struct Shape {\n    side: u32,\n}\n\npub trait Area {\n    fn area(&self) -> u32;\n}\n\nimpl Area for Shape {\n    fn area(&self) -> u32 {\n        if self.side > 0 && true { self.side * self.side } else { 0 }\n    }\n}\n\npub async fn build(side: u32, names: Vec<(u8, u8)>) -> Shape {\n    Shape { side }\n}\n"),
-    ("src/base.py", "python", "import os\nclass Base:\n    def run(self, a, b=1):\n        # if this\n        return a\n\nclass Child(Base):\n    async def run(self):\n        x = Base()\n        return x.run(1)\n\ndef helper():\n    return Base().run(2)\n"),
-    ("web/main.ts", "typescript", "import { helper } from './base';\nexport class Main extends Base {\n}\nexport const go = () => helper();\nexport function start(a: Map<string, number>, b: string) {\n  return helper() ? new Main() : null;\n}\n"),
-    ("cmd/tool.go", "go", "package cmd\ntype Tool struct {\n}\nfunc (t *Tool) Run(a int, b int) error {\n  for i := range x { if a || b { switch a { case 1: } } }\n  return nil\n}\nfunc Main() { t.Run(1, 2) }\n"),
-]
-OUTPUT = [
-    ("build", 1, "error[E0425]: cannot find value hook in this scope"), ("build", 2, "  --> src/plugin.rs:12:5"), ("build", 3, "   |"), ("build", 4, "warning: unused import"),
-    ("build", 5, "error: aborting due to previous error"), ("make", 1, "main.c:10:3: error: expected ;"), ("make", 2, "main.c:11:1: fatal error: no file"), ("make", 3, "ok"),
-]
-SIGNATURES = ["fn f()", "fn g(a: u32)", "fn h(a: Map<K, V>, b: (u8, u8), c: [u8; 2])", "struct S", "fn r(&self) -> Vec<u8>", "def k(a, b, c, d, e, f)", "fn z( )"]
 
 
 def _symbols(spark, d):
@@ -50,8 +35,7 @@ def refs_to_symbols(spark, d):
 
 
 def refs_in_symbol_range(spark, d):
-    ranges = spark.range(40).select(F.concat(F.lit("src/supplier_"), (F.col("id") + 1).cast("string"), F.lit(".rs")).alias("path"), (F.col("id") * 500).alias("line_start"), (F.col("id") * 500 + 20_000).alias("line_end"))
-    return graph.inside(M.references(spark, d), ranges).groupBy("path").agg(F.count("*").alias("n"), F.min("line_start").alias("first_line"))
+    return graph.inside(M.code_links(spark, d), _symbols(spark, d)).groupBy("path").agg(F.count("*").alias("n"), F.min("line_start").alias("first_line"))
 
 
 def graph_collapse(spark, d):
@@ -74,7 +58,7 @@ def neighbour_rank(spark, d):
 
 
 def impact_files(spark, d):
-    t = _symbols(spark, d).where("symbol_id % 97 = 1").select("symbol_id")
+    t = _symbols(spark, d).where("kind = 'promo'").select("symbol_id")
     return graph.impact(_symbols(spark, d), M.references(spark, d), t).groupBy("role").agg(F.count("*").alias("files"))
 
 
@@ -114,9 +98,7 @@ def file_promotion(spark, d):
 
 def file_merge(spark, d):
     f = M.files(spark, d)
-    from pyspark.sql import Window
-
-    v = f.orderBy("path").limit(40).withColumn("embedding_rank", F.row_number().over(Window.orderBy("path")))  # forty rows
+    v = f.withColumn("embedding_rank", (F.col("size_bytes") % 60 + 1).cast("int"))
     m = files.merge(files.candidates(f, TASK, None), v)
     return m.select("path", F.col("lexical_score").cast("long").alias("lexical_score"), F.col("embedding_rank").cast("long").alias("embedding_rank"), F.col("relevance").cast("long").alias("relevance"))
 
@@ -126,57 +108,22 @@ def file_languages(spark, d):
     return f.groupBy(F.coalesce("language", F.lit("other")).alias("language")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size_bytes"), F.count_if(P.is_test("path")).alias("tests"))
 
 
-def path_facts(spark, d):
-    p = spark.createDataFrame([(x,) for x in PATHS], "path string")
-    return p.select("path", P.normalised_path("path").alias("plain"), P.directory("path").alias("dir"), P.source_stem("path").alias("stem"), P.is_test("path").alias("test"), P.is_skipped("path").alias("skipped"), P.language("path").alias("language"))
-
-
-def test_map(spark, d):
-    p = spark.createDataFrame([(x,) for x in PATHS], "path string")
-    return files.tests_of(p, p).select("path", "test_path", F.col("score").cast("long").alias("score"))
-
-
-def _code(spark):
-    return spark.createDataFrame(CODE, "path string, language string, text string")
-
-
-def code_declarations(spark, d):
-    return code.declarations(_code(spark))
-
-
-def code_references(spark, d):
-    c = _code(spark)
-    return code.references(c, code.declarations(c))
-
-
-def code_metrics(spark, d):
-    c = _code(spark)
-    return code.body_metrics(c, code.declarations(c))
-
-
-def parameter_counts(spark, d):
-    return spark.createDataFrame([(x,) for x in SIGNATURES], "signature string").select("signature", code.parameter_count("signature").cast("long").alias("n"))
-
-
-def output_diagnostics(spark, d):
-    return code.diagnostics_of(spark.createDataFrame(OUTPUT, "command string, line long, text string"))
-
-
 def risk_signals(spark, d):
     s = _symbols(spark, d).withColumn("parameters", F.when(F.col("symbol_id") % 50 == 0, 9).otherwise(F.col("symbol_id") % 5))
     s = s.withColumn("line_end", F.when(F.col("symbol_id") % 40 == 0, F.col("line_end") + 120).otherwise(F.col("line_end")))
     refs = M.references(spark, d)
-    n = graph.collapse(refs.where("target_id % 500 = 1")).select("path", F.concat(F.lit("src/"), F.col("target_id").cast("string")).alias("target_path"), "site_count")
+    n = graph.collapse(refs).select("path", F.concat(F.lit("src/"), F.col("target_id").cast("string")).alias("target_path"), "site_count")
     return pack.risk_signals(s, graph.fan_in(refs), n)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (symbol_rank, refs_to_symbols, refs_in_symbol_range, graph_collapse, most_connected, fan_in, neighbour_rank, impact_files, inbound_sources, prune_missing, replace_index, edge_labels, file_candidates, file_promotion, file_merge, file_languages, path_facts, test_map, code_declarations, code_references, code_metrics, parameter_counts, output_diagnostics, risk_signals)
+    for f in (symbol_rank, refs_to_symbols, refs_in_symbol_range, graph_collapse, most_connected, fan_in, neighbour_rank, impact_files, inbound_sources, prune_missing, replace_index, edge_labels, file_candidates, file_promotion, file_merge, file_languages, risk_signals)
 }
 
 _SYM = "sym AS (SELECT 'src/' || lower(replace(p_brand, '#', '_')) || '.rs' AS path, replace(p_name, ' ', '_') AS name, lower(split_part(p_type, ' ', 1)) AS kind, p_partkey AS line_start, p_partkey + p_size AS line_end, 'fn ' || replace(p_name, ' ', '_') || '(' || lower(p_type) || ')' AS signature, p_partkey AS symbol_id FROM part)"
 _REF = "ref AS (SELECT 'src/supplier_' || l_suppkey || '.rs' AS path, l_orderkey * 10 + l_linenumber AS line_start, l_partkey AS target_id, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'import' ELSE 'reference' END AS kind FROM lineitem)"
+_LINK = "lk AS (SELECT CASE WHEN l_linenumber = 1 THEN o.path ELSE 'src/supplier_' || l_suppkey || '.rs' END AS path, CASE WHEN l_linenumber = 1 THEN l_partkey + l_orderkey % 5 ELSE l_orderkey * 10 + l_linenumber END AS line_start, t.path AS target_path, t.name AS target_name, t.kind AS target_kind, CASE l_returnflag WHEN 'A' THEN 'call' WHEN 'R' THEN 'import' ELSE 'reference' END AS kind, CASE l_returnflag WHEN 'A' THEN t.name || '();' ELSE '' END AS excerpt FROM lineitem JOIN sym o ON o.symbol_id = l_partkey JOIN sym t ON t.symbol_id = CASE WHEN l_linenumber = 1 THEN l_orderkey % 100 ELSE l_partkey END)"
 _COL = "col AS (SELECT kind, path, target_id, count(*) AS site_count, min(line_start) AS line_start FROM ref GROUP BY ALL)"
 _NAME = "regexp_extract({0}, '[^/]*$')"
 _LANG = "CASE regexp_extract({0}, '\\.([^./]+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in P.LANGUAGES.items()) + " END"
@@ -190,40 +137,30 @@ _CAND = (
     "ca AS (SELECT path, size_bytes, CASE WHEN test THEN raw // 2 ELSE raw END::BIGINT AS lexical_score FROM cd WHERE CASE WHEN test THEN raw // 2 ELSE raw END > 0)"
 )
 _SMALL = "CASE WHEN size_bytes <= 128000 THEN 10 ELSE 0 END"
-_P = f"p(path) AS (VALUES {_values(PATHS)})"
 _WORDS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(name, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '[^\p{L}\p{N}]+'), lambda w: lower(w)), lambda w: strlen(w) >= 2)"
 ORACLES = {
     "symbol_rank": f"WITH {_SYM}, q(query_id, query) AS (VALUES {_values(SYMBOL_QUERIES)}), s AS (SELECT query_id, query, sym.*, string_split(query, ' ') AS ts, {_WORDS} AS ws FROM sym, q), "
     "t AS (SELECT *, list_sum(list_transform(ts, lambda t: CASE WHEN lower(name) = t THEN 10 WHEN list_contains(ws, t) THEN 7 WHEN len(list_filter(ws, lambda w: (starts_with(w, t) OR starts_with(t, w)) AND least(strlen(w), strlen(t)) >= 4 AND abs(strlen(w) - strlen(t)) <= 3)) > 0 THEN 6 WHEN contains(lower(name), t) THEN 5 ELSE 0 END + CASE WHEN kind = t THEN 3 ELSE 0 END + CASE WHEN contains(lower(path), t) THEN 2 ELSE 0 END + CASE WHEN contains(lower(signature), t) THEN 1 ELSE 0 END)) AS ts_score FROM s), "
     "r AS (SELECT query_id, symbol_id, (ts_score + CASE WHEN lower(name) = query OR contains(lower(signature), query) THEN 12 ELSE 0 END)::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY ts_score + CASE WHEN lower(name) = query OR contains(lower(signature), query) THEN 12 ELSE 0 END DESC, path, line_start) AS rank FROM t) SELECT * FROM r WHERE score > 0 AND rank <= 20",
     "refs_to_symbols": f"WITH {_SYM}, {_REF} SELECT kind, count(*) AS n, count(DISTINCT path) AS files FROM ref WHERE target_id IN (SELECT symbol_id FROM sym WHERE kind = 'promo') GROUP BY kind",
-    "refs_in_symbol_range": f"WITH {_REF}, s AS (SELECT 'src/supplier_' || (i + 1) || '.rs' AS path, i * 500 AS a, i * 500 + 20000 AS z FROM range(40) t(i)) SELECT path, count(*) AS n, min(line_start) AS first_line FROM ref WHERE EXISTS (SELECT 1 FROM s WHERE s.path = ref.path AND ref.line_start BETWEEN a AND z) GROUP BY path",
+    "refs_in_symbol_range": f"WITH {_SYM}, {_LINK} SELECT path, count(*) AS n, min(line_start) AS first_line FROM lk WHERE EXISTS (SELECT 1 FROM sym WHERE sym.path = lk.path AND lk.line_start BETWEEN sym.line_start AND sym.line_end) GROUP BY path",
     "graph_collapse": f"WITH {_REF}, {_COL} SELECT * FROM col",
     "most_connected": f"WITH {_SYM}, {_REF}, {_COL}, e AS (SELECT unnest([col.path, sym.path]) AS node, site_count FROM col JOIN sym ON sym.symbol_id = target_id) SELECT node, sum(site_count)::BIGINT AS sites FROM e GROUP BY node ORDER BY sites DESC, node LIMIT 1",
     "fan_in": f'WITH {_REF} SELECT target_id, count(*) AS "references", count(DISTINCT path) AS files FROM ref GROUP BY target_id',
     "neighbour_rank": f"WITH {_SYM}, {_REF}, n AS (SELECT CASE ref.kind WHEN 'call' THEN 'incoming_reference' ELSE 'path_reference' END AS kind, name AS label, ref.path, sym.path AS target_path, count(*) AS sites FROM ref JOIN sym ON symbol_id = target_id WHERE ref.kind <> 'reference' GROUP BY ALL), "
     "s AS (SELECT *, (CASE kind WHEN 'incoming_reference' THEN 700 ELSE 640 END + 40 * (contains(lower(kind || ' ' || label || ' ' || path), 'goldenrod')::INT + contains(lower(kind || ' ' || label || ' ' || path), 'supplier_1')::INT) + least(sites, 6) * 10 - CASE WHEN path = target_path THEN 120 ELSE 0 END)::BIGINT AS score FROM n), r AS (SELECT kind, label, path, score, row_number() OVER (ORDER BY score DESC, kind, label, path) AS rank FROM s) SELECT * FROM r WHERE rank <= 12",
-    "impact_files": f"WITH {_SYM}, {_REF}, t AS (SELECT * FROM sym WHERE symbol_id % 97 = 1), u AS (SELECT path AS file, 'defines' AS role FROM t UNION SELECT path, 'incoming' FROM ref WHERE target_id IN (SELECT symbol_id FROM t) UNION SELECT sym.path, 'outgoing' FROM ref JOIN sym ON symbol_id = target_id WHERE EXISTS (SELECT 1 FROM t WHERE t.path = ref.path AND ref.line_start BETWEEN t.line_start AND t.line_end)) SELECT role, count(*) AS files FROM u GROUP BY role",
+    "impact_files": f"WITH {_SYM}, {_REF}, t AS (SELECT * FROM sym WHERE kind = 'promo'), u AS (SELECT path AS file, 'defines' AS role FROM t UNION SELECT path, 'incoming' FROM ref WHERE target_id IN (SELECT symbol_id FROM t) UNION SELECT sym.path, 'outgoing' FROM ref JOIN sym ON symbol_id = target_id WHERE EXISTS (SELECT 1 FROM t WHERE t.path = ref.path AND ref.line_start BETWEEN t.line_start AND t.line_end)) SELECT role, count(*) AS files FROM u GROUP BY role",
     "inbound_sources": f"WITH {_SYM}, {_REF} SELECT DISTINCT path FROM ref WHERE target_id IN (SELECT symbol_id FROM sym WHERE path = 'src/brand_11.rs')",
     "prune_missing": f"WITH {_REF} SELECT count(*) AS kept, count(DISTINCT path) AS files FROM ref WHERE path IN (SELECT 'src/supplier_' || s_suppkey || '.rs' FROM supplier WHERE s_suppkey % 3 <> 0)",
     "replace_index": f"WITH {_REF} SELECT path, count(*) AS n FROM ref WHERE path NOT LIKE '%1.rs' OR line_start % 2 = 0 GROUP BY path",
     "edge_labels": "SELECT n_nationkey::VARCHAR AS id, 'in' AS kind, 'n' || n_nationkey AS from_label, r_name AS to_label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
     "file_candidates": f"WITH {_FILE}, {_CAND} SELECT path, lexical_score, lexical_score * 20 + {_SMALL} AS relevance FROM ca ORDER BY relevance DESC, path LIMIT 25",
     "file_promotion": f"WITH {_FILE}, {_CAND}, s AS (SELECT DISTINCT path FROM fi WHERE length(path) % 7 = 0), u AS (SELECT ca.path, size_bytes, lexical_score + CASE WHEN s.path IS NULL THEN 0 ELSE 6 END AS lexical_score FROM ca LEFT JOIN s USING (path) UNION ALL SELECT path, NULL, 6 FROM s WHERE path NOT IN (SELECT path FROM ca)) SELECT lexical_score::BIGINT AS lexical_score, count(*) AS n, sum(lexical_score * 20 + {_SMALL})::BIGINT AS relevance FROM u GROUP BY lexical_score",
-    "file_merge": f"WITH {_FILE}, {_CAND}, v AS (SELECT path, size_bytes, row_number() OVER (ORDER BY path) AS rk FROM (SELECT * FROM fi ORDER BY path LIMIT 40)), m AS (SELECT path, max(ls) AS lexical_score, min(rk) AS embedding_rank, max(size_bytes) AS size_bytes FROM (SELECT path, lexical_score AS ls, NULL::BIGINT AS rk, size_bytes FROM ca UNION ALL SELECT path, 0, rk, size_bytes FROM v) GROUP BY path) SELECT path, lexical_score, embedding_rank, (lexical_score * 20 + coalesce((25 - least(embedding_rank, 25)) * 3, 0) + {_SMALL})::BIGINT AS relevance FROM m",
+    "file_merge": f"WITH {_FILE}, {_CAND}, v AS (SELECT path, size_bytes, (size_bytes % 60 + 1)::BIGINT AS rk FROM fi), m AS (SELECT path, max(ls) AS lexical_score, min(rk) AS embedding_rank, max(size_bytes) AS size_bytes FROM (SELECT path, lexical_score AS ls, NULL::BIGINT AS rk, size_bytes FROM ca UNION ALL SELECT path, 0, rk, size_bytes FROM v) GROUP BY path) SELECT path, lexical_score, embedding_rank, (lexical_score * 20 + coalesce((25 - least(embedding_rank, 25)) * 3, 0) + {_SMALL})::BIGINT AS relevance FROM m",
     "file_languages": f"WITH {_FILE} SELECT coalesce(language, 'other') AS language, count(*) AS n, sum(size_bytes)::BIGINT AS size_bytes, count(*) FILTER ({_ISTEST.format('path')}) AS tests FROM fi GROUP BY 1",
-    "path_facts": f"WITH {_P} SELECT path, regexp_replace(replace(trim(path), chr(92), '/'), '^(\\./)+', '') AS plain, {_DIR.format('path')} AS dir, {_STEM.format('path')} AS stem, {_ISTEST.format('path')} AS test, list_has_any(string_split(path, '/'), [{', '.join(repr(x) for x in P.SKIPPED)}]) AS skipped, {_LANG.format('path')} AS language FROM p",
-    "test_map": f"WITH {_P}, s AS (SELECT path, {_STEM.format('path')} AS stem, {_DIR.format('path')} AS dir FROM p WHERE NOT {_ISTEST.format('path')}), t AS (SELECT path AS test_path, {_STEM.format('path')} AS tstem, {_DIR.format('path')} AS tdir, lower(path) AS low FROM p WHERE {_ISTEST.format('path')}) SELECT path, test_path, (CASE WHEN tstem = stem THEN 40 WHEN contains(tstem, stem) THEN 25 ELSE 15 END + CASE WHEN dir = tdir THEN 20 ELSE 0 END + CASE WHEN regexp_matches(low, '(^|/)tests/') THEN 10 ELSE 0 END)::BIGINT AS score FROM s JOIN t ON contains(low, stem) OR contains(tstem, stem) WHERE strlen(stem) >= 3",
     "risk_signals": f"WITH {_SYM}, {_REF}, f AS (SELECT target_id, count(DISTINCT path) AS files FROM ref GROUP BY 1), s AS (SELECT symbol_id, CASE WHEN symbol_id % 50 = 0 THEN 9 ELSE symbol_id % 5 END AS par, line_end - line_start + 1 + CASE WHEN symbol_id % 40 = 0 THEN 120 ELSE 0 END AS span, coalesce(files, 0) AS files FROM sym LEFT JOIN f ON target_id = symbol_id), "
     "o AS (SELECT count(*) FILTER (span >= 80) AS large, max(span) FILTER (span >= 80) AS widest, count(*) FILTER (par >= 5) AS long, max(par) AS most, count(*) FILTER (files >= 3) AS used, max(files) AS mf, count(*) FILTER (files = 0) AS unused FROM s), "
-    "n AS (SELECT path, 'src/' || target_id AS tp, count(*) AS c FROM ref WHERE target_id % 500 = 1 GROUP BY kind, path, target_id), m AS (SELECT (SELECT count(*) FROM n) AS refs, count(DISTINCT f) AS files FROM (SELECT path AS f FROM n UNION ALL SELECT tp FROM n)) "
+    "n AS (SELECT path, 'src/' || target_id AS tp, count(*) AS c FROM ref GROUP BY kind, path, target_id), m AS (SELECT (SELECT count(*) FROM n) AS refs, count(DISTINCT f) AS files FROM (SELECT path AS f FROM n UNION ALL SELECT tp FROM n)) "
     "SELECT 'large_symbol' AS kind, CASE WHEN widest >= 200 THEN 'high' ELSE 'medium' END AS severity, (690 + least(widest, 250) + 15 * large)::BIGINT AS score, large AS n FROM o WHERE large > 0 UNION ALL SELECT 'long_parameter_list', CASE WHEN most >= 8 THEN 'medium' ELSE 'low' END, (650 + 10 * most + 10 * long)::BIGINT, long FROM o WHERE long > 0 UNION ALL SELECT 'high_fan_in', CASE WHEN mf >= 6 THEN 'high' ELSE 'medium' END, (700 + 20 * mf + 10 * used)::BIGINT, used FROM o WHERE used > 0 "
     "UNION ALL SELECT 'unreferenced_private_symbol', 'low', (520 + 15 * unused)::BIGINT, unused FROM o WHERE unused > 0 UNION ALL SELECT 'refactor_surface', CASE WHEN files >= 5 OR refs >= 8 THEN 'high' ELSE 'medium' END, (700 + files * 25 + refs * 10)::BIGINT, files FROM m WHERE files >= 3",
-    "parameter_counts": f"SELECT signature, n FROM (VALUES {_values(list(zip(SIGNATURES, (0, 1, 3, None, 1, 6, 0), strict=True)))}) v(signature, n)",
-    "output_diagnostics": "SELECT * FROM (VALUES "
-    + _values([
-        ("build", "error", "E0425", "cannot find value hook in this scope", "src/plugin.rs", 12), ("build", "warning", None, "unused import", None, None), ("build", "error", None, "aborting due to previous error", None, None),
-        ("make", "error", None, "expected ;", "main.c", 10), ("make", "error", None, "no file", "main.c", 11),
-    ])
-    + ") v(command, severity, code, message, path, line_start)",
 }

@@ -12,12 +12,6 @@ from tessera.plans.recall import _values
 from tessera.sources import model as M
 from tessera.streaming import events as S
 
-WRITES = [(1, "ok fact", 0.5, "normal"), (2, "  ", 0.5, "normal"), (3, "x", 1.5, "normal"), (4, "x", None, "normal"), (5, "x", 0.0, "bad label"), (6, "y", 1.0, "private-1")]
-RAW_DIAGNOSTICS = [
-    (1, "Command Stderr", "ERROR", 12, "token=abcdef123 leaked"), (2, "lint", "fatal", 0, " spaced "), (3, "lint", "note", -4, "fine"), (4, "lint", "warning", 5, "   "),
-]
-STATUS = [("M ", "src/a.rs"), (" M", "src/b.rs"), ("??", "new.txt"), ("R ", "old.rs -> new.rs"), ("UU", "both.rs"), ("D ", "gone.rs")]
-COMMITS = ["feat(context): rank symbols", "fix: broken build", "plain subject line", "docs(readme)!: say more", "wip"]
 
 
 def _orders(spark, d):
@@ -87,10 +81,6 @@ def diagnostic_rank(spark, d):
     return sessions.diagnostic_rank(g, "purchase error user", some, 1000, 25).select("id", "path", "severity", F.col("score").cast("long").alias("score"))
 
 
-def diagnostics_normalised(spark, d):
-    return sessions.normalise_diagnostics(spark.createDataFrame(RAW_DIAGNOSTICS, "id long, source string, severity string, line_start long, message string"))
-
-
 def freshness(spark, d):
     f = M.files(spark, d).select("path", (F.col("size_bytes") * 10).alias("modified_at_ms"))
     indexed = M.files(spark, d).where("size_bytes % 4 <> 0").select("path", (F.col("size_bytes") * 10 - F.when(F.col("size_bytes") % 3 == 0, 1500).otherwise(0)).alias("indexed_at_ms"))
@@ -99,26 +89,10 @@ def freshness(spark, d):
 
 def edits_after_pack(spark, d):
     e = M.read(spark, d, "events").select(F.concat(F.lit("edited src/user_"), F.col("user_id").cast("string"), F.lit(".rs twice")).alias("detail"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    paths = spark.range(60).select(F.concat(F.lit("src/user_"), F.col("id").cast("string"), F.lit(".rs")).alias("path"))
+    paths = M.diagnostics(spark, d).select("path").distinct()
     return sessions.edits_after(paths, e, 1704153600000)
 
 
-def memory_writes(spark, d):
-    return memory.validate(spark.createDataFrame(WRITES, "id long, text string, confidence double, sensitivity string")).select("id", "problem")
-
-
-def worktree_status(spark, d):
-    name = F.create_map(*[F.lit(x) for kv in {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "U": "unmerged", "?": "untracked", "!": "ignored"}.items() for x in kv])
-    s = spark.createDataFrame(STATUS, "code string, rest string")
-    part = lambda i: F.element_at(name, F.nullif(F.substring("code", i, 1), F.lit(" ")))
-    return s.select(F.substring_index("rest", " -> ", -1).alias("path"), F.when(F.contains("rest", F.lit(" -> ")), F.substring_index("rest", " -> ", 1)).alias("original"), part(1).alias("staged"), part(2).alias("unstaged"))
-
-
-def commit_tasks(spark, d):
-    c = spark.createDataFrame([(x,) for x in COMMITS], "subject string").withColumn("task", X.commit_task("subject"))
-    return c.withColumn("reason", F.when(F.size(X.selective_terms("task")) < 2, "short_subject"))
-
-
 def list_summaries(spark, d):
     g = M.read(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
     return g.select("n_regionkey", X.list_summary(F.col("names"), 3).alias("summary"))
@@ -146,7 +120,7 @@ def event_sessions(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (sync_push, sync_pull_newer, sync_pull_missing, sync_conflicts, sync_orphans, sync_pull_retirement, sync_pull_sessions, session_facts, unpromoted_sessions, session_digest, session_latest, diagnostic_rank, diagnostics_normalised, freshness, edits_after_pack, memory_writes, worktree_status, commit_tasks, list_summaries, pack_budget, best_tests, event_sessions)
+    for f in (sync_push, sync_pull_newer, sync_pull_missing, sync_conflicts, sync_orphans, sync_pull_retirement, sync_pull_sessions, session_facts, unpromoted_sessions, session_digest, session_latest, diagnostic_rank, freshness, edits_after_pack, list_summaries, pack_budget, best_tests, event_sessions)
 }
 
 _ORD = "l AS (SELECT o_orderkey, o_custkey, o_orderkey % 1000 AS updated_at FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT o_orderkey, o_custkey + 1 AS o_custkey, o_orderkey % 1000 + o_orderkey % 5 - 2 AS updated_at FROM orders WHERE o_orderkey % 4 <> 0)"
@@ -170,16 +144,8 @@ ORACLES = {
     "session_digest": f"WITH {_SES}, e AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq, kind, detail) AS n, {_TOLD} AS t FROM ev), u AS (SELECT * FROM e WHERE n <= 3 UNION ALL SELECT session_id, 4, CASE WHEN starts_with(final_summary, 'summary:') THEN final_summary ELSE 'summary: ' || final_summary END FROM se WHERE final_summary IS NOT NULL), g AS (SELECT session_id, string_agg(t, '; ' ORDER BY n) AS text FROM u GROUP BY 1) SELECT session_id, length(text) AS n_chars, md5(text) AS digest FROM g",
     "session_latest": f"WITH {_SES} SELECT (SELECT session_id FROM se WHERE ended_at_ms IS NULL ORDER BY started_at_ms DESC, session_id DESC LIMIT 1) AS open_session, (SELECT session_id FROM se ORDER BY coalesce(ended_at_ms, started_at_ms) DESC, session_id DESC LIMIT 1) AS latest_session",
     "diagnostic_rank": f"WITH {_DIAG}, n AS (SELECT * FROM g ORDER BY created_at_ms DESC, id LIMIT 1000), b AS (SELECT *, CASE WHEN path LIKE '%7.rs' THEN 120 ELSE 0 END + 20 * len(list_filter(['purchase', 'error', 'user'], lambda t: contains(lower(severity || ' ' || path || ' ' || message), t))) AS base FROM n), s AS (SELECT *, CASE WHEN base > 0 AND severity = 'error' THEN base + 10 ELSE base END AS score FROM b) SELECT id, path, severity, score FROM s WHERE score > 0 ORDER BY score DESC, created_at_ms DESC, id LIMIT 25",
-    "diagnostics_normalised": "SELECT * FROM (VALUES " + _values([("command_stderr", "error", 12, "token=[REDACTED] leaked"), ("lint", "error", None, "spaced"), ("lint", "note", None, "fine")]) + ") v(source, severity, line_start, message)",
     "freshness": f"WITH {_FL}, i AS (SELECT path, max(size_bytes * 10 - CASE WHEN size_bytes % 3 = 0 THEN 1500 ELSE 0 END) AS indexed FROM fl WHERE size_bytes % 4 <> 0 GROUP BY path), j AS (SELECT fl.path, size_bytes * 10 AS modified_at_ms, CASE WHEN indexed IS NULL THEN 'missing_index' WHEN size_bytes * 10 > indexed + 1000 THEN 'stale_index' END AS kind FROM fl LEFT JOIN i USING (path)) SELECT path, kind, modified_at_ms FROM j WHERE kind IS NOT NULL ORDER BY kind = 'stale_index' DESC, modified_at_ms DESC, path LIMIT 40",
-    "edits_after_pack": "SELECT 'src/user_' || user_id || '.rs' AS path, max((epoch_us(ts) // 1000)) AS edited_at_ms FROM events WHERE user_id BETWEEN 0 AND 59 AND (epoch_us(ts) // 1000) > 1704153600000 GROUP BY 1",
-    "memory_writes": "SELECT * FROM (VALUES " + _values([(1, None), (2, "empty_text"), (3, "confidence"), (4, "confidence"), (5, "sensitivity"), (6, None)]) + ") v(id, problem)",
-    "worktree_status": "SELECT * FROM (VALUES "
-    + _values([("src/a.rs", None, "modified", None), ("src/b.rs", None, None, "modified"), ("new.txt", None, "untracked", "untracked"), ("new.rs", "old.rs", "renamed", None), ("both.rs", None, "unmerged", "unmerged"), ("gone.rs", None, "deleted", None)])
-    + ") v(path, original, staged, unstaged)",
-    "commit_tasks": "SELECT * FROM (VALUES "
-    + _values([("feat(context): rank symbols", "context rank symbols", None), ("fix: broken build", "broken build", None), ("plain subject line", "plain subject line", None), ("docs(readme)!: say more", "readme say more", None), ("wip", "wip", "short_subject")])
-    + ") v(subject, task, reason)",
+    "edits_after_pack": "SELECT 'src/user_' || user_id || '.rs' AS path, max((epoch_us(ts) // 1000)) AS edited_at_ms FROM events WHERE (epoch_us(ts) // 1000) > 1704153600000 GROUP BY 1",
     "list_summaries": "WITH g AS (SELECT n_regionkey, list_sort(list(n_name)) AS l FROM nation GROUP BY 1) SELECT n_regionkey, array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ' (+' || (len(l) - 3) || ' more)' ELSE '' END AS summary FROM g",
     "best_tests": "WITH r AS (SELECT (l_suppkey % 40)::VARCHAR AS test_path, floor(l_quantity)::BIGINT AS score, l_returnflag AS reason FROM lineitem) SELECT test_path, score, reason FROM (SELECT *, row_number() OVER (PARTITION BY test_path ORDER BY score DESC, reason) AS k FROM r) WHERE k = 1",
     "event_sessions": "WITH g AS (SELECT user_id, ts, value, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS events, (epoch_us(min(ts)) // 1000) AS first_ms, (epoch_us(max(ts)) // 1000) AS last_ms FROM s GROUP BY user_id, k",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths
@@ -104,3 +104,121 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("event_type"), F.lit(" while handling user "), F.col("user_id").cast("string")).alias("message"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at_ms"),
     )
+
+
+PER_FILE, BLOCK = 40, 5  # functions of a source file, lines of a function
+# Parameter lists and bodies of the functions, by remainders of the part's size.
+PARAMETERS = ["()", "(a: u32)", "(a: u32, b: Vec<u8>)", "(a: Map<K, V>, b: (u8, u8), c: [u8; 2])"]
+BODIES = [("    if a > 1 && b { while c || d { match e {", "    } } }"), ("    if a > 1 {", "    }"), ("    loop {", "    }")]
+
+
+def source_path(key: Column) -> Column:
+    return F.concat(F.lit("src/mod_"), F.floor(key / PER_FILE).cast("string"), F.lit(".rs"))
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of source text, (path, line, text): a function a part, each calling that of the next part."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), "p_size")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("name").alias("next"))
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (F.col("p_size") % by + 1).cast("int"))
+    head = F.concat(F.when(F.col("p_partkey") % 2 == 0, "pub ").otherwise(""), F.lit("fn "), F.col("name"), pick(PARAMETERS, 4), F.lit(" {"))
+    call = F.concat(F.lit("        let total = "), F.coalesce("next", F.lit("done")), F.lit("(a);"))
+    texts = F.array(head, pick([a for a, _ in BODIES], 3), call, pick([z for _, z in BODIES], 3), F.lit("}"))
+    rows = p.join(after, "p_partkey", "left").select(source_path(F.col("p_partkey")).alias("path"), (F.col("p_partkey") % PER_FILE * BLOCK + 1).alias("first"), F.posexplode(texts).alias("i", "text"))
+    return rows.select("path", (F.col("first") + F.col("i")).alias("line"), "text")
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files: path, language, text. A file has forty functions."""
+    g = source_lines(spark, sf_dir).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("l"))
+    return g.select("path", F.lit("rust").alias("language"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+
+
+def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved references: path, line_start, target_path, target_name, target_kind, kind, excerpt. From files of suppliers,
+    and, for the first line of each order, from within the file of the part itself."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    s = symbols(spark, sf_dir)
+    own = s.select(F.col("symbol_id").alias("l_partkey"), F.col("path").alias("own_path"))
+    target = s.select(F.col("symbol_id").alias("target"), F.col("path").alias("target_path"), F.col("name").alias("target_name"), F.col("kind").alias("target_kind"))
+    first = F.col("l_linenumber") == 1
+    j = line.withColumn("target", F.when(first, F.col("l_orderkey") % 100).otherwise(F.col("l_partkey"))).join(own, "l_partkey").join(target, "target")
+    return j.select(
+        F.when(first, F.col("own_path")).otherwise(F.concat(F.lit("src/supplier_"), F.col("l_suppkey").cast("string"), F.lit(".rs"))).alias("path"),
+        F.when(first, F.col("l_partkey") + F.col("l_orderkey") % 5).otherwise(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_start"),
+        "target_path", "target_name", "target_kind",
+        F.when(F.col("l_returnflag") == "A", "call").when(F.col("l_returnflag") == "R", "import").otherwise("reference").alias("kind"),
+        F.when(F.col("l_returnflag") == "A", F.concat("target_name", F.lit("();"))).otherwise("").alias("excerpt"),
+    )
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the graph: id, kind, name, locator, created_at_ms."""
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("src/user_"), F.col("n_nationkey").cast("string"), F.lit(".rs"))).alias("locator"), (F.col("n_nationkey").cast("long") * 1000).alias("created_at_ms"))
+    r = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("region").alias("kind"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("locator"), (F.col("r_regionkey").cast("long") * 1000).alias("created_at_ms"))
+    return n.unionByName(r)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the graph: id, from_id, to_id, kind, created_at_ms."""
+    n = read(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+    return n.select(F.concat(F.lit("e"), key).alias("id"), F.concat(F.lit("n"), key).alias("from_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("to_id"), F.lit("in").alias("kind"), (F.col("n_nationkey").cast("long") * 1000).alias("created_at_ms"))
+
+
+def record_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded sources: id, kind, locator, created_at_ms."""
+    s = read(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    return s.select(F.concat(F.lit("s"), key).alias("id"), F.lit("file").alias("kind"), F.concat(F.lit("src/supplier_"), key, F.lit(".rs")).alias("locator"), (F.col("s_suppkey") * 1000).alias("created_at_ms"))
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status lines of a worktree, (code, rest), as git writes them."""
+    k = F.col("n_nationkey")
+    path = F.concat(F.lit("src/brand_"), k.cast("string"), F.lit(".rs"))
+    code = F.element_at(F.array(*map(F.lit, ["M ", " M", "??", "R ", "UU", "D "])), (k % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "nation").select(code.alias("code"), F.when(k % 6 == 3, F.concat(F.lit("src/old_"), k.cast("string"), F.lit(".rs -> "), path)).otherwise(path).alias("rest"))
+
+
+def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit log as lines, (line, text): a header an order, then a file a line of it."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    word = F.element_at(F.array(*map(F.lit, ["feat(user_{0}): rank supplier", "fix: broken supplier {0}", "plain subject line {0}", "docs(readme)!: say more", "wip"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    head = o.select((F.col("o_orderkey") * 10).alias("line"), F.concat(F.lit("h"), F.col("o_orderkey").cast("string"), F.lit("\x1f"), F.replace(word, F.lit("{0}"), (F.col("o_custkey") % 10).cast("string"))).alias("text"))
+    f = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.concat(F.lit("src/supplier_"), (F.col("l_suppkey") % 40).cast("string"), F.when(F.col("l_linenumber") % 4 == 3, ".md").otherwise(".rs")).alias("text"))
+    return head.unionByName(f)
+
+
+def project_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a project, (path): sources and tests in the ways that languages have of naming them."""
+    key = F.col("k").cast("string")
+    made = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    b = read(spark, sf_dir, "part").select(F.regexp_extract("p_brand", "[0-9]+", 0).alias("k")).distinct()
+    n = F.col("k").cast("int")
+    from_brand = b.select(F.explode(F.array_compact(F.array(
+        made("src/brand_", key, ".rs"), F.when(n % 2 == 0, made("tests/brand_", key, ".rs")), made("src/Brand", key, "Order.java"), F.when(n % 3 == 0, made("src/Brand", key, "OrderTest.java")),
+        made("./web\\brand_", key, ".ts"), F.when(n % 5 == 0, made("web/brand_", key, ".test.ts")), F.when(n % 7 == 0, made("vendor/brand_", key, "/spec_helper.rb")),
+    ))).alias("path"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    n = F.col("k")
+    from_supplier = s.select(F.explode(F.array_compact(F.array(
+        made("pkg/supplier_", key, ".go"), F.when(n % 3 == 0, made("pkg/supplier_", key, "_test.go")), F.when(n % 5 == 0, made("pkg/supplier_", key, "_retry_test.go")),
+        F.when(n % 4 == 0, made("docs/supplier_", key, ".md")), F.when(n % 11 == 0, made("conf/supplier_", key, ".yml")),
+    ))).alias("path"))
+    return from_brand.unionByName(from_supplier)
+
+
+# Statements about nations, of which some oppose each other.
+STATEMENTS = [
+    "{0} exports are enabled for every port", "{0} exports are disabled for every port", "cargo for {0} leaves after the storm season", "cargo for {0} leaves before the storm season",
+    "the {0} customs flag is true on weekdays", "the {0} customs flag is false on weekdays", "{0} permits are allowed when a seal is present", "{0} permits are denied when a seal is absent",
+    "ledgers of {0} are kept in books", "Ledgers of  {0} are\tkept in books",
+]
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short facts, (id, created_at_ms, text): each statement about each nation."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.posexplode(F.array(*map(F.lit, STATEMENTS))).alias("i", "t"))
+    key = F.col("n_nationkey").cast("long") * 100 + F.col("i")
+    return n.select(key.alias("id"), (F.col("i") * 10 + F.col("n_nationkey") % 3).cast("long").alias("created_at_ms"), F.replace("t", F.lit("{0}"), F.lower("n_name")).alias("text"))

@@ -47,18 +47,39 @@ def list_files(root: str) -> list[str]:
     return sorted(set(found))
 
 
-def scan(spark: SparkSession, root: str, most_bytes: int = 1_000_000) -> DataFrame:
+STAGING = ".staging"
+
+
+def write_all(root: str, files: list[tuple[str, str]]) -> None:
+    """Writes several files or none: all are staged beside their places first, and only then moved there."""
+    staged = []
+    try:
+        for path, text in files:
+            place = Path(root, path + STAGING)
+            place.parent.mkdir(parents=True, exist_ok=True)
+            staged.append(place)
+            place.write_text(text)
+    except OSError:
+        for place in staged:
+            place.unlink(missing_ok=True)
+        raise
+    for place, (path, _) in zip(staged, files, strict=True):
+        place.replace(Path(root, path))
+
+
+def scan(spark: SparkSession, root: str, most_bytes: int = 1_000_000, limit: int | None = 5000) -> DataFrame:
     """(path, size_bytes, language, text) of a workspace: every file that is neither skipped nor ignored. A workspace is
-    a folder of the driver's machine, so it is listed and read there; texts over ``most_bytes`` are null."""
+    a folder of the driver's machine, so it is listed and read there, the first ``limit`` paths in order; texts over
+    ``most_bytes`` are null."""
     ignore = Path(root, ".gitignore")
     rules = ignore_rules(ignore.read_text().splitlines()) if ignore.exists() else []
     rows = []
-    for path in list_files(root):
+    for path in list_files(root)[:limit]:
         file = Path(root, path)
         if file.is_file():
             size = file.stat().st_size
             rows.append((path, size, file.read_text(errors="replace") if size <= most_bytes else None))
-    files = spark.createDataFrame(rows, "path string, size_bytes long, text string")
+    files = spark.createDataFrame(rows, "path string, size_bytes long, text string").where(~F.endswith("path", F.lit(STAGING)))
     return files.where(~P.is_skipped("path") & ~ignored("path", rules)).select("path", "size_bytes", P.language("path").alias("language"), "text")
 
 
@@ -83,10 +104,40 @@ def commits(lines: DataFrame) -> DataFrame:
     ).drop("k")
 
 
-def hook_events(payloads: DataFrame) -> DataFrame:
-    """(event, session, path) of (event, payload) JSON: the edited file or notebook of a tool call."""
+def status(lines: DataFrame) -> DataFrame:
+    """(path, original, staged, unstaged, label) of status lines (code, rest): two letters and a path, or two for a rename."""
+    renamed = F.contains("rest", F.lit(" -> "))
+    parts = lines.select(F.substring_index("rest", " -> ", -1).alias("path"), F.when(renamed, F.substring_index("rest", " -> ", 1)).alias("original"), P.change_name(F.substring("code", 1, 1)).alias("staged"), P.change_name(F.substring("code", 2, 1)).alias("unstaged"))
+    return parts.withColumn("label", P.change_label(F.col("staged"), F.col("unstaged")))
+
+
+def branch(line: str) -> dict:
+    """Branch, upstream and how far they are apart, of the header line of a status listing."""
+    m = re.match(r"## (?:No commits yet on )?(.+?)(?:\.\.\.(\S+))?(?: \[(.*)\])?$", line)
+    if not m or m[1].startswith("HEAD (no branch)"):
+        return {"branch": None, "upstream": None, "ahead": 0, "behind": 0}
+    apart = dict(re.findall(r"(ahead|behind) (\d+)", m[3] or ""))
+    return {"branch": m[1], "upstream": m[2], "ahead": int(apart.get("ahead", 0)), "behind": int(apart.get("behind", 0))}
+
+
+def worktree(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
+    """(branch, status) of a folder that git keeps; no branch and no changes elsewhere."""
+    got = subprocess.run(["git", "-C", root, "status", "--porcelain=v1", "--branch"], capture_output=True, text=True)
+    lines = got.stdout.splitlines() if got.returncode == 0 else []
+    rows = [(x[:2], " -> ".join(map(P.unquote, x[3:].split(" -> ")))) for x in lines if not x.startswith("##")]
+    return branch(lines[0] if lines else ""), status(spark.createDataFrame(rows, "code string, rest string"))
+
+
+def capture(argv: list[str], kept: int = 300) -> dict:
+    """Runs a command: its status and the ends of what it wrote, secrets left out by whoever stores it."""
+    got = subprocess.run(argv, capture_output=True, text=True)
+    return {"command": " ".join(argv), "status": got.returncode, "stdout": got.stdout.strip()[-kept:], "stderr": got.stderr.strip()[-kept:]}
+
+
+def hook_events(payloads: DataFrame, *more: str) -> DataFrame:
+    """(event, session, path) of (event, payload) JSON: the edited file or notebook of a tool call; what is no JSON has neither."""
     j = lambda p: F.get_json_object("payload", p)
-    return payloads.select("event", j("$.session_id").alias("session"), F.coalesce(j("$.tool_input.file_path"), j("$.tool_input.notebook_path")).alias("path"))
+    return payloads.select(*more, "event", j("$.session_id").alias("session"), F.coalesce(j("$.tool_input.file_path"), j("$.tool_input.notebook_path")).alias("path"))
 
 
 def snapshot(document: DataFrame, table: str, schema: str) -> DataFrame:
@@ -108,7 +159,3 @@ def append(rows: DataFrame, path: str) -> None:
 def replace_partitions(rows: DataFrame, path: str, *keys: str) -> None:
     """Replaces the partitions that ``rows`` has; all others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-
-
-def is_staging(name: str) -> bool:
-    return bool(re.search(r"\.staging$", name))

@@ -46,6 +46,11 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), WORD_BREAK), lambda t: t != "")
 
 
+def token_count(text: Column | str) -> Column:
+    """How many tokens a text has, without making them: its runs of word characters."""
+    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(r"[\p{L}\p{N}_-]+"))
+
+
 def selective_terms(text: Column | str) -> Column:
     """Tokens of more than two bytes."""
     return F.filter(tokens(text), lambda t: F.octet_length(t) > 2)
@@ -78,11 +83,16 @@ def meaningful_terms(text: Column | str) -> Column:
     return F.array_except(F.array_distinct(query_terms(text)), F.array(*map(F.lit, STOP_TERMS + SIGNAL_TERMS)))
 
 
+# What a text must hold for any of the patterns to match: a cheap test that most texts fail.
+SUSPECT = r"(?i)-----BEGIN|authorization|api[_.-]?key|secret|token|passw|credential|\blogin\b|\s-p[^\s-]|://[^/\s:@]+:|\bsk-|\bgh[pousr]_|\bxox[baprs]-|AKIA|\beyJ"
+
+
 def redact(text: Column | str) -> Column:
+    """Secrets replaced by signs. Texts without any sign of one are not searched pattern by pattern."""
     out = col(text)
     for pattern, replacement in REDACTIONS:
         out = F.regexp_replace(out, pattern, replacement)
-    return out
+    return F.when(F.rlike(col(text), F.lit(SUSPECT)), out).otherwise(col(text))
 
 
 def token_estimate(text: Column | str) -> Column:
@@ -129,6 +139,13 @@ def wildcard_regex(pattern: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
+def symbol_prefilter(name: Column, path: Column, kind: Column, signature: Column, terms: Column) -> Column:
+    """Whether a symbol can score at all: a cheap test that is wider than the score. Word matches of a term begin with its
+    first four letters."""
+    n, p, k, s = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, path, kind, signature))
+    return F.exists(terms, lambda t: F.contains(n, F.substring(t, 1, 4)) | F.contains(p, t) | F.contains(s, t) | (k == t))
+
+
 def symbol_score(name: Column, path: Column, kind: Column, signature: Column, terms: Column, query: Column) -> Column:
     """How well a code symbol fits: exact name or signature, then name tiers, kind, path and signature per term."""
     n, p, k, s, q = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, path, kind, signature, query))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import files
 
 # Base scores by kind of neighbour.
 BASE = {"incoming_reference": 700, "outgoing_reference": 680, "path_reference": 640, "entity": 560, "edge": 540, "source": 520}
@@ -76,3 +77,38 @@ def prune(stored: DataFrame, live: DataFrame, *path_columns: str) -> DataFrame:
 def replace_paths(stored: DataFrame, fresh: DataFrame, paths: DataFrame) -> DataFrame:
     """An index with the rows of some paths replaced."""
     return stored.join(paths.select("path"), "path", "left_anti").unionByName(fresh.join(paths.select("path"), "path", "left_semi"))
+
+
+def of_targets(symbols: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """The symbols that each target (target_id, target) names, by path or by name, the first ``limit`` in order, with rank.
+    A target that names none has no rows: the caller recalls by words then."""
+    by = lambda c: symbols.join(targets, symbols[c] == F.col("target"))
+    w = Window.partitionBy("target_id").orderBy("path", "line_start", "name")
+    both = by("path").unionByName(by("name").where("path <> target"))
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
+
+
+def of_path(references: DataFrame, path: str, limit: int) -> DataFrame:
+    """The references of one file in order."""
+    return references.where(F.col("path") == path).orderBy("line_start", "target_path", "target_name", "kind").limit(limit)
+
+
+def distinct_values(rows: DataFrame, column: str) -> DataFrame:
+    return rows.select(F.col(column).alias("value")).distinct()
+
+
+def impact_report(symbols: DataFrame, references: DataFrame, targets: DataFrame, known: DataFrame) -> DataFrame:
+    """One row of what hangs on some symbols (path, name, line_start, line_end): references to and from them (with
+    target_path, target_name), the files of all these, and the tests of those files."""
+    t = targets.select("path", "name", "line_start", "line_end").distinct()
+    into = references.join(t.select(F.col("path").alias("target_path"), F.col("name").alias("target_name")).distinct(), ["target_path", "target_name"], "left_semi")
+    out = inside(references, t)
+    ends = lambda d: d.select(F.explode(F.array("path", "target_path")).alias("path"))
+    affected = t.select("path").unionByName(ends(into)).unionByName(ends(out)).distinct()
+    tests = files.tests_of(affected, known)
+    count = lambda d, name: d.agg(F.count("*").alias(name))
+    parts = [count(targets, "symbols"), count(into, "inbound"), count(out, "outbound"), affected.agg(F.count("*").alias("files"), F.min("path").alias("first_file"), F.max("path").alias("last_file")), tests.agg(F.countDistinct("test_path").alias("tests"))]
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.crossJoin(F.broadcast(p))  # one row each
+    return report

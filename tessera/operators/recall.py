@@ -17,9 +17,14 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 POOL = 50
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(id, length, all): the tokens of (id, text), split once; a text is not carried further."""
+    return docs.select("id", X.tokens("text").alias("all")).select("id", F.size("all").alias("length"), "all")
+
+
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(term, id, tf, length) of (id, text); with ``terms``, of these only (the rest is dropped before the shuffle)."""
-    t = docs.select("id", X.tokens("text").alias("all")).select("id", F.size("all").alias("length"), F.explode("all").alias("term"))
+    t = tokenised(docs).select("id", "length", F.explode("all").alias("term"))
     if terms is not None:
         t = t.join(terms, "term", "left_semi")
     return t.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
@@ -30,8 +35,9 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
     full-text indexes count. (id, text) x (query_id, query)."""
     q = queries.select("query_id", F.explode(F.array_distinct(X.query_terms("query"))).alias("term"))
     p = postings(docs, q.select("term").distinct())
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(X.tokens("text"))).alias("average"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
+    # the average length needs a count of word breaks, not the words
+    stats = docs.agg(F.count("*").alias("n"), F.avg(X.token_count("text")).alias("average"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weigh = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     scored = q.join(p, "term").join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
@@ -64,6 +70,20 @@ def blend(docs: DataFrame, queries: DataFrame, fts: DataFrame, vector: DataFrame
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("created_at_ms")
 
 
+def vector_files(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Vector hits (query_id, id, score, vector_rank) with the attributes of their files (id, path, language); a hit without
+    a file stays."""
+    return hits.join(files, "id", "left")
+
+
+def scopes(project: DataFrame, other: DataFrame, n_project: int = 5, n_other: int = 3) -> DataFrame:
+    """Ranked facts (query_id, id, score, rank) of the project, then of the global scope those that are not there yet."""
+    p = project.where(F.col("rank") <= n_project)
+    g = other.where(F.col("rank") <= n_other).join(p.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    pick = lambda d, name: d.select("query_id", "id", "score", F.lit(name).alias("scope"), "rank")
+    return pick(p, "project").unionByName(pick(g, "global"))
+
+
 def evaluate(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: cases, recall, hit rate and mean reciprocal rank of (query_id, id, rank) against (query_id, id)."""
     want = expected.groupBy("query_id").agg(F.count("*").alias("wanted"))

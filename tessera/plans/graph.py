@@ -20,8 +20,10 @@ def _symbols(spark, d):
 
 def symbol_rank(spark, d):
     q = spark.createDataFrame(SYMBOL_QUERIES, "query_id long, query string")
+    q = q.withColumn("terms", X.query_terms("query"))  # split once, not for every symbol
     s = _symbols(spark, d).crossJoin(F.broadcast(q))  # a stated set of four queries
-    score = X.symbol_score(F.col("name"), F.col("path"), F.col("kind"), F.col("signature"), X.query_terms("query"), F.col("query"))
+    s = s.where(X.symbol_prefilter(F.col("name"), F.col("path"), F.col("kind"), F.col("signature"), F.col("terms")))
+    score = X.symbol_score(F.col("name"), F.col("path"), F.col("kind"), F.col("signature"), F.col("terms"), F.col("query"))
     from pyspark.sql import Window
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "line_start")

@@ -70,6 +70,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(path.alias("path"), F.col("size_bytes").cast("long").alias("size_bytes")).withColumn("language", paths.language("path"))
 
 
+def files_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discovered files with a number: id, path, language."""
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    path = F.concat(F.regexp_replace("url", r"^[a-z]+://|[?#].*$", ""), F.when(F.col("id") % 3 == 0, "_test.py").when(F.col("id") % 3 == 1, ".rs").otherwise(".md"))
+    return p.select("id", path.alias("path")).withColumn("language", paths.language("path"))
+
+
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session events: session_id, seq, kind, detail."""
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("role").alias("kind"), F.col("text").alias("detail"))

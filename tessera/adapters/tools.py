@@ -19,7 +19,7 @@ from tessera.operators import files, graph, memory, recall
 from tessera.sources import model as M
 
 # Default and largest number of rows by tool.
-LIMITS = {"recall": (10, 50), "forget": (25, 100), "symbols": (25, 100), "impact": (50, 500), "files": (12, 100), "maintenance": (25, 100)}
+LIMITS = {"recall": (10, 50), "forget": (25, 100), "symbols": (25, 100), "impact": (50, 500), "files": (12, 100), "maintenance": (25, 100), "index": (5000, 50_000)}
 
 
 def clamp(tool: str, limit: int | None) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +76,15 @@ def embed_terms(rows: DataFrame, id_col: str, text_col: str, width: int = 1536)
     summed = counted.join(hashed, "term").groupBy(id_col, "index").agg(F.sum(F.col("w") * F.col("n")).alias("v")).where("v <> 0")
     length = summed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
     return summed.join(length, id_col).select(id_col, "index", (F.col("v") / F.col("len")).alias("weight"))
+
+
+def to_blob(values: list[float], width: int = 1536) -> bytes:
+    """A vector as stored: little-endian floats, filled up with zeros or cut to a width."""
+    return struct.pack(f"<{width}f", *(list(values) + [0.0] * width)[:width])
+
+
+def from_blob(blob: bytes) -> list[float]:
+    """A stored vector; one whose length is no whole number of floats is an error."""
+    if len(blob) % 4:
+        raise ValueError("a vector has four bytes a number")
+    return list(struct.unpack(f"<{len(blob) // 4}f", blob))

@@ -22,6 +22,23 @@ C_FAMILY = [
     ("interface", "interface"), ("protocol", "protocol"), ("object", "object"), ("record", "record"),
 ]
 BY_LANGUAGE = {"rust": RUST, "python": PYTHON, "javascript": SCRIPT, "typescript": SCRIPT, "java": C_FAMILY, "kotlin": C_FAMILY, "swift": C_FAMILY, "c": C_FAMILY, "cpp": C_FAMILY}
+# Further declarations, (languages, pattern of the whole line with the name as its group, kind), the first that fits.
+_J = r"(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)"
+_M = r"(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*"
+MORE = [
+    (["rust"], r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[^{]*\bfor\s+)?&?([A-Za-z_][A-Za-z0-9_]*)", "impl"),
+    (["javascript", "typescript"], r"^\s*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>|function\b)", "function"),
+    (["javascript"], r"^\s*(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*=", "function"),
+    (["javascript", "typescript"], r"^\s+" + _M + r"(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|new\b)([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{;]+)?\{\s*$", "function"),
+    (["java"], r"^\s*" + _J + r"*@interface\s+([A-Za-z_]\w*)", "annotation"),
+    (["java"], r"^\s+" + _J + r"*(?:<[^>]+>\s+)?(?!return\b|new\b|else\b|throw\b)[A-Za-z_][\w<>\[\],.? ]*\s+([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{?\s*$", "function"),
+    (["kotlin"], r"^\s*(?:\w+\s+)*annotation\s+class\s+([A-Za-z_]\w*)", "annotation"),
+    (["kotlin"], r"^\s*(?:\w+\s+)*enum\s+class\s+([A-Za-z_]\w*)", "enum"),
+    (["kotlin", "swift"], r"^\s*(?:\w+\s+)*typealias\s+([A-Za-z_]\w*)", "type"),
+    (["kotlin"], r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]+>\s*)?(?:[A-Z]\w*(?:<[^>]*>)?\.)([A-Za-z_]\w*)\s*\(", "function"),
+    (["swift"], r"^\s*(?:\w+\s+)*actor\s+([A-Za-z_]\w*)", "actor"),
+    (["swift"], r"^\s*(?:\w+\s+)*extension\s+([A-Za-z_]\w*)", "extension"),
+]
 TYPE_LIKE = "struct enum trait type class interface protocol object record actor impl annotation extension".split()
 BRANCHES = "if elif for while match case catch except switch when guard".split()
 
@@ -51,6 +68,9 @@ def declarations(files: DataFrame) -> DataFrame:
     is_go = F.col("language") == "go"
     kind = kind.when(is_go & (go != ""), "function").when(is_go & (go_type != ""), F.when(F.contains("text", F.lit(" struct")), "struct").when(F.contains("text", F.lit(" interface")), "interface").otherwise("type"))
     name = name.when(is_go & (go != ""), go).when(is_go & (go_type != ""), go_type)
+    for languages, pattern_, kind_ in MORE:  # before what the keywords say
+        got = F.when(F.col("language").isin(*languages), F.nullif(F.regexp_extract("text", pattern_, 1), F.lit("")))
+        kind, name = F.when(got.isNotNull(), F.lit(kind_)).otherwise(kind), F.coalesce(got, name)
     signature = F.substring(F.rtrim(F.regexp_replace(F.btrim("text"), r"\{\s*$", "")), 1, 180)
     found = rows.select("path", "n_lines", name.alias("name"), kind.alias("kind"), F.col("line").alias("line_start"), signature.alias("signature")).where("name is not null")
     first = Window.partitionBy("path", "name", "kind").orderBy("line_start")

@@ -36,8 +36,13 @@ def rename(files: DataFrame, symbols: DataFrame, references: DataFrame, path: st
     return rows.withColumn("text", text).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-def replace_symbol(text: str, language: str, name: str, line_start: int, line_end: int, body: str) -> str:
-    """A file's text with the lines of a symbol replaced; the new text must declare the same name and, in Python, parse."""
+# Words that declare a symbol of a kind.
+DECLARES = {"function": "fn def func fun function", "class": "class", "struct": "struct", "enum": "enum", "trait": "trait", "interface": "interface", "module": "mod", "protocol": "protocol", "record": "record", "object": "object"}
+
+
+def replace_symbol(text: str, language: str, name: str, line_start: int, line_end: int, body: str, kind: str | None = None) -> str:
+    """A file's text with the lines of a symbol replaced; the new text must declare the same name with a word of the same
+    kind, where the old text did, and, in Python, parse."""
     lines = text.split("\n")
     if not 1 <= line_start <= line_end <= len(lines):
         raise EditError("lines outside the file")
@@ -45,6 +50,9 @@ def replace_symbol(text: str, language: str, name: str, line_start: int, line_en
     fresh = textwrap.indent(textwrap.dedent(body).strip("\n"), indent).split("\n")
     if not re.search(rf"(?<![\w$]){re.escape(name)}(?![\w$])", fresh[0] if not fresh[0].lstrip().startswith("@") else "\n".join(fresh)):
         raise EditError(f"the new text does not declare {name}")
+    words = rf"\b({'|'.join(DECLARES.get(kind or '', '').split())})\s+{re.escape(name)}\b" if kind in DECLARES else None
+    if words and re.search(words, "\n".join(lines[line_start - 1 : line_end])) and not re.search(words, "\n".join(fresh)):
+        raise EditError(f"the new text declares no {kind} {name}")
     out = "\n".join([*lines[: line_start - 1], *fresh, *lines[line_end:]])
     if language == "python":
         try:

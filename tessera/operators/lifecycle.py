@@ -76,7 +76,7 @@ def session_log(commands: DataFrame) -> DataFrame:
     a redacted summary. Events and ends without an open session say nothing. A project's commands are its state, so one
     project is one group."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         open_, all_ = [], []
         for r in rows.sort_values(["at", "place"], kind="stable").itertuples(index=False):
             if r.action == "start":

@@ -22,9 +22,10 @@ def stream_sessions(events: DataFrame, gap_seconds: int, late: str = "10 minutes
 
 
 def debounced_paths(changes: DataFrame, quiet: str = "750 milliseconds", late: str = "5 seconds") -> DataFrame:
-    """(paths): the distinct changed paths of each burst; a burst ends with a quiet gap. (ts, path)"""
-    w = changes.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"))
-    return w.agg(F.sort_array(F.collect_set("path")).alias("paths")).select(F.col("w.end").alias("ended"), "paths")
+    """(project_id, ended, paths): the distinct changed paths of each burst of a project; a burst ends with a quiet gap.
+    (ts, project_id, path)"""
+    w = changes.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), "project_id")
+    return w.agg(F.sort_array(F.collect_set("path")).alias("paths")).select("project_id", F.col("w.end").alias("ended"), "paths")
 
 
 def observe(changes: DataFrame, open_sessions: DataFrame, shown: int = 12) -> DataFrame:

@@ -111,7 +111,7 @@ def _count(labelled: DataFrame, buckets: int) -> DataFrame:
                 if len(both):
                     held.append((both, a, b, np.repeat(toxic[lo:hi].astype(np.int32), np.diff(edges))))
                     amount += len(both)
-                if amount > 700_000:
+                if amount > 300_000:
                     yield flush()
                     amount = 0
         if amount:
@@ -126,7 +126,7 @@ def train(labelled: DataFrame, discount: float = DISCOUNT, continuation: float =
     sizes, texts_of = {r["toxic"]: r["n"] or 0 for r in grouped}, {r["toxic"]: r["texts"] for r in grouped}
     small = max(1, min(sizes.get(0, 0), sizes.get(1, 0)))
     scale = [min(1.0, small / max(1, sizes.get(c, 0))) for c in (0, 1)]
-    buckets = buckets_for(labelled, 4)
+    buckets = buckets_for(labelled)
     bound_batches(labelled.sparkSession)
 
     def gather(batches):
@@ -249,14 +249,13 @@ def _scored(model: Model, texts: list[bytes]):
     return count, mean[0], mean[1]
 
 
-def score(docs: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
-    """(doc_id, score, words, ordinary_ll, toxic_ll) of all documents: log-likelihoods are a word's, 0 without words."""
-    held = docs.sparkSession.sparkContext.broadcast((model, weights))
+def score(docs: DataFrame, held, weights: np.ndarray) -> DataFrame:
+    """(doc_id, score, words, ordinary_ll, toxic_ll) of all documents by a broadcast model: log-likelihoods are a word's, 0
+    without words."""
 
     def run(batches):
-        model, weights = held.value
         for b in batches:
-            told = _scored(model, as_bytes(b.column("text")))
+            told = _scored(held.value, as_bytes(b.column("text")))
             s = calibrated(told[2] - told[1], told[0], weights)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), *map(pa.array, told)], ["doc_id", "score", "words", "ordinary_ll", "toxic_ll"])
 
@@ -273,12 +272,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame
     """
     out_ = F.coalesce(crc_mod(F.col("doc_id"), held_out) == 0, F.lit(True))
     learn = with_labels(docs, labels).where(~out_)
-    model = train(learn)
+    held = docs.sparkSession.sparkContext.broadcast(train(learn))
     # an even spread over ids, whatever their number
     part = max(1, learn.select("doc_id").count() // CALIBRATION_ROWS)
-    rank = F.xxhash64("doc_id")
-    few = learn.where(F.pmod(rank, F.lit(part)) == 0).orderBy(rank, "doc_id").limit(2 * CALIBRATION_ROWS) if part > 1 else learn
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    few = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
+    if few.select("doc_id").count() > 2 * CALIBRATION_ROWS:  # ids that repeat
+        few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * CALIBRATION_ROWS)
 
     def evidence(batches):
         for b in batches:
@@ -287,8 +286,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 5) -> DataFrame
 
     rows = few.select("text", "toxic").mapInArrow(tidied(evidence), f"toxic int, {MORE}").toPandas()
     weights = logistic(features((rows["toxic_ll"] - rows["ordinary_ll"]).to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy().astype(float))
-    held.destroy()
-    return score(docs, model, weights).select("doc_id", out_.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "words", "ordinary_ll", "toxic_ll")
+    return score(docs, held, weights).select("doc_id", out_.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "words", "ordinary_ll", "toxic_ll")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

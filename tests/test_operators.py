@@ -12,14 +12,14 @@ from tessera.streaming import events as S
 
 
 def test_short_queries_still_search(spark):
-    d = spark.createDataFrame([("id",), ("db ci",), ("primary key of",), ("!!!",), (None,)], "q string")
-    assert [r[0] for r in d.select(X.query_terms("q")).collect()] == [["id"], ["db", "ci"], ["primary", "key"], [], []]
+    d = spark.createDataFrame([("io",), ("go vm",), ("north star of",), ("?!",), (None,)], "q string")
+    assert [r[0] for r in d.select(X.query_terms("q")).collect()] == [["io"], ["go", "vm"], ["north", "star"], [], []]
 
 
 def test_symbols_rank_by_fit(spark):
-    rows = [("rank_context_sections", "src/context.rs", "function", "fn rank_context_sections()"), ("ContextBudget", "src/context.rs", "struct", "struct ContextBudget"), ("MAX_SIGNATURE_CHARS", "src/other.rs", "constant", "const MAX")]
+    rows = [("load_parcel_order", "src/parcel.rs", "function", "fn load_parcel_order()"), ("ParcelLimit", "src/parcel.rs", "struct", "struct ParcelLimit"), ("MOST_WEIGHT", "src/other.rs", "constant", "const MOST")]
     d = spark.createDataFrame(rows, "name string, path string, kind string, signature string")
-    q = F.lit("rank context sections")
+    q = F.lit("load parcel order")
     got = [r[0] for r in d.select(X.symbol_score(F.col("name"), F.col("path"), F.col("kind"), F.col("signature"), X.query_terms(q), q)).collect()]
     assert got[0] > got[1] > got[2]
 
@@ -92,6 +92,15 @@ def test_eviction_is_the_greedy_rule(spark):
     assert got == want
 
 
+def test_some_sections_go_before_all_others(spark):
+    items = [(1, -2, r, 0, 10) for r in (1, 2, 3)] + [(1, -1, r, 0, 20) for r in (1, 2)] + [(1, 4, r, 900 - r, 30) for r in range(1, 6)]
+    d = spark.createDataFrame(items, "pack_id int, section int, rank int, score long, tokens long")
+    changed = {(-2, r) for r in (1, 2, 3)}
+    for budget, gone in ((500, set()), (215, {(-2, 3), (-2, 2)}), (190, changed | {(-1, 2)}), (160, changed | {(-1, 1), (-1, 2), (4, 5)})):
+        got = {(r["section"], r["rank"]) for r in pack.evict(d, budget, 0).where("evicted").collect()}
+        assert got == gone, budget
+
+
 def test_stream_gives_the_batch_sessions(spark, tmp_path):
     start = datetime.datetime(2024, 1, 1)
     rows = [(start + datetime.timedelta(minutes=m), u) for u in range(3) for m in (0, 5, 50, 55, 56, 200 + u)] + [(start + datetime.timedelta(days=9), 99)]

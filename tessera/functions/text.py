@@ -34,7 +34,8 @@ REDACTIONS = [
     (r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}\b", "[REDACTED]"),
 ]
 
-WORD_BREAK = r"[^\p{L}\p{N}_-]+"
+# Letters with the vowel signs that some scripts write beside them.
+WORD_BREAK = r"[^\p{IsAlphabetic}\p{N}_-]+"
 
 
 def col(c: Column | str) -> Column:
@@ -48,7 +49,7 @@ def tokens(text: Column | str) -> Column:
 
 def token_count(text: Column | str) -> Column:
     """How many tokens a text has, without making them: its runs of word characters."""
-    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(r"[\p{L}\p{N}_-]+"))
+    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit(r"[\p{IsAlphabetic}\p{N}_-]+"))
 
 
 def selective_terms(text: Column | str) -> Column:

@@ -16,6 +16,12 @@ def test_short_queries_still_search(spark):
     assert [r[0] for r in d.select(X.query_terms("q")).collect()] == [["io"], ["go", "vm"], ["north", "star"], [], []]
 
 
+def test_words_of_scripts_with_vowel_signs(spark):
+    d = spark.createDataFrame([("हिन्दी भाषा, x-y_z",)], "t string")
+    tokens, n = d.select(X.tokens("t"), X.token_count("t")).first()
+    assert len(tokens) == n and "भाषा" in tokens and tokens[-1] == "x-y_z"
+
+
 def test_symbols_rank_by_fit(spark):
     rows = [("load_parcel_order", "src/parcel.rs", "function", "fn load_parcel_order()"), ("ParcelLimit", "src/parcel.rs", "struct", "struct ParcelLimit"), ("MOST_WEIGHT", "src/other.rs", "constant", "const MOST")]
     d = spark.createDataFrame(rows, "name string, path string, kind string, signature string")

@@ -6,6 +6,7 @@ empty one), a word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``, and
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 
@@ -57,6 +58,28 @@ def unused(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def column(name: str):
+    """A column by its whole name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with names that ``mapInArrow`` cannot take replaced, and what they were."""
+    odd = [c for c in docs.columns if "." in c or "`" in c]
+    new, taken = {}, {c.lower() for c in docs.columns}
+    for i, c in enumerate(odd):
+        name = f"column_{i}"
+        while name in taken:
+            name += "_"
+        new[c] = name
+        taken.add(name)
+    return docs.select([column(c).alias(new.get(c, c)) for c in docs.columns]), {v: k for k, v in new.items()}
+
+
+def given_names(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select([F.col(c).alias(names.get(c, c)) for c in docs.columns]) if names else docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -278,17 +301,42 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * back[start] + U64(0x2545F4914F6CDD1D) * (end - start).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, edges, start, end): text i has words edges[i]..edges[i+1]; start and end are positions in
-    the texts joined by a line feed. A word's hash depends on its bytes only; no word becomes a Python object."""
+LONG_WORD = 4096
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches start..end of some bytes: eight bytes a step through a finaliser, so that no pattern
+    of bytes makes two stretches meet, as it can in a polynomial modulo 2^64. Long stretches take a cryptographic hash."""
+    left = end - start
+    h = mix(left.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + U64(0x2545F4914F6CDD1D))
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    on, at = np.flatnonzero((left > 0) & (left <= LONG_WORD)), start
+    while len(on):
+        chunk = np.ascontiguousarray(ahead[at[on]]).view(np.uint64).ravel() & _MASKS[np.minimum(left[on], 8)]
+        h[on] = mix((h[on] ^ chunk) * U64(0xD6E8FEB86659FD93))
+        at, left = at + 8, left - 8
+        on = on[left[on] > 0]
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def word_spans(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the texts joined by a line feed, edges, start, end): text i has words edges[i]..edges[i+1]. ``between``
+    says of each byte whether it is outside words; a line feed must be."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[data]
-    inside = np.concatenate([[False], ~space])
+    inside = np.concatenate([[False], ~between[data]])
     turn = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = turn[::2], turn[1::2]
-    h = span_hashes(data, start, end)
     begins = np.cumsum(np.array([0] + [len(t) + 1 for t in texts], np.int64))
-    return h, np.searchsorted(start, begins), start, end
+    return data, np.searchsorted(turn[::2], begins), turn[::2], turn[1::2]
+
+
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, edges, start, end), as ``word_spans``. A word's hash depends on its bytes only; no word becomes
+    a Python object."""
+    data, edges, start, end = word_spans(texts, between)
+    return byte_hashes(data, start, end), edges, start, end
 
 
 def portions(sizes, most: int = 600_000):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _with_least, as_bytes, bloom, bloom_has, buckets_for, components, deal, discard, mix, packed, portions, save, shingles, tidied, tree_sum, unused, word_hashes
+from tessera.llm.common import U64, _with_least, as_bytes, bloom, bloom_has, buckets_for, column, components, deal, discard, mix, packed, portions, save, shingles, tidied, tree_sum, unused, word_hashes
 
 SKETCH = 1 << 20
 SIZES = 4096
@@ -404,9 +404,10 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     key, full, empty = (unused(c, docs) for c in ("kept", "full", "empty"))
     kept = kept.groupBy(F.col("doc_id").alias(key)).agg(F.count_if(F.col("n_shingles") > 0).alias(full), F.max((F.col("n_shingles") == 0).cast("int")).alias(empty))
     joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(key)))
-    one = joined.where(F.col(full) + F.col(empty) == 1).select(*(docs[c] for c in docs.columns))
+    own = [column(c) for c in docs.columns]
+    one = joined.where(F.col(full) + F.col(empty) == 1).select(own)
     # rows that share their doc_id: those of the component's own texts meet once more
-    again = joined.where(F.col(full) + F.col(empty) > 1).select(*(docs[c] for c in docs.columns))
+    again = joined.where(F.col(full) + F.col(empty) > 1).select(own)
     return one.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, crc_mod, packed, tidied, tree_sum
+from tessera.llm.common import U64, crc_mod, given_names, packed, plain_names, tidied, tree_sum
 
 SLOTS = 1 << 17
 MOST_LANGUAGES = 500
@@ -170,15 +170,16 @@ def label_words(texts: list[str], model: Model, penalty: float = PENALTY):
     return text, begin, length, _viterbi(score, first, np.diff(np.append(first, len(text))), penalty)
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (columns of these names are replaced), and on request
-    lang_spans, the maximal runs (start, end, lang) in code points.
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score and, on request, lang_spans, the maximal runs (start, end, lang) in
+    code points. ``names`` are the names of the three; columns of these names, in upper or lower case, are replaced.
 
     score: the share of the text's letters in the predicted language. Null or letterless text: ``und``, 0, no spans;
     so is every text if no language was learned. Ties go to the language that sorts first. Null or repeated ids: each
     row stands for itself. An empty table gives no rows.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "lang_spans")]
+    docs, given = plain_names(docs)
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in names}]
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -203,15 +204,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: boo
                         for a, z in zip(cut, last, strict=True):
                             runs[text[a]].append({"start": int(begin[a]), "end": int(begin[z] + length[z]), "lang": m.languages[lang[a]]})
                 extra = [pa.array(pred, pa.string()), pa.array(score, pa.float64())] + ([pa.array(runs, span)] if spans else [])
-                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *extra], [*(f.name for f in kept), "lang_pred", "score", *(["lang_spans"] if spans else [])])
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *extra], [*(f.name for f in kept), *names[: 3 if spans else 2]])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     if spans:
         one = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
-        schema = schema.add("lang_spans", T.ArrayType(one))
-    return docs.select([f.name for f in kept]).mapInArrow(tidied(run), schema)
+        schema = schema.add(names[2], T.ArrayType(one))
+    return given_names(docs.select([f.name for f in kept]).mapInArrow(tidied(run), schema), given)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tessera.llm import chat, decontaminate, jaccard, langid, mixing, pii, secrets, suffix, toxicity, winnow
+from tessera.llm import chat, decontaminate, jaccard, langid, mixing, pii, runs, secrets, suffix, toxicity, winnow
 from tessera.llm.common import bound_batches
 
 
@@ -30,6 +30,7 @@ QUERIES = {
         "op8_language_id": langid.query,
         "op9_mix_sources": mixing.query,
         "op10_chat_format": chat.query,
+        "op11_periodic_runs": runs.query,
     }.items()
 }
 ORACLES = {

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_text, save, tidied, unused
+from tessera.llm.common import as_text, column, save, tidied, unused
 
 #: Fixed shapes, in the order in which equal starts are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -150,7 +150,7 @@ def mask(docs: DataFrame, repo_col: str = "source", owner_col: str = "source", m
     kept = {"text": F.col(new)}
     if "n_chars" in docs.columns:
         kept["n_chars"] = F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
-    return out.select([kept[c].alias(c) if c in kept else F.col(f"`{c}`") for c in docs.columns])
+    return out.select([kept[c].alias(c) if c in kept else column(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -90,3 +90,22 @@ def test_boundary_follows_cost():
     rare, crowded = np.zeros(jaccard.SKETCH, np.int64), np.zeros(jaccard.SKETCH, np.int64)
     rare[:100_000], crowded[:2_000] = 1, 50
     assert jaccard.boundary(rare, sizes, 90, 100) < jaccard.boundary(crowded, sizes, 90, 100)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_of_the_thue_morse_pattern(spark):
+    """Long words that a polynomial modulo 2^64 cannot tell apart, alone and inside texts."""
+    one = thue_morse(4096)
+    a, b, c = one[:2048], one[2048:], thue_morse(8192)[4096:]
+    assert a != b and len({a, b, c}) == 3
+    inside = [" ".join(f"t{k}" for k in range(3)) + f" {w} " + " ".join(f"t{k}" for k in range(3, 8)) for w in (a, b)]
+    rows = list(enumerate([a, b, one, c, a + " ", *inside, inside[0].upper()]))
+    want = plain(rows, 3, 90, 100)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, 3, 90, 100).collect()}
+    assert got == want and want[1][1] == 1 and want[4][1] == 0 and want[6][1] == 6 and want[7][1] == 5
+    kept = {r["doc_id"] for r in jaccard.representatives(docs, 5, 80, 100).collect()}
+    assert kept == {k for k, (_, x) in plain(rows, 5, 80, 100).items() if x == k}

@@ -55,3 +55,18 @@ def test_mask(spark):
 def test_run(spark, data):
     out = corpus_pipeline.run(spark, data)
     assert 0 < out.count() <= spark.read.parquet(f"{data}/documents.parquet").count() and "doc_id" in out.columns
+
+
+def test_stages_keep_columns_of_any_name(spark, data):
+    """Each stage returns the columns it was given, untouched, whatever they are called."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60")
+    names = ["score", "lang_pred", "lang_spans", "a.b", "text_", "Row", "kept", "full", "empty", "cuts", "SIZE", "tick`"]
+    odd = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, data)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+    assert len(corpus_pipeline.STAGES[-1][1](spark, odd, data).collect()) == odd.count()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, langid, mixing, secrets
-from tessera.llm.common import bound_batches, save, table
+from tessera.llm.common import bound_batches, column, save, table, unused
 
 LEAST_SHARE = 0.5
 
@@ -22,8 +22,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Rejects documents without a language and those of which no language covers half: null, empty and letterless texts go.
     Languages are learned from all rows with one; if there is none, all rows go. Ties go to the language that sorts first."""
     bound_batches(spark)
-    told = langid.identify(docs, langid.train(docs.where("lang is not null")))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    names = tuple(unused(n, docs) for n in ("lang_pred", "score", "lang_spans"))
+    told = langid.identify(docs, langid.train(docs.where("lang is not null")), names=names)
+    return told.where((F.col(names[0]) != "und") & (F.col(names[1]) >= LEAST_SHARE)).select([column(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tessera.llm import chat, decontaminate, jaccard, langid, mixing, pii, runs, secrets, suffix, toxicity, winnow
+from tessera.llm import chat, decontaminate, jaccard, langid, licenses, mixing, negatives, pii, runs, secrets, suffix, toxicity, winnow
 from tessera.llm.common import bound_batches
 
 
@@ -31,8 +31,11 @@ QUERIES = {
         "op9_mix_sources": mixing.query,
         "op10_chat_format": chat.query,
         "op11_periodic_runs": runs.query,
+        "op12_license_scan": licenses.query,
+        "op13_hard_negatives": negatives.query,
     }.items()
 }
 ORACLES = {
     "op10_chat_format": chat.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }

@@ -9,6 +9,7 @@ import argparse
 import hmac
 import json
 import os
+import re
 import subprocess
 import sys
 import urllib.request
@@ -22,17 +23,22 @@ from pyspark.sql import functions as F
 from tessera.adapters.store import Store, install
 from tessera.adapters.tools import clamp
 from tessera.functions import text as X
-from tessera.operators import code, context, edits, evaluation, files, lifecycle, moves, recall, replication
+from tessera.operators import code, context, edits, evaluation, files, lifecycle, moves, recall, replication, sessions
+from tessera.operators import tasks as T
 from tessera.operators.lifecycle import now_ms
-from tessera.operators.risks import _union
 from tessera.sources import workspace as W
+from tessera.sources.remote import RemoteStore
+
+
+MOST_DIAGNOSTICS = 20  # that one command's output leaves
 
 
 class Engine:
     """Actions on one workspace and its store; each returns what JSON can hold."""
 
-    def __init__(self, spark: SparkSession, store: str, root: str = ".", clock: Callable[[], int] = now_ms) -> None:
-        self.spark, self.store, self.root, self.clock = spark, Store(spark, store), root, clock
+    def __init__(self, spark: SparkSession, store: str | RemoteStore, root: str = ".", clock: Callable[[], int] = now_ms) -> None:
+        """``store`` is a folder, or a store elsewhere of which all that only reads can be asked."""
+        self.spark, self.store, self.root, self.clock = spark, Store(spark, store) if isinstance(store, str) else store, root, clock
 
     # --- facts
     def init(self) -> dict:
@@ -79,11 +85,14 @@ class Engine:
 
     def observe(self, output: str, command: str = "") -> int:
         lines = self.spark.createDataFrame([(command, i, t) for i, t in enumerate(output.split("\n"))], "command string, line long, text string")
-        found = code.diagnostics_of(lines).limit(20)
+        found = code.diagnostics_of(lines).limit(MOST_DIAGNOSTICS)
         at = self.clock()
-        rows = found.select(F.concat(F.lit(f"diag_{at}_"), F.uuid()).alias("id"), F.lit("project_local").alias("project_id"), F.lit("command").alias("source"), "path", "line_start", F.lit(None).cast("long").alias("line_end"), "severity", "code", X.redact("message").alias("message"), "command", F.lit(at).alias("created_at_ms"))
-        self.store.append("diagnostics", rows)
-        return found.count()
+        told = sessions.normalise_diagnostics(found.withColumns({"source": F.lit("command"), "line_end": F.lit(None).cast("long")}))
+        rows = told.select(F.concat(F.lit(f"diag_{at}_"), F.uuid()).alias("id"), F.lit("project_local").alias("project_id"), "source", "path", "line_start", "line_end", "severity", "code", "message", X.redact("command").alias("command"), F.lit(at).alias("created_at_ms"))
+        kept = rows.collect()  # as many as the limit
+        if kept:
+            self.store.append("diagnostics", self.spark.createDataFrame(kept, rows.schema))
+        return len(kept)
 
     def hook(self, event: str, payload: str) -> dict:
         """What an agent tells of its own session."""
@@ -145,19 +154,45 @@ class Engine:
         return self._edit(moves.move(self._texts(), symbols, [r["path"] for r in refs.collect()], path, name, destination, rewrite=rewrite))
 
     # --- context, evaluation, replication
+    def _known(self, branch: tuple[str, ...], changed: DataFrame) -> T.Known:
+        """What the store and the workspace know, as packs need it."""
+        read = self.store.read
+        symbols, started, events = read("code_symbols"), read("sessions"), read("session_events")
+        fact = lambda d, kind, detail, at: d.select(F.col("session_id"), kind.alias("kind"), F.col(detail).alias("detail"), F.col(at).alias("at"))
+        told = started.withColumnRenamed("id", "session_id")
+        facts = fact(told.where("task is not null"), F.lit("task"), "task", "started_at_ms").unionByName(fact(events, F.col("kind"), "detail", "created_at_ms")).unionByName(fact(told.where("final_summary is not null"), F.lit("summary"), "final_summary", "ended_at_ms"))
+        packed = read("context_packs").agg(F.max("updated_at_ms").alias("at")).first()["at"]
+        return T.Known(
+            symbols=symbols.withColumn("parameters", code.parameter_count("signature").cast("long")),
+            files=read("discovered_files").select("path", "size_bytes", "language"),
+            references=read("code_references"),
+            entities=read("entities"),
+            sources=read("sources"),
+            edges=read("edges"),
+            stored_tests=read("test_mappings").select(F.col("source_path").alias("path"), "test_path", "score", "reason"),
+            inline=files.inline_tests(symbols),
+            facts=read("memories").where("valid_to is null").select("id", "kind", "text", "created_at_ms"),
+            diagnostics=read("diagnostics").select("id", "path", "line_start", "severity", "message", "created_at_ms"),
+            session_facts=facts,
+            metrics=lambda some: code.body_metrics(self._sources().where("text is not null").join(some.select("path").distinct(), "path", "left_semi"), some),
+            modified=W.modified(self.spark, self.root),
+            indexed=symbols.select("path", "indexed_at_ms"),
+            edits=events.where("kind = 'edit'").select("detail", F.col("created_at_ms").alias("at")),
+            changed=changed,
+            packed_at_ms=2**62 if packed is None else packed,  # before the first pack nothing is newer than one
+            branch=branch,
+        )
+
     def context(self, task: str, budget: int | None = None) -> str:
-        """A pack of files, symbols, facts and sessions as JSON; kept in the store."""
-        n, terms = context.budget(budget), X.selective_terms(F.lit(task))
-        known = self.store.read("discovered_files").select("path", "size_bytes", "language")
-        found = files.candidates(known, task, 12).join(known.select("path", "language"), "path", "left").withColumn("embedding_rank", F.lit(None).cast("int"))
-        facts = self._recalled(task, 5).withColumn("total", F.lit(5))
-        parts = [context.files_section(found, terms), context.symbols_section(self._symbols(task, 8), terms), context.memories_section(facts, terms)]
-        items = context.ranked(_union(parts).withColumn("pack_id", F.lit(1)))
+        """A pack of all nine sections as JSON; kept in the store."""
+        n = context.budget(budget)
         branch, changed = W.worktree(self.spark, self.root)
-        told = [x for x in (str(self.root), branch["branch"], branch["upstream"]) if x]
-        whole = context.assembled(items, context.given_up_first(changed, F.lit(1)), n, context.fixed_tokens(task, *told))
-        out = context.to_json(task, whole, n)
-        self.store.save_pack(task, out, self.clock())
+        told = tuple(x for x in (str(self.root), branch["branch"], branch["upstream"]) if x)
+        packs = T.Packs(self.spark.createDataFrame([(1, task)], "task_id long, task string"), self._known(told, changed))
+        out = context.to_json(task, packs.packs(n), n)
+        packs.close()
+        if isinstance(self.store, Store):
+            self.store.save_pack(task, out, self.clock())
         return out
 
     def evaluate(self, commits: int = 30, most_files: int = 8, least_hit_rate: float | None = None) -> dict:
@@ -244,17 +279,30 @@ def respond(engine: Engine, method: str, path: str, body: str, auth: str | None,
             ("POST", "/v1/sync/push"): lambda: engine.sync("push", json.loads(body)["store"], json.loads(body).get("dry_run", True)),
             ("POST", "/v1/sync/pull"): lambda: engine.sync("pull", json.loads(body)["store"], json.loads(body).get("dry_run", True)),
         }
+        if method == "GET" and (asked := re.fullmatch(r"/v1/records/(\w+)\?part=(\d+)&of=(\d+)", path)):
+            return _part(engine, asked[1], int(asked[2]), int(asked[3]))
+        path = path.split("?")[0]
         if (method, path) in routes:
             try:
                 return 200, routes[method, path]()
             except (ValueError, KeyError) as e:
                 return 400, {"error": str(e)}
         return (405, {"error": "method_not_allowed"}) if any(p == path for _, p in routes) else (404, {"error": "not_found"})
+    path = path.split("?")[0]
     if method != "GET":
         return 405, {"error": "method_not_allowed"}
     return {"/health": (200, {"status": "ok"}), "/status": (200, engine.status())}.get(path, (404, {"error": "not_found"})) if path in ("/health", "/status") else (404, {"error": "not_found"})
 
 
+def _part(engine: Engine, table: str, part: int, of: int) -> tuple[int, dict]:
+    """The records of one part of a table, dealt by their key."""
+    if table not in replication.TABLES or not 0 <= part < of:
+        return 404, {"error": "not_found"}
+    rows = replication.shared(table, engine.store.read(table))
+    mine = rows.where(F.pmod(F.xxhash64(*replication.TABLES[table].key), F.lit(of)) == part)
+    return 200, {"records": [json.loads(r["record"]) for r in replication.encode(table, mine).collect()]}
+
+
 def _apply(engine: Engine, tables: dict[str, list]) -> dict:
     """Records of some tables as another store sends them: they win over what is there."""
     done = {}
@@ -273,7 +321,7 @@ def listen(engine: Engine, host: str, port: int, token: str | None, most: int =
     class Handler(BaseHTTPRequestHandler):
         def _do(self) -> None:
             n = int(self.headers.get("Content-Length") or 0)
-            status, doc = (413, {"error": "too_large"}) if n > most else respond(engine, self.command, self.path.split("?")[0], self.rfile.read(n).decode(), self.headers.get("Authorization"), token)
+            status, doc = (413, {"error": "too_large"}) if n > most else respond(engine, self.command, self.path, self.rfile.read(n).decode(), self.headers.get("Authorization"), token)
             data = json.dumps(doc).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
@@ -370,7 +418,7 @@ def dispatch(engine: Engine, a: argparse.Namespace):
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("tessera").config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"{a.store}/_warehouse").getOrCreate()
     engine = Engine(spark, a.store, a.root)
     if a.command == "mcp":
         for line in serve(engine, sys.stdin):

@@ -26,9 +26,14 @@ PROJECT = "project_local"
 AUDIT = {"sync_runs": "id string, operation string, status string, started_at_ms long", "sync_table_runs": "run_id string, table string, inserted long, updated long, skipped long", "sync_table_conflicts": "run_id string, table string, reason string, n long"}
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed a table since it was read."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._seen: dict[str, int] = {}  # the version of each table that was read last
 
     # --- tables
     def _log(self, table: str) -> str:
@@ -48,15 +53,29 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         found = self._version(table)
+        self._seen[table] = found[0] if found else 0
         return self.spark.read.schema(self._schema(table)).parquet(f"{self.folder}/{table}/{found[1]}") if found else self.spark.createDataFrame([], self._schema(table))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """Makes some rows the whole table."""
+        """Makes some rows the whole table. They follow the version that was read last; if another writer has named the next
+        one meanwhile, nothing changes and ``Conflict`` is raised."""
         found = self._version(table)
+        version = self._seen.get(table, found[0] if found else 0) + 1
         path = lifecycle.new_id("v")
         names = [c.split()[0] for c in self._schema(table).split(", ")]
         rows.select(names).write.parquet(f"{self.folder}/{table}/{path}")
-        self.spark.createDataFrame([((found[0] if found else 0) + 1, path)], "version long, path string").coalesce(1).write.mode("append").json(self._log(table))
+        jvm = self.spark.sparkContext._jvm
+        entry = jvm.org.apache.hadoop.fs.Path(f"{self._log(table)}/{version:012d}.json")
+        files = entry.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = files.create(entry, False)  # only one writer creates it
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                raise Conflict(f"{table} has changed") from e
+            raise
+        out.write(bytearray(json.dumps({"version": version, "path": path}).encode()))
+        out.close()
+        self._seen[table] = version
 
     def append(self, table: str, rows: DataFrame) -> None:
         names = [c.split()[0] for c in self._schema(table).split(", ")]
@@ -172,15 +191,19 @@ class Store:
         return {"symbols": self.read("code_symbols").count(), "references": self.read("code_references").count()}
 
     def synchronise(self, operation: str, other: Store, config: replication.Config, at_ms: int) -> DataFrame:
-        """Pushes to or pulls from another store and keeps an audit of the run."""
+        """Pushes to or pulls from another store and keeps an audit of the run: its tables, why rows were passed over, and
+        whether it failed."""
         names = replication.selected(config.classes)
-        local, remote = {n: self.read(n) for n in names}, {n: other.read(n) for n in names}
-        to = other if operation == "push" else self
-        told = self.spark.createDataFrame(replication.run(operation, local, remote, config).collect())  # a row a table
-        replication.run(operation, local, remote, config, to.replace)
-        run = lifecycle.new_id("run", at_ms)
-        self.append("sync_runs", self._rows("sync_runs", {"id": run, "operation": operation, "status": "done", "started_at_ms": at_ms}))
+        run, status = lifecycle.new_id("run", at_ms), "failed"
+        try:
+            local, remote = {n: self.read(n) for n in names}, {n: other.read(n) for n in names}
+            to = other if operation == "push" else self
+            told, passed = replication.executed(operation, local, remote, config, to.replace)
+            status = "done"
+        finally:
+            self.append("sync_runs", self._rows("sync_runs", {"id": run, "operation": operation, "status": status, "started_at_ms": at_ms}))
         self.append("sync_table_runs", told.withColumn("run_id", F.lit(run)))
+        self.append("sync_table_conflicts", passed.withColumn("run_id", F.lit(run)))
         return told
 
     def status(self) -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import context, graph, lifecycle, recall, source, store
+from tessera.plans import context, graph, index, lifecycle, recall, source, store
 
-MODULES = (recall, graph, store, source, context, lifecycle)
+MODULES = (recall, graph, store, source, context, lifecycle, index)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "recall_blend"

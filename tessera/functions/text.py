@@ -147,10 +147,16 @@ def symbol_prefilter(name: Column, path: Column, kind: Column, signature: Column
     return F.exists(terms, lambda t: F.contains(n, F.substring(t, 1, 4)) | F.contains(p, t) | F.contains(s, t) | (k == t))
 
 
-def symbol_score(name: Column, path: Column, kind: Column, signature: Column, terms: Column, query: Column) -> Column:
-    """How well a code symbol fits: exact name or signature, then name tiers, kind, path and signature per term."""
-    n, p, k, s, q = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, path, kind, signature, query))
-    words = identifier_words(name)
+def symbol_parts(name: Column, path: Column, kind: Column, signature: Column) -> dict[str, Column]:
+    """What ``symbol_fit`` looks at, to be computed once a symbol where a symbol meets many queries."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return {"low_name": low(name), "low_path": low(path), "low_kind": low(kind), "low_signature": low(signature), "name_words": identifier_words(name)}
+
+
+def symbol_fit(parts: dict[str, Column], terms: Column, query: Column) -> Column:
+    """The score of ``symbol_score``, of parts that are there already."""
+    n, p, k, s, words = (parts[c] for c in ("low_name", "low_path", "low_kind", "low_signature", "name_words"))
+    q = F.lower(F.coalesce(query, F.lit("")))
     each = lambda t: (
         F.when(n == t, 10).when(F.array_contains(words, t), 7).when(F.exists(words, lambda w: light_stem_match(w, t)), 6).when(F.contains(n, t), 5).otherwise(0)
         + F.when(k == t, 3).otherwise(0)
@@ -162,6 +168,11 @@ def symbol_score(name: Column, path: Column, kind: Column, signature: Column, te
     return F.when((n == q) | F.contains(s, q), 12).otherwise(0) + by_terms + F.when(by_terms > 0, bonus).otherwise(0)
 
 
+def symbol_score(name: Column, path: Column, kind: Column, signature: Column, terms: Column, query: Column) -> Column:
+    """How well a code symbol fits: exact name or signature, then name tiers, kind, path and signature per term."""
+    return symbol_fit(symbol_parts(name, path, kind, signature), terms, query)
+
+
 def tokens_of(text: Column | str) -> Column:
     """The estimate of a field of a pack: none for one that is missing or empty."""
     t = col(text)

@@ -108,20 +108,38 @@ def reference_kind(line: Column | str, name: Column | str, kind: Column | str) -
 def references(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, line_start, target_path, target_name, target_kind, kind): identifier tokens that name a symbol, but for its
     own declaration. Among symbols of one name the file's own hide the rest, else those of files that the file
-    imports; calls of members keep all."""
+    imports; calls of members keep all.
+
+    Tokens meet the file's own symbols by name and path, then those that it imports by name and a word of its imports, and
+    only what is left, and calls of members, meet all symbols of their name: a name that many files declare makes no more
+    rows than it has references. What a line does is told before, so no text is carried along.
+    """
     code = lines(files).where(~F.col("text").rlike(r"^\s*(//|/\*|\*|$)"))
-    tokens = code.select("path", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}_$][\p{L}\p{N}_$]*"), F.lit(0)))).alias("name"))
+    word = r"[\p{L}_$][\p{L}\p{N}_$]*"
+    tokens = code.select("path", "line", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("name"))
+    tokens = tokens.join(symbols.select("name").distinct(), "name", "left_semi")
+    kinds = {"as_type": TYPE_LIKE[0], "as_function": "function", "as_other": ""}
+    tokens = tokens.select("path", "line", "name", *(reference_kind("text", "name", F.lit(k)).alias(c) for c, k in kinds.items()))
     s = symbols.select(F.col("path").alias("target_path"), "name", F.col("kind").alias("target_kind"), F.col("line_start").alias("declared"))
-    hit = tokens.join(s, "name").where(~((F.col("path") == F.col("target_path")) & (F.col("line") == F.col("declared"))))
-    kind = reference_kind("text", "name", "target_kind")
-    hit = hit.withColumn("kind", kind)
+    key = ["path", "line", "name"]
+    elsewhere = (F.col("path") != F.col("target_path")) | (F.col("line") != F.col("declared"))
+    met = lambda t, more: t.join(s, "name").where(elsewhere & more)
+
+    own = tokens.join(s.withColumn("path", F.col("target_path")), ["name", "path"]).where(elsewhere)
+    open_ = tokens.join(own.select(key).distinct(), key, "left_anti")
+    told = code.where(F.ltrim("text").rlike("^(use|import|from) ") | F.contains("text", F.lit("require("))).select("path", "text")
+    words = told.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0))).alias("key")).distinct()
+    imports = told.groupBy("path").agg(F.array_join(F.collect_list("text"), "\n").alias("imports"))  # of one file
     stem = F.regexp_extract("target_path", r"([^/.]+)\.[^/]*$", 1)
-    imports = code.where(F.ltrim("text").rlike("^(use|import|from) ") | F.contains("text", F.lit("require("))).groupBy("path").agg(F.array_join(F.collect_list("text"), "\n").alias("imports"))
-    hit = hit.join(imports, "path", "left").withColumn("local", F.col("path") == F.col("target_path")).withColumn("imported", F.coalesce(F.rlike("imports", identifier(stem)), F.lit(False)))
-    w = Window.partitionBy("path", "line", "name")
-    own, known = F.max("local").over(w), F.max("imported").over(w)
-    hit = hit.withColumn("keep", (F.col("kind") == "method_call") | F.when(own, F.col("local")).when(known, F.col("imported")).otherwise(True))
-    return hit.where("keep").select("path", F.col("line").alias("line_start"), "target_path", F.col("name").alias("target_name"), "target_kind", "kind").distinct()
+    by_stem = s.withColumn("stem", stem).withColumn("key", F.regexp_extract("stem", r"[\p{L}\p{N}_$]+", 0)).where("key <> ''")
+    near = open_.select("path", "name").distinct().join(words, "path").join(by_stem, ["name", "key"]).join(imports, "path").where(F.rlike("imports", identifier(F.col("stem"))))
+    known = open_.join(near.select("path", "name", "target_path", "target_kind", "declared"), ["path", "name"]).where(elsewhere)
+    rest = met(open_.join(known.select(key).distinct(), key, "left_anti"), F.lit(True))
+    members = met(tokens.where("as_function = 'method_call'"), F.col("target_kind") == "function")
+
+    kind = F.when(F.col("target_kind").isin(*TYPE_LIKE), F.col("as_type")).when(F.col("target_kind") == "function", F.col("as_function")).otherwise(F.col("as_other"))
+    pick = lambda d: d.select("path", F.col("line").alias("line_start"), "target_path", F.col("name").alias("target_name"), "target_kind", kind.alias("kind"))
+    return pick(own).unionByName(pick(known)).unionByName(pick(rest)).unionByName(pick(members)).distinct()
 
 
 def parameter_count(signature: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as X
+from tessera.sources.scratch import keep
 
 SYMBOL_BONUS = 6
 
@@ -35,15 +36,19 @@ def _top(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 def replay(cases_: DataFrame, files: DataFrame, symbols: DataFrame, n_files: int = 12, n_symbols: int = 8) -> DataFrame:
     """(hash, recall, first_hit_rank, symbol_hit, candidate_hit, retrievable) of each case: files (path, size_bytes) ranked
-    by name and raised or added by the symbols (path, name, kind, signature, line_start) that the task recalls."""
+    by name and raised or added by the symbols (path, name, kind, signature, line_start) that the task recalls. The cases,
+    as many as were asked for, and what each finds are written down first, as they are used in several places."""
+    cases_ = keep(cases_, "cases")
     q = F.broadcast(cases_.select("hash", "task"))
     terms = X.selective_terms("task")
     f = files.crossJoin(q).withColumn("lexical", P.file_score(F.col("path"), terms)).where("lexical > 0")
     f = f.withColumn("relevance", P.relevance(F.col("lexical"), F.lit(None).cast("int"), F.col("size_bytes")))
     candidates = _top(f, n_files, F.desc("relevance"), F.col("path")).select("hash", "path", "size_bytes", "lexical")
+    candidates = keep(candidates, "candidates")
     score = X.symbol_score(F.col("name"), F.col("path"), F.col("kind"), F.col("signature"), X.query_terms("task"), F.col("task"))
     s = symbols.crossJoin(q).withColumn("score", score).where("score > 0")
     s = _top(s, n_symbols, F.desc("score"), F.col("path"), F.col("line_start")).select("hash", "path").distinct()
+    s = keep(s, "symbols")
     both = candidates.join(s.withColumn("bonus", F.lit(SYMBOL_BONUS)), ["hash", "path"], "full")
     lexical = F.coalesce("lexical", F.lit(0)) + F.coalesce("bonus", F.lit(0))
     pack = _top(both.withColumn("relevance", P.relevance(lexical, F.lit(None).cast("int"), F.col("size_bytes"))), 10**6, F.desc("relevance"), F.col("path"))

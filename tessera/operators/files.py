@@ -62,14 +62,19 @@ def inline_tests(symbols: DataFrame) -> DataFrame:
 
 
 def affected_tests(files: DataFrame, known: DataFrame, stored: DataFrame, inline: DataFrame, limit: int = 5) -> DataFrame:
-    """(test_path, score, reason) of some source files: stored mappings (path, test_path, score, reason) and those that are
-    found anew, the best reason for each test; a file with tests of its own is one."""
-    found = tests_of(files, known).withColumn("reason", F.when(F.col("score") >= 40, "same stem").when(F.col("score") >= 25, "stem in test name").otherwise("stem in test path"))
+    """(task_id, test_path, score, reason) of the source files of tasks (task_id, path): stored mappings (path, test_path,
+    score, reason) and those that are found anew, the best reason for each test; a file with tests of its own is one. Tests
+    are looked for once a file, however many tasks have it."""
+    paths = files.select("path").distinct()
+    found = tests_of(paths, known).withColumn("reason", F.when(F.col("score") >= 40, "same stem").when(F.col("score") >= 25, "stem in test name").otherwise("stem in test path"))
     w = Window.partitionBy("path").orderBy(F.desc("score"), "test_path")
-    kept = stored.join(files.select("path"), "path", "left_semi").withColumn("k", F.row_number().over(w)).where(F.col("k") <= max(limit, 32)).drop("k")
-    own = inline.join(files.select("path"), "path", "left_semi").select("path", F.col("path").alias("test_path"), F.lit(60).alias("score"), F.lit("tests inside").alias("reason"))
+    kept = stored.join(paths, "path", "left_semi").withColumn("k", F.row_number().over(w)).where(F.col("k") <= max(limit, 32)).drop("k")
+    own = inline.join(paths, "path", "left_semi").select("path", F.col("path").alias("test_path"), F.lit(60).alias("score"), F.lit("tests inside").alias("reason"))
     both = kept.select("path", "test_path", F.col("score").cast("int").alias("score"), "reason").unionByName(found).unionByName(own)
-    return best_per_path(both).orderBy(F.desc("score"), "test_path").limit(limit).select("test_path", "score", "reason")
+    each = files.select("task_id", "path").distinct().join(both, "path").groupBy("task_id", "test_path").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("reason"))).alias("first"))
+    w = Window.partitionBy("task_id").orderBy(F.desc("score"), "test_path")
+    each = each.select("task_id", "test_path", (-F.col("first.less")).alias("score"), "first.reason")
+    return each.withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).drop("k")
 
 
 def first_best(tests: DataFrame) -> DataFrame:

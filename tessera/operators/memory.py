@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.sources.scratch import keep
+
+SIDE_BLOCK = 512  # facts of a side that a task compares with as many of the other
 
 
 def duplicate_groups(active: DataFrame) -> DataFrame:
@@ -23,36 +26,74 @@ def consolidation(active: DataFrame) -> DataFrame:
     return keyed.join(newest.select("key", F.col("newest.id").alias("superseded_by")), "key").where("id <> superseded_by").select("id", "superseded_by")
 
 
-def contradictions(active: DataFrame, signals=X.SIGNALS, least_shared: int = 2, some: DataFrame | None = None) -> DataFrame:
-    """(newer, older, signal, shared): pairs of facts with opposing words and enough meaningful terms in common. Facts
-    meet by an equi-join on the signal, sides opposed. With ``some`` (id), a few facts, only pairs of which one is among
-    these are looked for."""
-    told = active.select("id", "created_at_ms", X.query_terms("text").alias("all"), X.meaningful_terms("text").alias("terms"))
+def fact_classes(active: DataFrame, signals=X.SIGNALS) -> DataFrame:
+    """(id, created_at_ms, class, terms, sides): facts with a signal word; those with the same meaningful terms and the same
+    sides of the signals are one class, however their texts are worded. A side is (signal, 0 or 1)."""
+    told = active.select("id", "created_at_ms", X.query_terms("text").alias("all"), F.sort_array(X.meaningful_terms("text")).alias("terms"))
     sides = [F.when(F.array_contains("all", w), F.struct(F.lit(i).alias("signal"), F.lit(s).alias("side"))) for i, (a, b, _) in enumerate(signals) for s, w in ((0, a), (1, b))]
-    sided = told.select("id", "created_at_ms", "terms", F.explode(F.array_compact(F.array(*sides))).alias("s")).select("id", "created_at_ms", "terms", "s.signal", "s.side")
-    a, b = sided.where("side = 0").alias("a"), sided.where("side = 1").alias("b")
-    if some is not None:
-        chosen = F.broadcast(some.select(F.col("id").alias("chosen"), F.lit(True).alias("is_chosen")))
-        sided = sided.join(chosen, F.col("id") == F.col("chosen"), "left").drop("chosen")
-        a, b = sided.where("side = 0").alias("a"), sided.where("side = 1").alias("b")
-    opposed = (F.col("a.signal") == F.col("b.signal")) & (F.col("a.id") != F.col("b.id"))
-    if some is not None:  # the chosen of either side against all of the other
-        both = lambda x, y, more: x.alias("a").join(y.alias("b"), opposed & more)
-        met = both(sided.where("side = 0 and is_chosen"), sided.where("side = 1"), F.lit(True)).select("a.*", *(F.col(f"b.{c}").alias(f"b_{c}") for c in sided.columns))
-        more = both(sided.where("side = 0 and is_chosen is null"), sided.where("side = 1 and is_chosen"), F.lit(True)).select("a.*", *(F.col(f"b.{c}").alias(f"b_{c}") for c in sided.columns))
-        rows = met.unionByName(more).select(F.struct(*sided.columns).alias("a"), F.struct(*(F.col(f"b_{c}").alias(c) for c in sided.columns)).alias("b"))
+    sided = told.select("id", "created_at_ms", "terms", F.array_compact(F.array(*sides)).alias("sides")).where(F.size("sides") > 0)
+    return sided.withColumn("class", F.sha2(F.to_json(F.struct("terms", "sides")), 256))
+
+
+def _opposed(left: DataFrame, right: DataFrame, least_shared: int) -> DataFrame:
+    """(a, b, signal, shared) of the classes (class, terms, signal) of one side and of the other that share enough terms.
+
+    Facts on opposite sides that talk of anything common share their most usual words, so lists by word would name a pair
+    once for each of these; it is cheaper to compare term sets. Both sides are cut into blocks by hash, and a task gets a
+    block of each, never a whole signal."""
+    parts = lambda d, name: d.groupBy("signal").agg(F.ceil(F.count("*") / SIDE_BLOCK).cast("int").alias(name))
+    counts = parts(left, "m").join(parts(right, "n"), "signal")
+    block = lambda d, own: d.join(counts, "signal").withColumn("of", F.pmod(F.xxhash64("class"), F.col(own)).cast("int"))
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    x = block(left, "m").select("signal", F.col("of").alias("i"), every("n").alias("j"), F.col("class").alias("a"), F.col("terms").alias("a_terms"))
+    y = block(right, "n").select("signal", every("m").alias("i"), F.col("of").alias("j"), F.col("class").alias("b"), F.col("terms").alias("b_terms"))
+    both = x.join(y, ["signal", "i", "j"]).withColumn("shared", F.array_intersect("a_terms", "b_terms"))
+    return both.where(F.size("shared") >= least_shared).select("a", "b", "signal", F.array_join(F.sort_array("shared"), " ").alias("shared"))
+
+
+def class_conflicts(classes: DataFrame, least_shared: int = 2, some: DataFrame | None = None) -> DataFrame:
+    """(a, b, signal, shared): pairs of classes in conflict, a on the first word's side, each with its first signal. With
+    ``some`` (class) only pairs of which one is among these."""
+    once = classes.groupBy("class").agg(F.first("terms").alias("terms"), F.first("sides").alias("sides"))
+    sided = once.select("class", "terms", F.explode("sides").alias("s")).select("class", "terms", "s.signal", "s.side")
+    side = lambda d, k: d.where(F.col("side") == k).drop("side")
+    if some is None:
+        met = _opposed(side(sided, 0), side(sided, 1), least_shared)
     else:
-        rows = a.join(b, opposed).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
-    pairs = rows.where(F.size(F.array_intersect("a.terms", "b.terms")) >= least_shared)
-    later = (F.col("a.created_at_ms") > F.col("b.created_at_ms")) | ((F.col("a.created_at_ms") == F.col("b.created_at_ms")) & (F.col("a.id") < F.col("b.id")))
-    rows = pairs.select(
-        F.when(later, F.col("a.id")).otherwise(F.col("b.id")).alias("newer"),
-        F.when(later, F.col("b.id")).otherwise(F.col("a.id")).alias("older"),
-        F.col("a.signal").alias("signal"),
-        F.array_join(F.sort_array(F.array_intersect("a.terms", "b.terms")), " ").alias("shared"),
-    )
+        chosen, rest = (sided.join(some.select("class").distinct(), "class", how) for how in ("left_semi", "left_anti"))
+        met = _opposed(side(chosen, 0), side(sided, 1), least_shared).unionByName(_opposed(side(rest, 0), side(chosen, 1), least_shared))
+    return met.groupBy("a", "b").agg(F.min("signal").alias("signal"), F.first("shared").alias("shared"))
+
+
+def contradiction_classes(active: DataFrame, signals=X.SIGNALS, least_shared: int = 2) -> tuple[DataFrame, DataFrame]:
+    """((left, right, signal, shared, pairs), (class, id)): conflicts between classes, each named by its smallest fact, with
+    the number of pairs of facts they stand for, and the facts of each class. Copies add to the membership only."""
+    facts = keep(fact_classes(active, signals), "facts")
+    named = facts.groupBy("class").agg(F.min("id").alias("name"), F.count("*").alias("n"))
+    of = lambda c, name: named.select(F.col("class").alias(c), F.col("name").alias(name), F.col("n").alias(f"n_{c}"))
+    met = class_conflicts(facts, least_shared).join(of("a", "left"), "a").join(of("b", "right"), "b")
+    n = F.when(F.col("a") == F.col("b"), (F.col("n_a") * (F.col("n_a") - 1) / 2).cast("long")).otherwise(F.col("n_a") * F.col("n_b")).alias("pairs")
+    names = F.array(*(F.lit(x) for *_, x in signals))
+    members = facts.join(named, "class").select(F.col("name").alias("class"), "id")
+    return met.select("left", "right", F.element_at(names, F.col("signal") + 1).alias("signal"), "shared", n).where("pairs > 0"), members
+
+
+def contradictions(active: DataFrame, signals=X.SIGNALS, least_shared: int = 2, some: DataFrame | None = None) -> DataFrame:
+    """(newer, older, signal, shared): pairs of facts with opposing words and enough meaningful terms in common; the pairs of
+    ``class_conflicts`` for every member of the classes, so as many rows as there are pairs. With ``some`` (id) only pairs
+    of which one is among these facts."""
+    facts = keep(fact_classes(active, signals), "facts")
+    chosen = None if some is None else facts.join(some.select("id").distinct(), "id", "left_semi")
+    met = class_conflicts(facts, least_shared, chosen)
+    of = lambda c: facts.select(F.col("class").alias(c), F.col("id").alias(f"{c}_id"), F.col("created_at_ms").alias(f"{c}_at"))
+    rows = met.join(of("a"), "a").join(of("b"), "b").where("a_id <> b_id")
+    if some is not None:
+        is_one = lambda c: some.select(F.col("id").alias(f"{c}_id"), F.lit(True).alias(f"{c}_one")).distinct()
+        rows = rows.join(is_one("a"), "a_id", "left").join(is_one("b"), "b_id", "left").where("a_one or b_one")
+    later = (F.col("a_at") > F.col("b_at")) | ((F.col("a_at") == F.col("b_at")) & (F.col("a_id") < F.col("b_id")))
+    pairs = rows.select(F.when(later, F.col("a_id")).otherwise(F.col("b_id")).alias("newer"), F.when(later, F.col("b_id")).otherwise(F.col("a_id")).alias("older"), "signal", "shared")
     names = F.array(*(F.lit(n) for *_, n in signals))
-    return rows.groupBy("newer", "older").agg(F.min("signal").alias("i"), F.first("shared").alias("shared")).select("newer", "older", F.element_at(names, F.col("i") + 1).alias("signal"), "shared")
+    return pairs.groupBy("newer", "older").agg(F.min("signal").alias("i"), F.first("shared").alias("shared")).select("newer", "older", F.element_at(names, F.col("i") + 1).alias("signal"), "shared")
 
 
 def retire(memories: DataFrame, pairs: DataFrame, now_ms: int) -> DataFrame:

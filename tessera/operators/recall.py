@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.functions import vectors as V
+from tessera.operators import vectorindex
 
 # BM25 parameters and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -47,13 +47,9 @@ def bm25(docs: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int = POOL) -> DataFrame:
-    """(query_id, id, score, vector_rank): exact cosine top k of (id, embedding) for (query_id, query_vector). The
-    queries are a stated set that meets all rows; vectors that are not finite or of another width drop out."""
-    q = queries.select("query_id", V.l2_normalise("query_vector").alias("q"))
-    d = vectors.select("id", V.l2_normalise("embedding").alias("v"))
-    scored = d.crossJoin(F.broadcast(q)).where(F.size("v") == F.size("q")).select("query_id", "id", F.round(V.dot("q", "v"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.where(~F.isnan("score")).withColumn("vector_rank", F.row_number().over(w)).where(F.col("vector_rank") <= k)
+    """(query_id, id, score, vector_rank): exact cosine top k of (id, embedding) for (query_id, query_vector), in blocks of
+    both; see ``vectorindex`` for the rules and for a way that does not look at every vector."""
+    return vectorindex.exact(vectors, queries, k)
 
 
 def blend(docs: DataFrame, queries: DataFrame, fts: DataFrame, vector: DataFrame | None = None, limit: int = 10) -> DataFrame:

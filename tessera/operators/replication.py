@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import sync
+from tessera.sources.scratch import keep
 
 # The tables of each class in their order, the classes that stand by default and those that stand for no table.
 CLASSES = {
@@ -170,6 +171,21 @@ def plan(tables: Mapping[str, DataFrame], classes_: list[str]) -> DataFrame:
     return out
 
 
+def executed(operation: str, local: Mapping[str, DataFrame], remote: Mapping[str, DataFrame], config: Config, write: Callable[[str, DataFrame], None]) -> tuple[DataFrame, DataFrame]:
+    """(stats, (table, reason, n)) of a run that stores each merged table, with why rows were passed over: those that the
+    table's policy left as they were, and those without their parent. Both have a few rows a table."""
+    told = run(operation, local, remote, config, write).collect()
+    rows = [(r["table"], "local_row_newer_or_equal" if TABLES[r["table"]].pull == "newer" else "local_row_preserved", r["skipped"]) for r in told if operation == "pull" and r["skipped"]]
+    offered, to = (local, remote) if operation == "push" else (remote, local)
+    for r in told:
+        name, parent = r["table"], TABLES[r["table"]].parent
+        if parent and parent[0] in to:
+            rows += [(name, x["reason"], x["n"]) for x in accepted(name, shared(name, offered[name]), to[parent[0]])[1].collect()]
+    spark = next(iter(local.values())).sparkSession
+    stats_ = spark.createDataFrame(told, "table string, before long, after long, inserted long, updated long, skipped long")
+    return stats_, spark.createDataFrame(rows, "table string, reason string, n long")
+
+
 def run(operation: str, local: Mapping[str, DataFrame], remote: Mapping[str, DataFrame], config: Config, write: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """Pushes or pulls all tables of the configured classes and returns their stats; ``write`` stores each merged table.
     Without it the run is dry."""
@@ -184,6 +200,7 @@ def run(operation: str, local: Mapping[str, DataFrame], remote: Mapping[str, Dat
         parent = TABLES[name].parent
         parents = (remote if operation == "push" else local).get(parent[0]) if parent else None
         after = (push if operation == "push" else pull)(name, mine, theirs, parents)
+        after = after if write is None else keep(after, name)  # merged once
         one = stats(name, to, after, shared(name, offered))
         out = one if out is None else out.unionByName(one)
         if write is not None:

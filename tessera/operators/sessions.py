@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.containment import containing
 
 
 def facts(sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -58,15 +59,18 @@ def diagnostic_rank(diagnostics: DataFrame, query: str, paths: DataFrame, newest
 
 
 def normalise_diagnostics(rows: DataFrame) -> DataFrame:
-    """Redacted, severities known, lines positive; rows without a message drop out. (source, severity, line_start, message)"""
-    s = F.lower(F.btrim("severity"))
-    message = F.btrim(X.redact("message"))
-    return rows.select(
-        F.replace(F.lower(F.btrim("source")), F.lit(" "), F.lit("_")).alias("source"),
-        F.when(s.isin("error", "warning", "note", "info", "help"), s).otherwise("error").alias("severity"),
-        F.when(F.col("line_start") > 0, F.col("line_start")).alias("line_start"),
-        message.alias("message"),
-    ).where("message <> ''")
+    """Redacted, severities known, lines positive and in order; rows without a message drop out. Of (source, severity,
+    line_start, message) and whatever other columns there are; a line_end before its start is left out."""
+    s, start = F.lower(F.btrim("severity")), F.when(F.col("line_start") > 0, F.col("line_start"))
+    told = {
+        "source": F.replace(F.lower(F.btrim("source")), F.lit(" "), F.lit("_")),
+        "severity": F.when(s.isin("error", "warning", "note", "info", "help"), s).otherwise("error"),
+        "line_start": start,
+        "message": F.btrim(X.redact("message")),
+    }
+    if "line_end" in rows.columns:
+        told["line_end"] = F.when(F.col("line_end") >= F.coalesce(start, F.lit(1)), F.col("line_end"))
+    return rows.withColumns(told).where("message <> ''")
 
 
 def freshness(files: DataFrame, indexed: DataFrame, limit: int = 12, slack_ms: int = 1000) -> DataFrame:
@@ -83,20 +87,28 @@ FRESHNESS_RANK = {"edit_after_context": 4, "stale_context": 3, "stale_index": 2,
 
 
 def freshness_signals(paths: DataFrame, files: DataFrame, indexed: DataFrame, edits: DataFrame, packed_at_ms: int, limit: int = 12, slack_ms: int = 1000) -> DataFrame:
-    """(path, kind, modified_at_ms) of selected paths: edited after the last pack (edits: detail, at), changed on disk after
-    it (files: path, modified_at_ms), changed after their newest index entry, or in none."""
-    chosen = paths.select("path").distinct()
-    disk = chosen.join(files, "path", "left")
+    """(task_id, path, kind, modified_at_ms) of selected paths (task_id, path): edited after the last pack (edits: detail,
+    at), changed on disk after it (files: path, modified_at_ms), changed after their newest index entry, or in none. What
+    is known of a path is looked up once, however many tasks have it."""
+    chosen = paths.select("task_id", "path").distinct()
+    once = chosen.select("path").distinct()
+    disk = once.join(files, "path", "left")
     many = 3 * limit
-    index = freshness(disk, indexed, many, slack_ms)
-    aged = disk.where(F.col("modified_at_ms") > packed_at_ms + slack_ms).orderBy("path").limit(many).select("path", F.lit("stale_context").alias("kind"), "modified_at_ms")
-    edited = edits_after(chosen, edits, packed_at_ms).select("path", F.lit("edit_after_context").alias("kind"), F.col("edited_at_ms").alias("modified_at_ms"))
+    first = lambda d, *order: chosen.join(d, "path").withColumn("k", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
+    newest = indexed.groupBy("path").agg(F.max("indexed_at_ms").alias("indexed_at_ms"))
+    kind = F.when(F.col("indexed_at_ms").isNull(), "missing_index").when(F.col("modified_at_ms") > F.col("indexed_at_ms") + slack_ms, "stale_index")
+    index = first(disk.join(newest, "path", "left").withColumn("kind", kind).where("kind is not null"), F.col("kind") == "missing_index", F.desc_nulls_last("modified_at_ms"), "path")
+    aged = first(disk.where(F.col("modified_at_ms") > packed_at_ms + slack_ms).withColumn("kind", F.lit("stale_context")), "path")
+    edited = chosen.join(edits_after(once, edits, packed_at_ms), "path").select("task_id", "path", F.lit("edit_after_context").alias("kind"), F.col("edited_at_ms").alias("modified_at_ms"))
+    cut = lambda d: d.where(F.col("k") <= many).select("task_id", "path", "kind", "modified_at_ms")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in FRESHNESS_RANK.items() for x in kv]), F.col("kind"))
-    return index.unionByName(aged).unionByName(edited).orderBy(F.desc(rank), F.desc_nulls_last("modified_at_ms"), "path").limit(limit)
+    w = Window.partitionBy("task_id").orderBy(F.desc(rank), F.desc_nulls_last("modified_at_ms"), "path")
+    return cut(index).unionByName(cut(aged)).unionByName(edited).withColumn("k", F.row_number().over(w)).where(F.col("k") <= limit).drop("k")
 
 
 def edits_after(paths: DataFrame, events: DataFrame, packed_at_ms: int) -> DataFrame:
-    """(path, edited_at_ms): the newest edit of a path after the last pack. Event details are split into path-like
-    tokens, so events meet paths by an equi-join."""
-    told = events.where(F.col("at") > packed_at_ms).select("at", F.explode(F.array_distinct(F.regexp_extract_all("detail", F.lit(r"[\w./-]+"), F.lit(0)))).alias("path"))
-    return told.join(paths.select("path").distinct(), "path").groupBy("path").agg(F.max("at").alias("edited_at_ms"))
+    """(path, edited_at_ms): the newest edit of a path after the last pack, an event (detail, at) whose detail contains the
+    path, in whatever words or longer path it stands. Equal details are one."""
+    told = events.where(F.col("at") > packed_at_ms).groupBy("detail").agg(F.max("at").alias("at")).withColumn("key", F.sha2("detail", 256))
+    met = containing(told.select("key", F.col("detail").alias("text")), paths.select(F.col("path").alias("needle")))
+    return met.join(told.select("key", "at"), "key").groupBy(F.col("needle").alias("path")).agg(F.max("at").alias("edited_at_ms"))

@@ -53,11 +53,13 @@ def vector_topk(spark, d):
 
 def eval_metrics(spark, d):
     docs, q = _docs(spark, d), M.query_set(spark, d)
-    # an item is expected where its whole text stands; its first long token brings the two together
-    word = lambda c: F.get(F.sort_array(F.transform(F.array_distinct(X.tokens(c)), lambda t: F.struct(-F.length(t), t.alias("t")))), F.lit(0))["t"]
-    keyed = q.select("query_id", "query", word("query").alias("term"))
-    at = docs.select("id", "text", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
-    expected = at.join(keyed, "term").where(F.contains("text", F.col("query"))).select("query_id", "id")
+    # an item is expected where its whole text stands; that of its inner words which fewest documents have brings the two together
+    words = X.tokens("query")
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
+    wanted = q.select("query_id", F.explode(F.array_distinct(inner)).alias("term"))
+    at = docs.select("id", F.explode(F.array_distinct(X.tokens("text"))).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    rare = wanted.join(at.groupBy("term").agg(F.count("*").alias("n")), "term").groupBy("query_id").agg(F.min(F.struct("n", "term")).alias("r")).select("query_id", "r.term")
+    expected = at.join(rare, "term").join(docs.select("id", "text"), "id").join(q, "query_id").where(F.contains("text", F.col("query"))).select("query_id", "id")
     return recall.evaluate(recall.blend(docs, q, recall.bm25(docs, q)), expected)
 
 
@@ -95,6 +97,13 @@ def contradictions_corpus(spark, d):
     return memory.contradictions(M.active(M.memories(spark, d)), CORPUS_SIGNALS).select("newer", "older", "signal", F.md5(F.col("shared").cast("binary")).alias("shared"))
 
 
+def contradiction_classes(spark, d):
+    """Conflicts between classes of facts, with how many pairs each stands for."""
+    met, members = memory.contradiction_classes(M.active(M.memories(spark, d)), CORPUS_SIGNALS)
+    size = members.groupBy(F.col("class").alias("left")).agg(F.count("*").alias("facts"))
+    return met.join(size, "left").select("left", "right", "signal", F.md5(F.col("shared").cast("binary")).alias("shared"), "pairs", "facts")
+
+
 def forget_matches(spark, d):
     return memory.forget(M.active(M.memories(spark, d)), "the garden thnt onnd eronst", 25, 77).select("id", F.col("score").cast("long").alias("score"), "valid_to")
 
@@ -106,7 +115,7 @@ def active_counts(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (recall_bm25, recall_blend, recall_hybrid, vector_topk, eval_metrics, term_tokens, token_estimate, redact_documents, content_keys, hashed_embedding, dup_groups, consolidate_plan, contradictions_corpus, forget_matches, active_counts)
+    for f in (recall_bm25, recall_blend, recall_hybrid, vector_topk, eval_metrics, term_tokens, token_estimate, redact_documents, content_keys, hashed_embedding, dup_groups, consolidate_plan, contradictions_corpus, contradiction_classes, forget_matches, active_counts)
 }
 
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_-]+'), lambda t: t <> '')"
@@ -156,6 +165,18 @@ o AS (SELECT CASE WHEN xt > yt OR (xt = yt AND xi < yi) THEN xi ELSE yi END AS n
 SELECT newer, older, min_by(name, i) AS signal, {shared} AS shared FROM o GROUP BY newer, older"""
 
 
+def _class_sql(facts: str, signals) -> str:
+    stop = ", ".join(f"'{w}'" for w in X.STOP_TERMS + X.SIGNAL_TERMS)
+    return f"""
+WITH f AS ({facts}), t AS (SELECT id, {terms('text')} AS a FROM f),
+m AS (SELECT id, list_sort(list_distinct(list_filter(a, lambda x: NOT list_contains([{stop}], x)))) AS m, list_filter([{', '.join(f"CASE WHEN list_contains(a, '{w}') THEN {2 * i + k} END" for i, (x, y, _) in enumerate(signals) for k, w in ((0, x), (1, y)))}], lambda z: z IS NOT NULL) AS sides FROM t),
+c AS (SELECT min(id) AS name, count(*) AS n, m, sides FROM m WHERE len(sides) > 0 GROUP BY m, sides),
+s(i, name) AS (VALUES {_values([(i, x) for i, (*_, x) in enumerate(signals)])}),
+p AS (SELECT x.name AS "left", y.name AS "right", min_by(s.name, i) AS signal, md5(any_value(array_to_string(list_sort(list_intersect(x.m, y.m)), ' '))) AS shared, any_value(CASE WHEN x.name = y.name THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END)::BIGINT AS pairs, any_value(x.n) AS facts
+      FROM s JOIN c x ON list_contains(x.sides, 2 * i) JOIN c y ON list_contains(y.sides, 2 * i + 1) WHERE len(list_intersect(x.m, y.m)) >= 2 GROUP BY x.name, y.name)
+SELECT * FROM p WHERE pairs > 0"""
+
+
 _ACTIVE = "SELECT doc_id AS id, doc_id * 1000 AS created_at_ms, text FROM documents WHERE doc_id % 10 <> 0"
 _NORM = r"lower(regexp_replace(trim(text, E' \t\n\r\x0b\x0c'), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
 _FNV = "list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(range(1, strlen(hex(encode({0}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::INT::HUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 435 + (xor(h::UBIGINT, b::UBIGINT)::HUGEINT % 16777216) * 1099511627776) % 18446744073709551616)"
@@ -176,6 +197,7 @@ ORACLES = {
     "dup_groups": f"WITH f AS ({_ACTIVE}) SELECT * FROM (SELECT sha256({_NORM}) AS key, count(*) OVER (PARTITION BY {_NORM}) AS n, id FROM f) WHERE n > 1",
     "consolidate_plan": f"WITH f AS ({_ACTIVE}), w AS (SELECT id, first_value(id) OVER w AS superseded_by, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY {_NORM} ORDER BY created_at_ms DESC, id DESC)) SELECT id, superseded_by FROM w WHERE n > 1",
     "contradictions_corpus": _contradiction_sql(_ACTIVE, CORPUS_SIGNALS, "md5(min_by(shared, i))"),
+    "contradiction_classes": _class_sql(_ACTIVE, CORPUS_SIGNALS),
     "forget_matches": f"WITH f AS ({_ACTIVE}), s AS (SELECT id, created_at_ms, len(list_filter({terms(chr(39) + 'the garden thnt onnd eronst' + chr(39))}, lambda t: contains(lower(text), t))) + CASE WHEN contains(lower(text), 'the garden thnt onnd eronst') THEN 10 ELSE 0 END AS score FROM f) SELECT id, score, '77' AS valid_to FROM s WHERE score > 0 ORDER BY score DESC, created_at_ms DESC, id LIMIT 25",
     "active_counts": "WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) SELECT source AS kind, count(*) AS facts, count(*) FILTER (doc_id % 10 <> 0) AS active, round(avg(CASE WHEN q = 0 THEN 0.5 ELSE 1.0 END), 6) AS confidence FROM documents LEFT JOIN l USING (doc_id) GROUP BY source",
 }

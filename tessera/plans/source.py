@@ -73,7 +73,7 @@ def output_diagnostics(spark, d):
 def diagnostics_normalised(spark, d):
     e, k = M.read(spark, d, "events").select("event_id", "user_id"), F.col("event_id")
     rows = e.select(_pick(RAW_SOURCES, k).alias("source"), _pick(SEVERITIES, k).alias("severity"), (k % 7 - 2).alias("line_start"), _pick(MESSAGES, k, F.col("user_id")).alias("message"))
-    return sessions.normalise_diagnostics(rows)
+    return sessions.normalise_diagnostics(rows).select("source", "severity", "line_start", "message")
 
 
 def memory_writes(spark, d):

@@ -38,6 +38,13 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks, (task_id, task): each item of the benchmark with the names of a part and a supplier."""
+    item = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), "text")
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), "p_name")
+    return item.join(part, "task_id").select("task_id", F.concat("text", F.lit(" in "), "p_name", F.lit(" for user supplier_"), F.col("task_id").cast("string")).alias("task"))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code symbols: path, name, kind, line_start, line_end, signature."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
@@ -180,6 +187,14 @@ def record_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.concat(F.lit("s"), key).alias("id"), F.lit("file").alias("kind"), F.concat(F.lit("src/supplier_"), key, F.lit(".rs")).alias("locator"), (F.col("s_suppkey") * 1000).alias("created_at_ms"))
 
 
+def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sessions told of edits, (detail, at): paths as words, in quotes, and as part of a longer one."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("pkg/supplier_"), F.col("s_suppkey").cast("string"), F.lit(".go")).alias("path"))
+    k = F.col("s_suppkey") % 3
+    told = F.when(k == 0, F.concat("path", F.lit(" again"))).when(k == 1, F.concat(F.lit('"./'), "path", F.lit('"+x'))).otherwise(F.concat(F.lit("copy of("), "path", F.lit(".bak)")))
+    return s.select(F.concat(F.lit("edited "), told).alias("detail"), (F.col("s_suppkey") * 200_000).alias("at"))
+
+
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status lines of a worktree, (code, rest), as git writes them."""
     k = F.col("n_nationkey")

@@ -83,25 +83,53 @@ def scan(spark: SparkSession, root: str, most_bytes: int = 1_000_000, limit: int
     return files.where(~P.is_skipped("path") & ~ignored("path", rules)).select("path", "size_bytes", P.language("path").alias("language"), "text")
 
 
+def modified(spark: SparkSession, root: str, limit: int | None = 5000) -> DataFrame:
+    """(path, modified_at_ms) of the files that ``scan`` looks at."""
+    rows = [(p, f.stat().st_mtime_ns // 1_000_000) for p in list_files(root)[:limit] if (f := Path(root, p)).is_file()]
+    return spark.createDataFrame(rows, "path string, modified_at_ms long")
+
+
 def git_log(root: str, n: int) -> list[str]:
     """Lines of the newest commits: a header of hash and subject, then the files."""
     out = subprocess.run(["git", "-C", root, "log", "--no-merges", "--name-only", f"-n{n}", "--format=%H%x1f%s"], capture_output=True, text=True, check=True)
     return out.stdout.splitlines()
 
 
-def commits(lines: DataFrame) -> DataFrame:
-    """(hash, subject, files) of (line, text): files belong to the last header before them. Headers number the lines by
-    a running count, so one commit log is one window; its length is what was asked for."""
+LINES = 4096
+
+
+def last_before(lines: DataFrame, mark: Column, width: int = LINES) -> DataFrame:
+    """Adds ``last`` to (line, ...): the number of the last line up to it that is marked, null before the first. Lines are
+    whole numbers, each once. A window runs over stretches of so many numbers, another over what these end with, a
+    stretch of them at a time, and a third over the ends of those: no task sees all lines, the last a row for each
+    ``width`` * ``width`` of them."""
     from pyspark.sql import Window
 
+    def carried(rows: DataFrame, at: str, value: str) -> DataFrame:
+        """Adds ``before`` to (at, value): the largest value of all smaller ``at``."""
+        w = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("before", F.max(value).over(w)).select(at, "before")
+
+    stretch = F.floor(F.col("line") / width)
+    rows = lines.withColumns({"stretch": stretch, "own": F.when(mark, F.col("line"))})
+    inside = Window.partitionBy("stretch").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("stretch").agg(F.max("own").alias("end")).withColumn("group", F.floor(F.col("stretch") / width))
+    groups = carried(ends.groupBy("group").agg(F.max("end").alias("end")), "group", "end").withColumnRenamed("before", "far")
+    near = Window.partitionBy("group").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("near", F.max("end").over(near)).join(groups, "group").select("stretch", F.coalesce("near", "far").alias("before"))
+    out = rows.withColumn("here", F.max("own").over(inside)).join(ends, "stretch")
+    return out.select(*lines.columns, F.coalesce("here", "before").alias("last"))
+
+
+def commits(lines: DataFrame) -> DataFrame:
+    """(hash, subject, files) of (line, text): files belong to the last header before them."""
     head = F.contains("text", F.lit("\x1f"))
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    g = lines.withColumn("k", F.sum(head.cast("int")).over(w)).where("k > 0")
-    return g.groupBy("k").agg(
+    g = last_before(lines, head).where("last is not null")
+    return g.groupBy("last").agg(
         F.max(F.when(head, F.split_part("text", F.lit("\x1f"), F.lit(1)))).alias("hash"),
         F.max(F.when(head, F.split_part("text", F.lit("\x1f"), F.lit(2)))).alias("subject"),
         F.sort_array(F.collect_list(F.when(~head & (F.btrim("text") != ""), F.col("text")))).alias("files"),
-    ).drop("k")
+    ).drop("last")
 
 
 def status(lines: DataFrame) -> DataFrame:

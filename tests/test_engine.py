@@ -10,11 +10,13 @@ import urllib.request
 import pytest
 
 from tessera.adapters import commands
-from tessera.adapters.store import Store, install
+from tessera.adapters.store import Conflict, Store, install
 from tessera.functions import paths as P
 from tessera.functions import vectors as V
 from tessera.operators import code, edits, lifecycle, moves, replication
+from tessera.sources import remote
 from tessera.sources import workspace as W
+from tessera.sources.remote import RemoteStore
 from tessera.streaming import background, events
 
 
@@ -167,7 +169,8 @@ def test_index_symbols_and_context(engine):
     assert [s["name"] for s in engine.symbols("helper")] == ["helper"] and {r["path"] for r in engine.impact("helper")} == {"src/base.py", "src/main.py"}
     engine.remember("the base helper is slow")
     doc = json.loads(engine.context("base helper", 2000))
-    assert doc["relevant_files"][0]["label"] == "src/base.py" and doc["relevant_memories"] and {c["source_type"] for c in doc["citations"]} == {"file", "symbol", "memory"}
+    assert doc["relevant_files"][0]["label"] == "src/base.py" and doc["relevant_memories"] and {c["source_type"] for c in doc["citations"]} >= {"file", "symbol", "memory", "graph", "test", "risk"}
+    assert [x["label"] for x in doc["affected_tests"]] == ["tests/test_base.py"] and any("src/main.py" in x["label"] for x in doc["graph_neighbors"])
     assert "## Relevant files" in commands.context.to_markdown(json.dumps(doc)) and engine.store.read("context_packs").count() == 1
     with pytest.raises(ValueError):
         engine.context("x", 10)
@@ -182,7 +185,11 @@ def test_facts_and_sessions(engine):
     assert not engine.session_event("note", "nobody hears")["recorded"]
     engine.session_start("fix")
     assert engine.hook("post", '{"tool_input":{"file_path":"src/base.py"}}')["recorded"] and engine.run(["git", "no-such-thing"])["status"] != 0
-    assert engine.observe("src/base.py:3:1: error: broken") == 1
+    assert engine.observe("src/base.py:3:1: error: broken password=hunter2222", "run --token abcd1234") == 1 and engine.observe("all is well") == 0
+    seen = engine.store.read("diagnostics").where("path = 'src/base.py'").collect()
+    assert [(r["source"], r["severity"], r["line_start"]) for r in seen] == [("command", "error", 3)] and all("[REDACTED]" in r[c] for r in seen for c in ("message", "command"))
+    told = json.loads(engine.context("fix the broken base", 4000))
+    assert told["diagnostics"] and told["recent_sessions"] and {x["citation_id"] for x in told["risk_signals"]} >= {"risk:structured_diagnostics"}
     assert engine.session_end("password=abcdefgh gone")["session"] and engine.session_promote()["memory"] and engine.session_promote()["memory"] is None
     assert "[REDACTED]" in engine.store.read("sessions").first()["final_summary"]
 
@@ -214,9 +221,30 @@ def test_tools_and_http(engine):
     assert get("/v1/memories")[0] == get("/v1/memories", "wrong")[0] == 401 and get("/v1/memories", "secret")[0] == 200 and get("/v1/memories", "secret", "DELETE")[0] == 405
     n = engine.store.read("entities").count()
     assert get("/v1/storage", "secret", "POST", json.dumps({"entities": [{"id": "e9", "kind": "k", "name": "n"}]}).encode()) == (200, {"entities": 1}) and engine.store.read("entities").count() == n + 1
+    assert get("/v1/records/memories?part=0&of=1")[0] == 401 and get("/v1/records/odd?part=0&of=1", "secret")[0] == 404 and get("/v1/records/memories?part=2&of=2", "secret")[0] == 404
+    # the same reading operators over the same store, through records
+    far = commands.Engine(engine.spark, RemoteStore(engine.spark, f"http://127.0.0.1:{server.server_port}", "secret", 3), engine.root, engine.clock)
+    assert far.store.read("code_symbols").rdd.getNumPartitions() == 3
+    by = lambda rows: sorted(map(str, rows))
+    assert by(far.symbols("helper")) == by(engine.symbols("helper")) and by(far.recall("base helper")) == by(engine.recall("base helper")) and by(far.impact("helper")) == by(engine.impact("helper"))
+    near, there = (json.loads(e.context("base helper", 3000)) for e in (engine, far))
+    assert there["important_symbols"] == near["important_symbols"] and there["relevant_memories"] == near["relevant_memories"]
     server.shutdown()
 
 
+def test_records_in_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "text": "x"}\n\n{"text": "no id"}\n')
+    (tmp_path / "b.json").write_text('{"id": 2, "more": 3}')
+    (tmp_path / "_log").write_text("odd")
+    rows = remote.records(spark, "id long, text string", folder=str(tmp_path))
+    assert sorted(map(tuple, rows.collect()), key=str) == [(1, "x"), (2, None), (None, "no id")] and rows.rdd.getNumPartitions() == 2
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(Exception, match="not a record"):
+        remote.records(spark, "id long", folder=str(tmp_path)).collect()
+    (tmp_path / "none").mkdir()
+    assert remote.records(spark, "id long", folder=str(tmp_path / "none")).count() == 0
+
+
 def test_command_line(engine, tmp_path):
     parse = commands.parser().parse_args
     run = lambda *a: commands.dispatch(engine, parse(["s", *a]))
@@ -236,6 +264,40 @@ def test_replication_between_stores(spark, engine, tmp_path, monkeypatch):
     assert {r["table"]: r["inserted"] for r in engine.sync("pull", str(tmp_path))}["memories"] == 0 and engine.sync("pull", "", True)
 
 
+def test_two_writers_of_one_table(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    one.migrate()
+    a, b = one.read("entities"), two.read("entities")
+    row = lambda s, i: s._rows("entities", {"id": i, "kind": "k", "name": "n", "created_at_ms": 1})
+    one.replace("entities", a.unionByName(row(one, "a")))
+    with pytest.raises(Conflict):
+        two.replace("entities", b.unionByName(row(two, "b")))
+    two.replace("entities", two.read("entities").unionByName(row(two, "b")))
+    assert {r["id"] for r in one.read("entities").collect()} == {"a", "b"}
+
+
+def test_audit_of_conflicts_and_failures(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "one")), Store(spark, str(tmp_path / "two"))
+    for s in (one, two):
+        s.migrate()
+    config = replication.Config("hybrid", "x", "y", ["memories", "sources", "embeddings"])
+    fact = lambda s, i, **k: s._rows("memories", {"id": i, "kind": "fact", "text": "t", "created_at_ms": 1, **k})
+    file = lambda s, p, at: s._rows("discovered_files", {"project_id": "p", "path": p, "size_bytes": at, "updated_at_ms": at})
+    one.replace("memories", fact(one, "m1"))
+    two.replace("memories", fact(two, "m1").unionByName(fact(two, "m2")))
+    one.replace("discovered_files", file(one, "a", 5).unionByName(file(one, "b", 1)))
+    two.replace("discovered_files", file(two, "a", 4).unionByName(file(two, "b", 2)))
+    two.replace("memory_embeddings", two._rows("memory_embeddings", {"memory_id": "m2", "model": "x"}, {"memory_id": "gone", "model": "x"}))
+    told = {r["table"]: (r["inserted"], r["updated"], r["skipped"]) for r in one.synchronise("pull", two, config, 9).collect()}
+    assert told["memories"] == (1, 0, 1) and told["discovered_files"] == (0, 1, 1)
+    assert {(r["table"], r["reason"], r["n"]) for r in one.read("sync_table_conflicts").collect()} == {("memories", "local_row_preserved", 1), ("discovered_files", "local_row_newer_or_equal", 1), ("memory_embeddings", "missing_memory", 2)}
+    with pytest.raises(ValueError):
+        one.synchronise("pull", two, replication.Config("local"), 10)
+    assert [(r["status"], r["started_at_ms"]) for r in one.read("sync_runs").orderBy("started_at_ms").collect()] == [("done", 9), ("failed", 10)]
+    nested = replication.history(one.read("sync_runs"), one.read("sync_table_runs"), one.read("sync_table_conflicts"), 5).where("status = 'done'").first()
+    assert any(c["reason"] == "local_row_preserved" for t in nested["tables"] if t["table"] == "memories" for c in t["conflicts"])
+
+
 def test_embedding_service():
     class Reply:
         def __init__(self, doc):

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import indexing, lifecycle, memory, replication, sessions
+from tessera.functions import vectors as V
+from tessera.operators import embeddings, indexing, lifecycle, memory, replication, sessions
 from tessera.operators.replication import TABLES
+from tessera.sources.scratch import keep
 
 # Fixed order: the steps by which a store came to its tables; each may be repeated.
 MIGRATIONS = [
@@ -206,6 +208,17 @@ class Store:
         self.append("sync_table_conflicts", passed.withColumn("run_id", F.lit(run)))
         return told
 
+    def embed_files(self, sources: DataFrame, provider: embeddings.Provider, model: str, width: int, at_ms: int) -> int:
+        """Brings the embeddings of files (path, text) up to date; how many were embedded."""
+        texts = sources.where("text is not null").select(F.col("path").alias("id"), "text")
+        old = self.read("source_embeddings")
+        table = embeddings.refreshed(old.withColumnRenamed("path", "id"), texts, provider, model, width, key=V.content_key("text"))
+        table = keep(table.withColumnRenamed("id", "path"), "embeddings")
+        fresh = table.join(old.select("path", "model", "dimensions", "content_key"), ["path", "model", "dimensions", "content_key"], "left_anti").count()
+        at = table.join(old.select("path", "model", "content_key", F.col("updated_at_ms").alias("old")), ["path", "model", "content_key"], "left")
+        self.replace("source_embeddings", at.select(F.lit(PROJECT).alias("project_id"), "path", "model", "dimensions", "embedding", "content_key", F.coalesce("old", F.lit(at_ms).cast("long")).alias("updated_at_ms")))
+        return fresh
+
     def status(self) -> dict:
         """Rows by table, and the configuration without its token."""
         config = replication.Config.read(os.environ)

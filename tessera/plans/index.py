@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import containment, recall, sessions, textindex, vectorindex
+from tessera.operators import containment, embeddings, recall, sessions, textindex, vectorindex
 from tessera.plans.recall import ORACLES as _RECALL
 from tessera.plans.recall import _docs, _query_vectors, _vectors
 from tessera.plans.source import _PP
@@ -85,12 +85,28 @@ def remote_diagnostics(spark, d):
     return sessions.diagnostic_rank(g, "purchase error user", some, 1000, 25).select("id", "path", "severity", F.col("score").cast("long").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (stored_recall, index_changes, vector_index_topk, vector_index_recall, paths_in_details, remote_recall, remote_diagnostics)}
+def measured(texts):
+    """A provider that measures: characters and blanks."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+def embeddings_refreshed(spark, d):
+    """The table of embeddings after a third of the texts has changed; what was not embedded anew says -1."""
+    docs = _docs(spark, d).select("id", "text")
+    was = docs.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" once"))).otherwise(F.col("text")))
+    was = was.unionByName(docs.where("id % 7 = 1").select((-1 - F.col("id")).alias("id"), "text"))
+    stored = embeddings.keyed(was, "m", 2).drop("text").withColumn("embedding", F.array(F.lit(-1.0), F.lit(0.0)).cast("array<float>"))
+    out = embeddings.refreshed(stored, docs, measured, "m", 2)
+    return out.select("id", F.get("embedding", F.lit(0)).cast("double").alias("characters"), F.get("embedding", F.lit(1)).cast("double").alias("blanks"))
+
+
+QUERIES = {f.__name__: f for f in (stored_recall, index_changes, vector_index_topk, vector_index_recall, paths_in_details, remote_recall, remote_diagnostics, embeddings_refreshed)}
 
 _WAS = "w AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'once ' || upper(text) ELSE text END AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 7 = 1)"
 EDITED = "es AS (SELECT 'edited ' || CASE s_suppkey % 3 WHEN 0 THEN 'pkg/supplier_' || s_suppkey || '.go again' WHEN 1 THEN '\"./pkg/supplier_' || s_suppkey || '.go\"+x' ELSE 'copy of(pkg/supplier_' || s_suppkey || '.go.bak)' END AS detail, s_suppkey * 200000 AS \"at\" FROM supplier)"
 ORACLES = {
     "stored_recall": _RECALL["recall_bm25"],
+    "embeddings_refreshed": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN length(coalesce(text, ''))::DOUBLE ELSE -1.0::DOUBLE END AS characters, CASE WHEN doc_id % 3 = 0 THEN (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE ELSE 0.0::DOUBLE END AS blanks FROM documents",
     "remote_recall": _RECALL["recall_bm25"],
     "remote_diagnostics": _STORE["diagnostic_rank"],
     "index_changes": f"WITH {_WAS}, n AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), o AS (SELECT id, coalesce(text, '') AS text FROM w) SELECT 'read' AS what, id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.id = n.id AND o.text = n.text) UNION ALL SELECT 'forget', id FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.id = n.id AND o.text = n.text)",

@@ -8,6 +8,7 @@ import urllib.error
 import urllib.request
 
 import pytest
+from pyspark.sql.functions import col as spark_col
 
 from tessera.adapters import commands
 from tessera.adapters.store import Conflict, Store, install
@@ -319,6 +320,35 @@ def test_embedding_service():
             ask(bad)
 
 
+def test_embeddings_follow_their_texts(spark, tmp_path):
+    from tessera.operators import embeddings, vectorindex
+
+    calls = []
+
+    def shaky(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise ConnectionError
+        return [[1.0]] * len(texts) if len(calls) == 2 else [[1.0, float(len(t))] for t in texts]
+
+    assert embeddings.asked(["a", "bb"], shaky, 2, pause_s=0) == [[1.0, 1.0], [1.0, 2.0]] and calls == [2, 2, 2]
+    with pytest.raises(ValueError):
+        embeddings.asked(["a"], lambda t: [], 2, tries=2, pause_s=0)
+    store = Store(spark, str(tmp_path))
+    store.migrate()
+    files = [(f"f{i}", "word " * i) for i in range(9)] + [("none", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    provider = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    assert store.embed_files(frame(files), provider, "m", 2, 5) == 9 and store.embed_files(frame(files), provider, "m", 2, 6) == 0
+    changed = [(p, f"{t} far far away " * 50 if int(p[1:]) % 3 == 0 else t) for p, t in files[:8]]
+    assert store.embed_files(frame(changed), provider, "m", 2, 7) == 3  # a third
+    now = {r["path"]: (r["embedding"][0], r["updated_at_ms"]) for r in store.read("source_embeddings").collect()}
+    assert now == {p: (float(len(t)), 7 if int(p[1:]) % 3 == 0 else 5) for p, t in changed}
+    near = vectorindex.exact(store.read("source_embeddings").select(spark_col("path").alias("id"), "embedding"), spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query_vector array<double>"), 3)
+    assert {r["id"] for r in near.collect()} == {"f0", "f3", "f6"}  # the long texts of now
+    assert store.embed_files(frame(changed), provider, "other", 2, 8) == 8 and store.read("source_embeddings").count() == 16
+
+
 # --- streams
 def _stream(spark, folder, rows, schema):
     for i, part in enumerate(rows):

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from tessera import catalog
+from tessera.plans import context
 
 
 def rows(frame):
@@ -25,6 +26,15 @@ def duck(data):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def packs_once():
+    """The queries of context packs share their sections here; each makes its own elsewhere."""
+    made, plain = {}, context._packs
+    context._packs = lambda spark, d: made.get(d) or made.setdefault(d, plain(spark, d))
+    yield
+    context._packs = plain
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, data, duck, name):
     got = catalog.QUERIES[name](spark, data).toPandas()

@@ -8,6 +8,7 @@ task of its own; no row and no answer holds a whole table. A record that is no o
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -100,8 +101,8 @@ def _asked(url: str, token: str | None, send: Callable = urllib.request.urlopen)
             with send(request, timeout=TIMEOUT_S) as r:
                 doc = json.loads(r.read())
             break
-        except (TimeoutError, ConnectionError, json.JSONDecodeError):
-            if not left:
+        except (OSError, json.JSONDecodeError) as e:
+            if isinstance(e, urllib.error.HTTPError) or not left:  # a refusal stays one
                 raise
     yield from doc["records"]
 

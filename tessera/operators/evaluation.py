@@ -39,14 +39,16 @@ def replay(cases_: DataFrame, files: DataFrame, symbols: DataFrame, n_files: int
     by name and raised or added by the symbols (path, name, kind, signature, line_start) that the task recalls. The cases,
     as many as were asked for, and what each finds are written down first, as they are used in several places."""
     cases_ = keep(cases_, "cases")
-    q = F.broadcast(cases_.select("hash", "task"))
-    terms = X.selective_terms("task")
-    f = files.crossJoin(q).withColumn("lexical", P.file_score(F.col("path"), terms)).where("lexical > 0")
+    # what does not depend on the other side is told once a case, once a file and once a symbol, before they meet
+    q = F.broadcast(keep(cases_.select("hash", "task", X.selective_terms("task").alias("terms"), X.query_terms("task").alias("q_terms")), "queries"))
+    of_file, of_symbol = P.file_parts(F.col("path")), X.symbol_parts(*map(F.col, ("name", "path", "kind", "signature")))
+    told = lambda parts: {n: F.col(n) for n in parts}
+    ready = lambda rows, parts, *columns: rows.select(*columns, *(c.alias(n) for n, c in parts.items()))
+    f = ready(files, of_file, "path", "size_bytes").crossJoin(q).withColumn("lexical", P.file_fit(told(of_file), F.col("terms"))).where("lexical > 0")
     f = f.withColumn("relevance", P.relevance(F.col("lexical"), F.lit(None).cast("int"), F.col("size_bytes")))
     candidates = _top(f, n_files, F.desc("relevance"), F.col("path")).select("hash", "path", "size_bytes", "lexical")
     candidates = keep(candidates, "candidates")
-    score = X.symbol_score(F.col("name"), F.col("path"), F.col("kind"), F.col("signature"), X.query_terms("task"), F.col("task"))
-    s = symbols.crossJoin(q).withColumn("score", score).where("score > 0")
+    s = ready(symbols, of_symbol, "path", "line_start").crossJoin(q).withColumn("score", X.symbol_fit(told(of_symbol), F.col("q_terms"), F.col("task"))).where("score > 0")
     s = _top(s, n_symbols, F.desc("score"), F.col("path"), F.col("line_start")).select("hash", "path").distinct()
     s = keep(s, "symbols")
     both = candidates.join(s.withColumn("bonus", F.lit(SYMBOL_BONUS)), ["hash", "path"], "full")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import code, files, graph
+from tessera.sources.scratch import keep
 
 # Languages whose symbols are read, and the largest file that is.
 LANGUAGES = ["rust", "python", "javascript", "typescript", "go", "java", "kotlin", "swift", "c", "cpp"]
@@ -19,10 +20,10 @@ def readable(sources: DataFrame) -> DataFrame:
 
 
 def full(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, references) of all files."""
+    """(symbols, references) of all files; both are read from tables, so what is built on them does not build them again."""
     s = readable(sources)
-    symbols = code.declarations(s)
-    return symbols, code.references(s, symbols)
+    symbols = keep(code.declarations(s), "symbols")
+    return symbols, keep(code.references(s, symbols), "references")
 
 
 def refresh(sources: DataFrame, changed: DataFrame, symbols: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,9 +36,9 @@ def refresh(sources: DataFrame, changed: DataFrame, symbols: DataFrame, referenc
     paths = changed.select("path").distinct()
     fresh = code.declarations(s.join(paths, "path", "left_semi"))
     kept = symbols.join(paths, "path", "left_anti").join(live, "path", "left_semi")
-    all_ = kept.select(fresh.columns).unionByName(fresh)
+    all_ = keep(kept.select(fresh.columns).unionByName(fresh), "symbols")
     inbound = references.join(paths.withColumnRenamed("path", "target_path"), "target_path", "left_semi").select("path")
-    scope = paths.unionByName(inbound).distinct()
+    scope = keep(paths.unionByName(inbound).distinct(), "scope")
     found = code.references(s.join(scope, "path", "left_semi"), all_)
     old = references.join(scope, "path", "left_anti").select(found.columns)
     return all_, graph.prune(old.unionByName(found), live, "path", "target_path").select(found.columns)

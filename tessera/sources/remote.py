@@ -1,6 +1,7 @@
 """Another store's tables as Spark relations: a data source that reads records in parts, from files or over HTTP.
 
-``spark.read.format("tessera_records")`` takes a schema and either ``folder``, whose files of JSON lines are a part each, or
+``spark.read.format("tessera_records")`` takes a schema and either ``folder``, whose files of JSON lines are cut into parts of
+``STRETCH`` bytes (compressed ones are a part each), or
 ``url``, ``table``, ``token`` and ``parts``: a service that gives the records of one part of a table at a time. Each part is a
 task of its own; no row and no answer holds a whole table. A record that is no object of the schema is an error.
 """
@@ -23,13 +24,15 @@ from tessera.operators.replication import TABLES
 
 NAME = "tessera_records"
 BATCH, TIMEOUT_S, TRIES = 4096, 60, 3
+STRETCH = 32 << 20
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".br", ".snappy")
 
 
 class Part(InputPartition):
-    """A file, or a part of a remote table."""
+    """A file, the lines of it that begin from one byte up to another, or a part of a remote table."""
 
-    def __init__(self, place: str) -> None:
-        self.place = place
+    def __init__(self, place: str, lo: int = 0, hi: int | None = None) -> None:
+        self.place, self.lo, self.hi = place, lo, hi
 
 
 class RecordSource(DataSource):
@@ -55,13 +58,14 @@ class RecordReader(DataSourceReader):
             files, path = fs.FileSystem.from_uri(_uri(self.options["folder"]))
             scheme = _uri(self.options["folder"]).split(path)[0]
             found = files.get_file_info(fs.FileSelector(path))
-            names = sorted(f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
-            return [Part(scheme + n) for n in names] or [Part("")]
+            some = sorted((f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
+            cuts = lambda f: [(0, None)] if f.path.endswith(COMPRESSED) else [(lo, lo + STRETCH) for lo in range(0, f.size, STRETCH)]
+            return [Part(scheme + f.path, *cut) for f in some for cut in cuts(f)] or [Part("")]
         n = int(self.options.get("parts", 4))
         return [Part(f"{self.options['url'].rstrip('/')}/v1/records/{self.options['table']}?part={i}&of={n}") for i in range(n)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        records = _lines(partition.place) if "folder" in self.options else _asked(partition.place, self.options.get("token"))
+        records = _lines(partition.place, partition.lo, partition.hi) if "folder" in self.options else _asked(partition.place, self.options.get("token"))
         rows: list[dict] = []
         for r in records:
             if not isinstance(r, dict):
@@ -81,15 +85,26 @@ def _uri(folder: str) -> str:
     return folder if ":/" in folder else "file://" + folder
 
 
-def _lines(place: str) -> Iterator[dict]:
+def _lines(place: str, lo: int = 0, hi: int | None = None) -> Iterator[dict]:
+    """The records of the lines that begin at a byte from ``lo`` and before ``hi``; without ``hi`` of the whole file."""
     if place:
         files, path = fs.FileSystem.from_uri(place)
-        with files.open_input_stream(path, compression="detect") as f:
-            rest = b""
+        with files.open_input_stream(path, compression="detect") if hi is None else files.open_input_file(path) as f:
+            at = max(lo - 1, 0)
+            if at:
+                f.seek(at)
+            rest, before = b"", lo > 0  # what ends first began before this part
             while chunk := f.read(1 << 20):
                 *whole, rest = (rest + chunk).split(b"\n")
-                yield from (json.loads(x) for x in whole if x.strip())
-            if rest.strip():
+                for x in whole:
+                    begins, at = at, at + len(x) + 1
+                    if before:
+                        before = False
+                    elif hi is not None and begins >= hi:
+                        return
+                    elif x.strip():
+                        yield json.loads(x)
+            if rest.strip() and not before and (hi is None or at < hi):
                 yield json.loads(rest)
 
 

@@ -150,14 +150,16 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
     goals = targets([(r["source"], r["size"]) for r in totals], weights, share, most)
     blocks = [-(-n // block) for _, n, _ in goals]
     quota = np.array([min(int(most * k), round(g / n * k)) if n else 0 for (_, n, g), k in zip(goals, blocks, strict=True)], np.int64)
-    sources = spark.createDataFrame([(i, s, n, g) for i, (s, n, g) in enumerate(goals)], "sid long, s_name string, source_size long, target double")
+    told = [pa.array(range(len(goals)), pa.int64()), *(pa.array([g[i] for g in goals], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64())))]
+    sources = spark.createDataFrame(pa.Table.from_arrays(told, ["sid", "s_name", "source_size", "target"]))
     chunks = 1 << min(16, max(3, (sum(r["n"] for r in totals) // 2000).bit_length()))
     placed = _offsets(counted, sources, chunks)
     total = int(quota.sum())
     rows = groups(quota, seed, slots_a_shard) if total else []
     parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    # few rows, but a task's work is what they stand for: spread by hand
-    plan = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "grp long, begin long, shards long, first array<long>, drawn array<long>")
+    # few rows, but a task's work is what they stand for: dealt one by one
+    names = {"grp": pa.int64(), "begin": pa.int64(), "shards": pa.int64(), "first": pa.list_(pa.int64()), "drawn": pa.list_(pa.int64())}
+    plan = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(names.items())})).coalesce(1).repartition(parts)
     return placed, slots(plan, blocks, total, max(1, -(-total // slots_a_shard)), seed), sources
 
 

@@ -70,3 +70,31 @@ def test_stages_keep_columns_of_any_name(spark, data):
         rows = out.collect()
         assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
     assert len(corpus_pipeline.STAGES[-1][1](spark, odd, data).collect()) == odd.count()
+
+
+def test_stages_use_no_workers_beside_those_of_dataframes(spark, data, monkeypatch):
+    """Functions over an RDD run in Python workers of their own, which stay alive on every executor beside the others."""
+    from pyspark import RDD, SparkContext
+
+    def refused(*_, **__):
+        raise AssertionError("an RDD runs Python")
+
+    for name in ("map", "mapPartitions", "mapPartitionsWithIndex", "treeReduce", "collect"):
+        monkeypatch.setattr(RDD, name, refused)
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count(), name
+
+
+def test_tree_sums_over_many_partitions(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import packed, tree_sum
+
+    one = np.zeros(9, np.int64)
+    one[[2, 7]] = 3, -1
+    rows = spark.range(0, 300, numPartitions=70).select(F.lit(packed(one)).alias("blob"))
+    assert tree_sum(rows, 9).tolist() == (300 * one).tolist()
+    assert tree_sum(rows.limit(0), 9).tolist() == [0] * 9

@@ -80,6 +80,23 @@ def test_a_search_opens_few_blocks_of_common_terms(spark, monkeypatch):
     assert dict(kept)["brought"].count() == 40
 
 
+def test_postings_are_moved_once(spark, monkeypatch):
+    """Blocks are made, and written, where the packed postings of a term meet; a common term has many blocks."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(textindex, "BLOCK", 16)
+    docs = spark.createDataFrame([(i, f"the the w{i % 7} x{i}") for i in range(300)], "id long, text string")
+    blocks = textindex.build(docs).blocks
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    rows = blocks.collect()
+    got = sorted((r["term"], p["id"], p["tf"], p["length"]) for r in rows for p in r["postings"])
+    assert got == sorted((r["term"], r["id"], r["tf"], r["length"]) for r in recall.postings(docs).collect())
+    assert all(r["n"] == len(r["postings"]) and r["most"] == max(p["tf"] for p in r["postings"]) and r["least"] == 4 for r in rows)
+    assert {r["parts"] for r in rows if r["term"] == "the"} == {19} and len({(r["term"], r["block"]) for r in rows}) == len(rows)
+    placed = spark.createDataFrame([(r["term"], r["block"], r["parts"], r["bucket"], p["id"]) for r in rows for p in r["postings"]], "term string, block long, parts long, bucket int, id long")
+    assert not placed.where((textindex.block_of(F.col("id"), F.col("parts")) != F.col("block")) | (textindex.bucket_of(F.col("term")) != F.col("bucket"))).count()
+
+
 # --- vector index
 def vectors(n, width, seed):
     rng = random.Random(seed)

@@ -256,3 +256,18 @@ def test_references_of_a_name_that_many_files_declare(spark):
     s = spark.createDataFrame(symbols, "path string, name string, kind string, line_start long")
     got = [(r["path"], r["line_start"], r["target_path"], r["target_name"], r["target_kind"]) for r in code.references(f, s).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_references(files, symbols) and len(got) > 200
+
+
+def test_vectors_go_to_python_in_batches_of_bounded_bytes(spark, tmp_path):
+    """Rows of a block and a group of queries are large, so a limit of rows alone does not bound a worker."""
+    name, was = vectorindex.BATCH_BYTES, spark.conf.get(vectorindex.BATCH_BYTES, None)
+    rows = vectors(1500, 8, 3)
+    docs, q = spark.createDataFrame(rows, "id long, embedding array<double>"), spark.createDataFrame(rows[::2], "query_id long, query_vector array<double>")
+    try:
+        for search in (lambda: vectorindex.exact(docs, q, 3), lambda: vectorindex.search(vectorindex.build(docs, cells=4), q, 3, probes=4)):
+            spark.conf.set(name, str(1 << 30))
+            found = search()
+            assert int(spark.conf.get(name)) <= 1 << 22
+            assert {(r["query_id"], r["id"]) for r in found.where("vector_rank = 1").collect()} >= {(i, i) for i in range(0, 1500, 500)}
+    finally:
+        spark.conf.set(name, was) if was is not None else spark.conf.unset(name)

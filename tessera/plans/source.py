@@ -98,7 +98,7 @@ def commit_log(spark, d):
 
 
 def commit_tasks(spark, d):
-    c = _log(spark, d).select("hash", X.commit_task("subject").alias("task"))
+    c = W.subjects(M.commit_lines(spark, d)).select("hash", X.commit_task("subject").alias("task"))
     return c.withColumn("reason", F.when(F.size(X.selective_terms("task")) < 2, "short_subject"))
 
 

@@ -170,8 +170,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     for itself. An empty table gives no rows. Other columns are ignored. Reruns agree: order and draws are seeded.
     """
     placed, drawn, _ = plan_mix(docs, **options)
-    times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    taken = pieces(placed, options.get("block", BLOCK)).join(times, ["sid", "block"]).groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
+    # draws are planned from a small table, but are as many as the mix has blocks: they must not be broadcast
+    times = drawn.groupBy("sid", "block").agg(F.count("*").alias("times")).hint("merge")
+    taken = pieces(placed, options.get("block", BLOCK)).join(times, ["sid", "block"]).groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken")).hint("merge")
     return placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -184,7 +185,7 @@ def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     words = placed.select("row", "doc_id", "source", "at").join(rows, "row")
     text = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")), " ")
     parts = cut.join(words, "row").select("sid", "block", "source", "doc_id", F.col("at").alias("part"), text.alias("text"))
-    return drawn.join(parts, ["sid", "block"]).select("shard", "sid", "slot", "source", "block", "part", "doc_id", "text")
+    return drawn.hint("merge").join(parts, ["sid", "block"]).select("shard", "sid", "slot", "source", "block", "part", "doc_id", "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

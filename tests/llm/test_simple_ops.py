@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import chat, langid, mixing, registry, secrets, winnow
 
@@ -391,3 +392,14 @@ def test_chat_machine_and_odd_rows(spark):
     assert got[1]["valid"] and not got[2]["valid"] and got[2]["n_turns"] == 2 and got[2]["loss_chars"] == 2 and got[None]["n_turns"] == 1
     assert got[3]["turns_sha256"] == hashlib.sha256(("user\n" + "<|end|>" * 2000 + "\n").encode()).hexdigest()
     assert chat.read_back(chat.format_conversations(c.limit(0))).count() == 0
+
+
+def test_draws_of_a_mix_are_not_broadcast(spark):
+    from tessera.llm import mixing
+
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("a b "), 100).alias("text"))
+    for made in (mixing.mix(docs), mixing.mixed_blocks(docs)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+        assert "SortMergeJoin" in plan and not any("block#" in line or "row#" in line for line in joins)

@@ -2,7 +2,8 @@
 
 Exact: two documents link when their shingle sets have a Jaccard likeness of at least num / den.
 
-1. A count sketch of fixed size over all shingles gives every worker the same total order, rare shingles first.
+1. A count sketch over all shingles, with slots in proportion to the texts up to 2^24, gives every worker the same total
+   order, rare shingles first.
 2. With overlap c(n) = ceil(t n) needed by a set of n, similar sets share l shingles among their first n - c(n) + l.
    Small sets enumerate all subsets of two of those (l = 2); large sets put the first n - c(n) + 1 into inverted
    lists (l = 1). Sets of just under the boundary are in both, so that they meet large partners. The boundary is the
@@ -16,7 +17,7 @@ Exact: two documents link when their shingle sets have a Jaccard likeness of at
    components.
 
 Scale: equal sets are one node from the first step on (dropped per task before the shuffle), so copies cost a small
-row each. No list, group or component is collected; broadcast are the sketch and a bitmap, both of fixed size, and at most
+row each. No list, group or component is collected; broadcast are the sketch and a bitmap, both bounded, and at most
 100 000 hubs. A set is known by 128 bits of a cryptographic hash; lists carry 63 of these, and where two sets should share
 them both are verified. What stays quadratic are sets that share rare shingles, more than 48 of them, without being alike:
 they are compared block by block.
@@ -25,6 +26,7 @@ they are compared block by block.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from math import comb
 
 import numpy as np
@@ -32,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, _with_least, as_bytes, bloom, bloom_has, buckets_for, column, components, deal, discard, mix, packed, portions, save, shingles, tidied, tree_sum, unused, word_hashes
+from tessera.llm.common import U64, _with_least, as_bytes, bloom, bloom_has, buckets_for, column, components, deal, discard, given_names, mix, plain_names, portions, release, save, shingles, tidied, tree, unused, word_hashes
 
-SKETCH = 1 << 20
+SKETCH, MOST_SKETCH = 1 << 20, 1 << 24  # slots of the sketch, least and most
+SLOT_BYTES = 384  # a slot for so many bytes of text, some 64 shingles, so that common shingles stand out at any size
 SIZES = 4096
 LONG_LIST = 48
 LEAST_PARITY, MOST_PARITY = 512, 1 << 16
@@ -69,38 +72,50 @@ def _sets(batch, width: int):
             yield np.unique(runs[a : z - width + 1] if z - a >= width else shingles(words[a:z], z - a))
 
 
+def sketch_slots(docs: DataFrame) -> int:
+    """The slots of the sketch: in proportion to the texts, between fixed bounds."""
+    n = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLOT_BYTES
+    return min(MOST_SKETCH, max(SKETCH, 1 << n.bit_length()))
+
+
+def slots_of(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return (s >> U64(65 - len(counts).bit_length())).astype(np.int64)
+
+
 def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrences by hash slot, number of sets by size up to SIZES) over all documents."""
+    """(occurrences by hash slot, up to 65535, number of sets by size up to SIZES) over all documents."""
+    slots = sketch_slots(docs)
 
     def count(batches):
-        total = np.zeros(SKETCH + SIZES + 1, np.int64)
+        total = np.zeros(slots + SIZES + 1, np.uint32)
+        counts = total[:slots]
         for b in batches:
-            some, held = [], 0
             for s in _sets(b, width):
-                total[SKETCH + min(len(s), SIZES)] += 1
-                some.append(s)
-                held += len(s)
-                if held > 500_000:
-                    total[:SKETCH] += np.bincount((np.concatenate(some) >> U64(44)).astype(np.int64), minlength=SKETCH)
-                    some, held = [], 0
-            if some:
-                total[:SKETCH] += np.bincount((np.concatenate(some) >> U64(44)).astype(np.int64), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], ["blob"])
+                total[slots + min(len(s), SIZES)] += np.uint32(1)
+                np.add.at(counts, slots_of(s, counts), np.uint32(1))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total, 1)], pa.binary())], ["blob"])
 
-    total = tree_sum(docs.select("text").mapInArrow(tidied(count), "blob binary"), SKETCH + SIZES + 1)
-    return total[:SKETCH], total[SKETCH:]
+    def add(a, b):
+        total = np.frombuffer(zlib.decompress(a), np.uint32).copy()
+        total += np.frombuffer(zlib.decompress(b), np.uint32)
+        return zlib.compress(total, 1)
+
+    blob = tree(docs.select("text").mapInArrow(tidied(count), "blob binary"), add)
+    total = np.zeros(slots + SIZES + 1, np.uint32) if blob is None else np.frombuffer(zlib.decompress(blob), np.uint32)
+    return np.minimum(total[:slots], 65535).astype(np.uint16), total[slots:].astype(np.int64)
 
 
 def boundary(counts: np.ndarray, sizes: np.ndarray, num: int, den: int, verify: float = 4.0) -> int:
     """The largest size whose sets enumerate subsets of two: where the summed cost of keys and of co-members in lists
     is least. Lists are estimated from the rarest (1 - t) of all shingle occurrences."""
-    total = int(counts.sum())
+    total = int(counts.sum(dtype=np.int64))
     if not total:
         return 0
-    order = np.sort(counts[counts > 0])
-    rare = order[: np.searchsorted(np.cumsum(order), total * (den - num) / den) + 1]
-    noise = total / SKETCH
-    length = float(np.average(np.maximum(1, rare - noise), weights=rare))
+    rare, slots = np.unique(counts[counts > 0], return_counts=True)
+    held = rare.astype(np.int64) * slots
+    k = np.searchsorted(np.cumsum(held), total * (den - num) / den) + 1
+    noise = total / len(counts)
+    length = float(np.average(np.maximum(1, rare[:k] - noise), weights=held[:k]))
     n = np.arange(SIZES + 1)
     spare = n - -(-num * n // den)
     subsets = np.array([comb(int(d) + 2, 2) for d in spare], float) * sizes
@@ -112,10 +127,10 @@ def boundary(counts: np.ndarray, sizes: np.ndarray, num: int, den: int, verify:
 def base_and_lists(docs: DataFrame, width: int, num: int, den: int, counts: np.ndarray, bound: int):
     """(saved table, documents with their sets' names, key lists): the two outputs of one scan, saved together. ``rare``
     is the number of shingles of a set that hardly any other has."""
-    held = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+    held = docs.sparkSession.sparkContext.broadcast(counts)
     buckets = buckets_for(docs)
     band = -(-num * (bound + 1) // den)
-    noise = 1 + int(counts.sum()) // SKETCH  # what a slot holds on average, and one of its own
+    noise = 1 + int(counts.sum(dtype=np.int64)) // len(counts)  # what a slot holds on average, and one of its own
 
     def run(batches):
         seen, names = set(), ["doc_id", "n", "node", "full", "rare", "parity", "bucket", "keys", "nodes", "sizes"]
@@ -141,7 +156,7 @@ def base_and_lists(docs: DataFrame, width: int, num: int, den: int, counts: np.n
                 full.append(name := full_of(s) if n else None)
                 node.append(x := node_of(name) if n else None)
                 parity.append(parity_of(s))
-                freq = order_of[(s >> U64(44)).astype(np.int64)]
+                freq = order_of[slots_of(s, order_of)]
                 rare.append(int((freq <= noise).sum()))
                 if n < 2 or name in seen:  # a set of one links with equal sets only
                     continue
@@ -376,13 +391,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     pairs = save(plausible(found.where("not long").select("a", "b").distinct(), known, num, den), "pairs")
     members = found.where("long").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct()
     members = save(members.join(known.select("node", "id", "rare"), "node").select("key", "id", "rare"), "members")
+    discard(found)
+    release(docs.sparkSession)  # what lists and names were moved for is written
     some = members.head(1)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).select(F.col("id.own").alias("doc_id"))
     sets = save(sets_of(docs, wanted, width), "sets")
     edges = verify(pairs, sets, num, den)
     if some:
-        edges = save(edges.unionByName(verify(with_hubs(members), sets, num, den)), "edges")
-        edges = edges.unionByName(compare_blocks(members.select("key", "id"), components(edges), sets, num, den))
+        edges_ = save(edges.unionByName(verify(with_hubs(members), sets, num, den)), "edges")
+        edges = edges_.unionByName(compare_blocks(members.select("key", "id"), components(edges_), sets, num, den))
     linked = components(edges).select(F.col("node.full").alias("name"), F.col("root.own").alias("low"))
     # copies of a set, too, have its smallest document; what is alone needs no look-up
     id_ = F.coalesce("doc_id", F.lit(NONE))
@@ -391,24 +408,42 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     told = save(told.select(F.col("full").alias("name"), F.coalesce("low", "own").alias("low")), "told")
     out = base.select("doc_id", "n", "full").join(told, F.col("full") == F.col("name"), "left")  # saved on both sides: a hot set can be split
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(F.coalesce("low", id_), F.lit(NONE)).alias("component_id"))
-    discard(pairs, members, sets, found)
+    discard(pairs, members, sets, *([edges_] if some else []))
+    release(docs.sparkSession)
+    out._scratch = [saved, told]
     return out
 
 
 def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is its component's smallest; of rows with an equal doc_id in one
     component one stays. Documents with an empty set (null text too) all stay. A null doc_id counts as the smallest. An
-    empty table gives no rows. Columns of any name are kept. The texts are shuffled once, by doc_id."""
+    empty table gives no rows. Columns of any name are kept. Texts stay where they are but for those whose doc_id is not kept
+    or shared, and a bitmap's false positives, which are shuffled by doc_id."""
     told = jaccard_components(docs, width, num, den)
-    kept = told.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key, full, empty = (unused(c, docs) for c in ("kept", "full", "empty"))
-    kept = kept.groupBy(F.col("doc_id").alias(key)).agg(F.count_if(F.col("n_shingles") > 0).alias(full), F.max((F.col("n_shingles") == 0).cast("int")).alias(empty))
-    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(key)))
+    key, other, full, empty = (unused(c, docs) for c in ("kept", "other", "full", "empty"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    told_of = told.groupBy(F.col("doc_id").alias(other)).agg(F.count_if(kept & (F.col("n_shingles") > 0)).alias(full), F.max((kept & (F.col("n_shingles") == 0)).cast("int")).alias(empty))
+    odd = save(told_of.where(F.col(full) + F.col(empty) != 1), "odd")  # ids that go, or that several rows share
+    discard(*told._scratch)
+    release(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(bloom(odd, other))
+    docs, given = plain_names(docs)
     own = [column(c) for c in docs.columns]
-    one = joined.where(F.col(full) + F.col(empty) == 1).select(own)
+    rows = docs.withColumn(key, F.col("doc_id").cast("long"))
+
+    def part(some: bool):
+        def pick(batches):
+            for b in batches:
+                on = bloom_has(held.value, np.array(b.column(key).fill_null(NONE), np.int64))
+                yield b.filter(pa.array(on if some else ~on))
+
+        return rows.mapInArrow(tidied(pick), rows.schema)
+
+    joined = part(True).join(odd.hint("merge"), F.col(key).eqNullSafe(F.col(other)), "left")
+    one = part(False).select(own).unionByName(joined.where(F.col(full).isNull()).select(own))
     # rows that share their doc_id: those of the component's own texts meet once more
     again = joined.where(F.col(full) + F.col(empty) > 1).select(own)
-    return one.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return given_names(one.unionByName(again.dropDuplicates(["doc_id", "text"])), given)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -109,3 +109,13 @@ def test_words_of_the_thue_morse_pattern(spark):
     assert got == want and want[1][1] == 1 and want[4][1] == 0 and want[6][1] == 6 and want[7][1] == 5
     kept = {r["doc_id"] for r in jaccard.representatives(docs, 5, 80, 100).collect()}
     assert kept == {k for k, (_, x) in plain(rows, 5, 80, 100).items() if x == k}
+
+
+def test_common_shingles_stand_out_of_many_rare_ones(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    monkeypatch.setattr(jaccard, "SKETCH", 256)
+    rows = spark.range(400).select(F.concat_ws(" ", F.lit("the common line of all"), *[F.concat(F.lit(f"w{k}_"), F.col("id")) for k in range(40)]).alias("text"))
+    counts, sizes = jaccard.sketch(rows, 5)
+    assert len(counts) == 512 and int(counts.sum()) == 400 * 41 and sizes[41] == 400
+    assert counts.max() >= 400

@@ -44,6 +44,7 @@ SPAN = LENGTH - GRAM + 1
 WIDTH = 80  # at least 2 * LENGTH - GRAM, the longest cut
 MOST_BITS = 30
 PORTION = 300_000
+BUCKET_BYTES = 16 << 20  # text a bucket, at most: what a task holds of it does not grow with the input's partitions
 NONE = -(2**63)
 
 
@@ -324,12 +325,22 @@ def _collected(rows):
 
 
 def _by_bucket(batches):
-    mine: dict[int, list[dict]] = {}
+    """(bucket, rows) of rows that come bucket by bucket: one at a time is held."""
+    now, mine = None, []
     for b in batches:
         for r in b.to_pylist():
-            mine.setdefault(r["bucket"], []).append(r)
-    for bucket in list(mine):
-        yield bucket, mine.pop(bucket)
+            if mine and r["bucket"] != now:
+                yield now, mine
+                mine = []
+            now = r["bucket"]
+            mine.append(r)
+    if mine:
+        yield now, mine
+
+
+def _buckets(docs: DataFrame) -> int:
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(buckets_for(docs), -(-n // BUCKET_BYTES))
 
 
 def answer_equal(entries: DataFrame, buckets: int, all_: bool) -> DataFrame:
@@ -358,7 +369,7 @@ def answer_equal(entries: DataFrame, buckets: int, all_: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 5, pa.array([_six(names[~equal])], pa.binary())], ["task", "ids", "off", "starts", "low", "grp", "hashes"])
         tidy()
 
-    dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "wins", "digests").repartition(buckets, "bucket")
+    dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "wins", "digests").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return save(dealt.mapInArrow(solve, REPLY + ", hashes binary"), "equal")
 
 
@@ -415,7 +426,7 @@ def answer(entries: DataFrame, buckets: int, all_: bool) -> DataFrame:
                 yield from told(group[lo:hi] + number, c[m], inside[m], starts[lo:hi], least[lo:hi])
             number += int(group[-1]) + 1 if len(group) else 0
 
-    dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "sizes", "wins", "cuts").repartition(buckets, "bucket")
+    dealt = entries.select("task", "bucket", "hashes", "ids", "low", "high", "sizes", "wins", "cuts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(solve, REPLY)
 
 
@@ -433,7 +444,7 @@ def _groups(h: np.ndarray, weight: np.ndarray, most: int = 60_000):
 def _occurrences(docs: DataFrame, all_: bool, emit, schema: str) -> DataFrame:
     """``emit(entry of each use, where the cut begins, row, document, (ids, off, starts, low, group))`` for each task that
     has answers."""
-    buckets = buckets_for(docs)
+    buckets = _buckets(docs)
     equal = answer_equal(cut_out(docs, buckets, "digests"), buckets, all_)
     release(docs.sparkSession)
     only = bitmap_of(equal.where("task is null").select("hashes"))

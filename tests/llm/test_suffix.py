@@ -125,3 +125,22 @@ def test_a_very_long_text(spark):
     long = "".join(rng.choice("abcdefgh ") for _ in range(80_000))
     rows = [(1, long), (2, "x" + long[1000:60_000] + "y"), (3, long[:49])]
     assert run(spark, rows) == plain(rows)
+
+
+def test_a_task_holds_one_bucket_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    import pyspark.sql.functions as F
+
+    from tessera.llm import suffix
+
+    read = []
+
+    def batches():
+        for k in range(6):
+            read.append(k)
+            yield pa.RecordBatch.from_pydict({"bucket": [k // 2, k // 2], "n": [k, k]})
+
+    found = [(bucket, len(rows), len(read)) for bucket, rows in suffix._by_bucket(batches())]
+    assert found == [(0, 4, 3), (1, 4, 5), (2, 4, 6)]
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 1000)
+    assert suffix._buckets(spark.range(0, 100, 1, 1).select(F.repeat(F.lit("a"), 1000).alias("text"))) == 100
